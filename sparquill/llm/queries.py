@@ -6,6 +6,8 @@ from importlib import import_module
 
 _MODULES = {
     "op2_quality_rules": "quality",
+    "op7_packing": "packing",
+    "op8_simple8b": "simple8b",
 }
 
 
