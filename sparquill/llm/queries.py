@@ -8,6 +8,7 @@ _MODULES = {
     "op2_quality_rules": "quality",
     "op7_packing": "packing",
     "op8_simple8b": "simple8b",
+    "op9_ctw": "ctw",
 }
 
 
