@@ -7,6 +7,8 @@ from importlib import import_module
 _MODULES = {
     "op2_quality_rules": "quality",
     "op3_jaccard_join": "jaccard_join",
+    "op4_hilbert_shards": "hilbert",
+    "op6_language_id": "langid",
     "op7_packing": "packing",
     "op8_simple8b": "simple8b",
     "op9_ctw": "ctw",
