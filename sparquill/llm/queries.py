@@ -8,6 +8,7 @@ _MODULES = {
     "op2_quality_rules": "quality",
     "op3_jaccard_join": "jaccard_join",
     "op4_hilbert_shards": "hilbert",
+    "op5_preference_pairs": "preference",
     "op6_language_id": "langid",
     "op7_packing": "packing",
     "op8_simple8b": "simple8b",
