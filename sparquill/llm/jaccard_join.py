@@ -155,6 +155,11 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return found.join(wanted.select("set_id", "rep"), "set_id").select("rep", "shingles")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The classes that stand in pairs, as rep."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
@@ -204,8 +209,8 @@ def join(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketch: i
     leader = shared.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("l"))
     led = shared.join(leader, "token").where((F.col("rep") != F.col("l.rep")) & _may_link(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), threshold))
     first = stash(led.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct())
-    wanted = stash(classes.select("rep", "set_id", "doc_id").join(shared.select("rep").distinct(), "rep"))
-    sets = stash(_shingle_sets(docs, wanted, n))
+    keys = classes.select("rep", "set_id", "doc_id")
+    sets = stash(_shingle_sets(docs, stash(keys.join(_ends(first), "rep")), n))
     links = stash(_verified(first, sets, threshold))
     parts = components(links)
 
@@ -215,14 +220,16 @@ def join(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketch: i
     apart = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
     open_ = stash(placed.join(apart, "token"))
     x, y = open_.alias("x"), open_.alias("y")
-    second = (
+    second = stash(
         x.join(y, F.col("x.token") == F.col("y.token"))
         .where((F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), threshold))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = stash(_verified(second, sets, threshold))
+    new = _ends(second).join(sets.select("rep"), "rep", "left_anti")
+    more_sets = stash(_shingle_sets(docs, stash(keys.join(new, "rep")), n))
+    more = stash(_verified(second, sets.union(more_sets), threshold))
     whole = parts if more.isEmpty() else components(links.union(more))
 
     named = classes.select("rep", "set_id", F.col("doc_id").alias("class_id")).join(whole.withColumnRenamed("node", "rep"), "rep", "left")
