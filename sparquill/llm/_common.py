@@ -42,6 +42,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """df, with its columns computed before any filter that stands above.
+
+    The optimizer moves filters below projections by repeating the projected expressions in them; for expressions over
+    arrays, repeated once more inside a lambda, that would cost the square of a text's length. A condition on a
+    non-deterministic column stays where it is.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where("_fence >= 0").drop("_fence")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and leaves every other letter as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEPARATOR_CHARS, words
+from ._common import SEPARATOR_CHARS, fence, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -126,7 +126,7 @@ def keep_good(docs: DataFrame, policy: str = "v1") -> DataFrame:
 
 def _with_row(key: DataFrame, policy: str) -> DataFrame:
     led = apply_policy(ledger(key.select(F.struct("doc_id", "_row").alias("doc_id"), "text")), policy)
-    return led.where("kept").select(F.col("doc_id._row").alias("_row"))
+    return fence(led).where("kept").select(F.col("doc_id._row").alias("_row"))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_decontaminate": "decontaminate",
     "op2_quality_rules": "quality",
     "op3_jaccard_join": "jaccard_join",
     "op4_hilbert_shards": "hilbert",
