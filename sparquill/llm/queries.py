@@ -14,6 +14,7 @@ _MODULES = {
     "op7_packing": "packing",
     "op8_simple8b": "simple8b",
     "op9_ctw": "ctw",
+    "op10_line_dedup": "linededup",
 }
 
 
