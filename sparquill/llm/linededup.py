@@ -13,7 +13,7 @@ Built-in expressions and joins only. Lines of fewer than five words have no toke
 
 Defined cases: null and empty texts have no lines to remove; repeated rows (same doc_id and text) are one document; equal
 doc_ids with different texts follow the text's hash; a null doc_id comes first; empty tables give no row; a document
-whose every line goes is dropped by `dedup`, as a copy; columns other than doc_id and text are carried, not read.
+that `dedup` would leave with nothing but lines too short to have a token is dropped, as a copy; columns other than doc_id and text are carried, not read.
 """
 
 from __future__ import annotations
@@ -157,15 +157,15 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with the matching lines taken out of their texts; documents left without any line are dropped."""
+    """docs with the matching lines taken out of their texts; documents left without a line of N_GRAM words are dropped."""
     gone = stash(matches(docs, threshold).groupBy("doc_id", "tk").agg(F.collect_set("line_no").alias("_gone")))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), "_gone")
     kept = F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains("_gone", i))
     columns = docs.columns
     joined = docs.join(_limited(gone), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left")
     cut = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    cut = fence(cut.select(*[F.coalesce(F.array_join("_kept", "\n"), F.col("text")).alias(c) if c == "text" else F.col(c) for c in columns], F.size("_kept").alias("_n")))
-    return cut.where("_n is null or _n != 0").drop("_n")
+    cut = fence(cut.select(*[F.coalesce(F.array_join("_kept", "\n"), F.col("text")).alias(c) if c == "text" else F.col(c) for c in columns], F.exists("_kept", lambda l: F.size(_words(l)) >= N_GRAM).alias("_more")))
+    return cut.where("_more is null or _more").drop("_more")
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
