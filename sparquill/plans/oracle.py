@@ -14,7 +14,7 @@ def mat(rows) -> str:
 
 
 def _apply(matrix: str, vector: str) -> str:
-    return f"list_transform({matrix}, lambda r: list_inner_product(r, {vector}))"
+    return f"list_transform({matrix}, lambda mr: list_inner_product(mr, {vector}))"
 
 
 def mse_state(spec: MseSpec, name: str = "st") -> str:
