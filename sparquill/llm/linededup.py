@@ -2,8 +2,8 @@
 
 A line's tokens are its five-word shingles, as hashes. They are ordered by rarity, estimated from the corpus frequency of
 a shingle's first word, then by hash; lines of similarity t share a token within their prefixes of that order. Candidates
-meet on prefix tokens, pass length and positional filters, are made distinct and verified once by the exact Jaccard
-similarity. A line is removed when an earlier line (by doc_id, then place in the text) has the same tokens or similar ones.
+meet on prefix tokens, pass length, positional and bitmap filters, are made distinct and verified once by the exact
+Jaccard similarity. A line is removed when an earlier line (by doc_id, then place in the text) has the same tokens or similar ones.
 
 Lines with equal tokens are a class, of which the first stands for all. A class first meets two leaders of each of its
 tokens, the earliest class and the one where the token stands first; only classes without an earlier match then meet the
@@ -28,7 +28,9 @@ THRESHOLD = 80  # per cent
 #: Bins of the word-frequency table; each holds a class of one byte.
 BINS = 1 << 13
 #: Keys travel to every task only up to this many rows.
-BROADCAST_ROWS = 1 << 19
+BROADCAST_ROWS = 1 << 20
+#: Longs of a class's bitmap, in which every token sets one bit.
+BITMAP = 4
 
 
 def _words(line: Column) -> Column:
@@ -75,9 +77,33 @@ def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def _may_match(n1, p1, n2, p2, threshold: int) -> Column:
+def _may_match(x: str, y: str, threshold: int) -> Column:
+    """Filters on two rows (n, pos, bits): length, position, and the tokens that only one of the bitmaps shows.
+
+    Sets that would have to be equal are of one class, so they are no pair. The positional filter bounds what can still
+    be shared from this token on. A bit of one bitmap that the other lacks is a token that is not shared: the suffix
+    filter, over all tokens at once.
+    """
+    n1, n2, p1, p2 = (F.col(f"{side}.{c}") for c in ("n", "pos") for side in (x, y))
     need = F.ceil(threshold * (n1 + n2) / (100 + threshold) - 1e-9)
-    return (100 * n1 >= threshold * n2) & (100 * n2 >= threshold * n1) & (F.least(n1 - p1, n2 - p2) >= need)
+
+    def only(a, b):
+        return sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{i}")))) for i in range(BITMAP)), F.lit(0))
+
+    lengths = (100 * n1 >= threshold * n2) & (100 * n2 >= threshold * n1) & (need < F.greatest(n1, n2))
+    return lengths & (F.least(n1 - p1, n2 - p2) >= need) & (only(x, y) <= n1 - need) & (only(y, x) <= n2 - need)
+
+
+def _bitmap(tokens: Column) -> list[Column]:
+    """BITMAP longs, named b0, b1, ..."""
+    one = F.lit(1).cast("long")
+
+    def part(i: int) -> Column:
+        mine = F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(BITMAP - 1)) == i)
+        bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(bit(t))).alias(f"b{i}")
+
+    return [part(i) for i in range(BITMAP)]
 
 
 def _limited(df: DataFrame) -> DataFrame:
@@ -109,43 +135,40 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     lines = stash(
         tokened.select("doc_id", "tk", "line_no", n.alias("n"), F.xxhash64("tokens").alias("key"), F.slice("tokens", F.lit(1), n - _ceil_div(n * threshold, 100) + 1).alias("prefix"))
     )
-    tokens = lines.select("key", "n", F.posexplode_outer("prefix").alias("pos", "token"))
+    # sets of fewer than four tokens are only similar to equal ones (3 of 4 is below the threshold)
+    least = -(-threshold // (100 - threshold))
+    tokens = lines.where(F.col("n") >= least).select("key", "n", F.posexplode_outer("prefix").alias("pos", "token"))
     met = tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
     met = _limited(stash(met))
     shared = stash(tokens.join(met, "token").distinct())  # tokens of two classes at least
     ord_ = F.struct("doc_id", "tk", "line_no")
     firsts = lines.groupBy("key").agg(F.min(ord_).alias("ord"), F.count("*").alias("copies"))
     in_reach = stash(firsts.join(shared.select("key").distinct(), "key", "left_semi").select("key", "ord"))
-    placed = stash(shared.join(in_reach, "key"))
-
-    me = F.struct("ord", "key", "n", "pos")
-    leaders = placed.groupBy("token").agg(F.min(me).alias("early"), F.min(F.struct("pos", "ord", "key", "n")).alias("front"))
-    sides = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("ord", "key", "n", "pos")]) for side in ("early", "front")]
-    leaders = leaders.select("token", F.explode(F.array(*sides)).alias("l")).distinct()
-    led = placed.join(leaders, "token").where((F.col("key") != F.col("l.key")) & _may_match(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), threshold))
-    before = F.col("l.ord") < F.col("ord")
+    sets = stash(_sets(docs, in_reach, classes))
+    placed = stash(shared.join(in_reach.join(sets.select("key", *_bitmap(F.col("tokens"))), "key"), "key"))
+
+    facts = ("ord", "key", "n", "pos", *(f"b{i}" for i in range(BITMAP)))
+    leaders = placed.groupBy("token").agg(F.min(F.struct(*facts)).alias("early"), F.min(F.struct("pos", *[c for c in facts if c != "pos"])).alias("front"))
+    sides = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in facts]) for side in ("early", "front")]
+    leaders = leaders.select("token", F.explode(F.array(*sides)).alias("l")).select("token", "l.*").distinct()
+    p, l = placed.alias("p"), leaders.alias("l")
+    before = F.col("l.ord") < F.col("p.ord")
     first = stash(
-        led.select(
-            F.when(before, F.col("l.key")).otherwise(F.col("key")).alias("a"), F.when(before, F.col("key")).otherwise(F.col("l.key")).alias("b"),
-            F.least("ord", "l.ord").alias("ord"),
+        p.join(l, F.col("p.token") == F.col("l.token")).where((F.col("p.key") != F.col("l.key")) & _may_match("p", "l", threshold)).select(
+            F.when(before, F.col("l.key")).otherwise(F.col("p.key")).alias("a"), F.when(before, F.col("p.key")).otherwise(F.col("l.key")).alias("b"),
+            F.least("p.ord", "l.ord").alias("ord"),
         ).distinct()
     )
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = stash(_sets(docs, stash(in_reach.join(ends(first), "key")), classes))
     found = stash(_verified(first, sets, threshold))
 
     open_ = placed.join(found.select(F.col("b").alias("key")).distinct(), "key", "left_anti")
     y, x = open_.alias("y"), placed.alias("x")
     second = (
-        y.join(x, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.ord") < F.col("y.ord")) & _may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), threshold))
+        y.join(x, F.col("x.token") == F.col("y.token")).where((F.col("x.ord") < F.col("y.ord")) & _may_match("x", "y", threshold))
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.ord").alias("ord")).distinct()
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
-    second = stash(second)
-    more_ends = ends(second).join(sets.select("key"), "key", "left_anti")
-    more = stash(_sets(docs, stash(in_reach.join(more_ends, "key")), classes))
-    found = found.union(_verified(second, sets.union(more), threshold))
+    found = found.union(_verified(stash(second), sets, threshold))
 
     matched = found.groupBy(F.col("b").alias("key")).agg(F.min("ord").alias("match"))
     gone = firsts.join(matched, "key", "left").where((F.col("copies") > 1) | F.col("match").isNotNull())
