@@ -17,7 +17,7 @@ def pack(indices, bits: int):
     per = 8 // width
     full = np.zeros((n, packed_bytes(dim, bits) * per), np.uint8)
     full[:, :dim] = indices
-    full = full.reshape(n, -1, per)
+    full = full.reshape(n, packed_bytes(dim, bits), per)
     return np.bitwise_or.reduce(full << (np.arange(per, dtype=np.uint8) * width), 2).astype(np.uint8)
 
 
@@ -28,7 +28,7 @@ def unpack(data, dim: int, bits: int):
         return data[:, :dim]
     per = 8 // width
     out = (data[:, :, None] >> (np.arange(per, dtype=np.uint8) * width)) & ((1 << width) - 1)
-    return out.reshape(len(data), -1)[:, :dim]
+    return out.reshape(len(data), data.shape[1] * per)[:, :dim]
 
 
 def mse_cells(x, pi, boundaries):
