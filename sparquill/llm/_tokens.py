@@ -1,8 +1,8 @@
 """Tokenising whole texts with a public vocabulary, a word at a time.
 
 word_bpe_49k drops white space and splits at it, so a text's ids are its words' ids in a row. Each Python worker keeps
-the packed ids of the words it has met (at most MAX_WORDS of them, then it starts afresh); only new words reach the
-tokenizers library.
+the packed ids of the words it has met lately (two generations of MAX_WORDS at most); only new words reach the tokenizers
+library.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import sys
 import types
 
 END_ID = 1
-MAX_WORDS = 1_500_000
+MAX_WORDS = 300_000
 
 
 def default_path() -> str:
@@ -36,6 +36,7 @@ class _Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.limit, self.older = MAX_WORDS, {}
 
     def encode(self, word: bytes) -> bytes:
         import array
@@ -43,8 +44,12 @@ class _Ids(dict):
         return array.array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_WORDS:
+        if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
+        if (ids := self.older.get(word)) is not None:
+            self[word] = ids
+            return ids
         end = word[-1:]
         core = word[:-1]
         # letters and the full stop or comma after them are pieces of their own
@@ -56,13 +61,20 @@ class _Ids(dict):
         return ids
 
 
-def encoder(path: str):
-    """text bytes (or None) -> packed ids with the end id."""
+def slices(batch, step: int = 1000):
+    """The columns of an Arrow batch as lists, `step` rows at a time: a batch of long texts is never copied whole."""
+    for at in range(0, batch.num_rows, step):
+        yield [c.slice(at, step).to_pylist() for c in batch.columns]
+
+
+def encoder(path: str, limit: int = MAX_WORDS):
+    """text bytes (or None) -> packed ids with the end id. limit: words per generation that a worker keeps."""
     import struct
 
     store = worker_store()
     if getattr(store, "ids_path", None) != path:
         store.ids, store.ids_path = _Ids(path), path
+    store.ids.limit = limit
     ids, end = store.ids, struct.pack("<I", END_ID)
 
     def encode(text: bytes | None) -> bytes:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, stash, table
-from ._tokens import worker_store
+from ._tokens import slices, worker_store
 
 N_GRAM = 4
 THRESHOLD = 85  # per cent
@@ -32,12 +32,12 @@ BROADCAST_ROWS = 1 << 20
 
 
 class _Hashes(dict):
-    """word -> 64-bit hash; starts afresh after a million words."""
+    """word -> 64-bit hash; starts afresh after 200,000 words."""
 
     def __missing__(self, word):
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -81,12 +81,12 @@ def frequencies(docs: DataFrame, n: int = N_GRAM, sketch: int = SKETCH):
 
         shingles = _shingler(n)
         total = np.zeros(sketch, np.int64)
-        for batch in batches:
+        for (texts,) in (part for batch in batches for part in slices(batch)):
             held, size = [], 0
-            for text in batch.column(0).to_pylist():
+            for text in texts:
                 held.append(shingles(text))
                 size += len(held[-1])
-                if size > 1 << 20:
+                if size > 1 << 18:
                     total += np.bincount((np.concatenate(held) % np.uint64(sketch)).astype(np.int64), minlength=sketch)
                     held, size = [], 0
             if held:
@@ -114,9 +114,9 @@ def prefixes(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketc
         import xxhash
 
         shingles, often = _shingler(n), shared.value
-        for batch in batches:
-            ids, sizes, sets, parts, ends = batch.column(0), [], [], [], [0]
-            for text in batch.column(1).to_pylist():
+        for ids, texts in (part for batch in batches for part in slices(batch)):
+            sizes, sets, parts, ends = [], [], [], [0]
+            for text in texts:
                 s = shingles(text)
                 sizes.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -126,7 +126,7 @@ def prefixes(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketc
                 parts.append(s.view(np.int64))
                 ends.append(ends[-1] + len(s))
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))
-            columns = [ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), prefix]
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), prefix]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id", "prefix"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
@@ -142,8 +142,8 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         import xxhash
 
         shingles = _shingler(n)
-        for batch in batches:
-            found = [shingles(text).tobytes() for text in batch.column(0).to_pylist()]
+        for (texts,) in (part for batch in batches for part in slices(batch)):
+            found = [shingles(text).tobytes() for text in texts]
             columns = [pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["set_id", "shingles"])
 
@@ -167,9 +167,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for a, b, xs, ys in (part for batch in batches for part in slices(batch)):
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for x, y in zip(xs, ys):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 need = -(-threshold * (len(x) + len(y)) // (100 + threshold))  # least intersection of a similar pair
                 # suffix filter: within a range of hashes the sets share at most the smaller count
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= threshold * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import global_rank, stash, table
-from ._tokens import default_path, encoder
+from ._tokens import default_path, encoder, slices
 
 SEQ_LEN = 2048
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -29,9 +29,9 @@ def pieces(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN) ->
         import pyarrow as pa
 
         encode = encoder(path)
-        for batch in batches:
+        for doc_column, text_column in (part for batch in batches for part in slices(batch)):
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(doc_column, text_column):
                 ids = encode(text)
                 n = len(ids) // 4
                 for start in range(0, n, seq_len):

@@ -28,8 +28,8 @@ def conversations(turns: DataFrame) -> DataFrame:
 def pair_by_opening(convs: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, chosen, rejected_id, rejected): neighbours in the order of opening turn and conv_id.
 
-    Conversations that open alike stand together and pair with each other first. However many share an opening, the
-    ranks come from a range sort over opening and conv_id, so no task holds a group.
+    Conversations that open alike stand together, so that all but the first and last of them pair with each other.
+    However many share an opening, the ranks come from a range sort over opening and conv_id, so no task holds a group.
     """
     opening = F.md5(F.concat(F.element_at("turns", 1)["role"], F.lit("\n"), F.element_at("turns", 1)["text"]).cast("binary"))
     ranked = global_rank(convs.withColumn("opening", opening), "opening", "conv_id")

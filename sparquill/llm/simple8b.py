@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import _offsets, shared_dir, table
-from ._tokens import default_path, encoder
+from ._tokens import default_path, encoder, slices
 
 #: Fixed values of the format: ids per word and bits per id, by selector. 15 is the escape, 14 is unused.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -28,6 +28,7 @@ BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 BLOCK = 128
 SEGMENT_IDS = 1 << 18
+KEPT_WORDS = 700_000  # per generation, in a worker
 _HEADER = "<4sIQQQQQ"  # magic, version, documents, ids, blocks, words, escapes
 _SEGMENTS = "part int, segment int, start_in_part long, n_ids long, payload binary"
 
@@ -152,7 +153,7 @@ def write(docs: DataFrame, to: str, path: str | None = None) -> str:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        packed = encoder(path)
+        packed = encoder(path, KEPT_WORDS)
         part, segment, start = TaskContext.get().partitionId(), 0, 0
         names = ["part", "segment", "start_in_part", "n_ids", "payload"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -163,8 +164,8 @@ def write(docs: DataFrame, to: str, path: str | None = None) -> str:
             row = [part, segment, start, len(ids), pack_segment(doc_ids, [len(p) // 4 for p in parts], ids)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names), len(ids)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for doc_column, text_column in (part for batch in batches for part in slices(batch)):
+            for doc, text in zip(doc_column, text_column):
                 doc_ids.append(doc)
                 parts.append(packed(text))
                 held += len(parts[-1]) // 4
@@ -197,8 +198,8 @@ def read(spark: SparkSession, at: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for at, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for starts, payloads in (part for batch in batches for part in slices(batch, 1)):
+            for at, payload in zip(starts, payloads):
                 doc_ids, lengths, ids = unpack_segment(payload)
                 data = memoryview(ids.astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
