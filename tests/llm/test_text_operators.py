@@ -119,10 +119,12 @@ def brute_lines(rows, threshold=80, n=5):
             w = [x for x in line.split(" ") if x]
             if len(w) >= n:
                 lines.append(((i, k), frozenset(tuple(w[j : j + n]) for j in range(len(w) - n + 1))))
-    gone = set()
+    gone, having = set(), defaultdict(set)  # lines that share no shingle are not similar
     for p, (at, s) in enumerate(lines):
-        if any(100 * len(s & t) >= threshold * len(s | t) for _, t in lines[:p]):
+        if any(100 * len(s & lines[q][1]) >= threshold * len(s | lines[q][1]) for q in {q for g in s for q in having[g]}):
             gone.add(at)
+        for g in s:
+            having[g].add(p)
     return gone
 
 
