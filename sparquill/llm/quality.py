@@ -92,7 +92,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     )
     measured = placed.withColumn("n_repeat_words", F.coalesce(cover, F.lit(0).cast("long"))).drop("_p")
     mask = sum((F.when(F.expr(rule), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (_, rule) in enumerate(RULES)), F.lit(0).cast("long"))
-    return measured.withColumn("fail_mask", mask)
+    return fence(measured.withColumn("fail_mask", mask))  # so that filters on the ledger stay above it
 
 
 def apply_policy(led: DataFrame, policy: str = "v1") -> DataFrame:
