@@ -4,8 +4,10 @@ Shingles are five lower-cased words (an item of fewer words is one shingle). A w
 they share a shingle, so windows are laid where a document has a shingle of the benchmark: of the item's length, placed
 as the shingle stands in the item, moved inside the text at its ends. Windows and items get 64-bit SimHash
 fingerprints; these are cut into RADIUS + 1 blocks, of which two fingerprints within RADIUS agree in one at least, so
-the join on blocks finds every pair within the radius. Each candidate pair is verified once by the exact weighted
-Jaccard similarity of the shingle multisets; a shingle's weight falls with the number of items that have it.
+the join on blocks finds every pair within the radius. Few shingles make fingerprints of similar texts stand further
+apart than that, so the pairs of a window and an item for which it was laid are candidates at any distance. Each
+candidate pair is verified once by the exact weighted Jaccard similarity of the shingle multisets; a shingle's weight
+falls with the number of items that have it.
 
 Built-in expressions and joins only. The benchmark travels to every task only below a checked number of rows.
 
@@ -102,14 +104,16 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
     for k in ks:
         part = hashed.select(*key, "n_doc", F.posexplode_outer(f"g{k}").alias("pos", "gram"))
         placed = part if placed is None else placed.union(part)
-    anchors = placed.join(_small(item_grams.select("gram", "k", "n_words", "offs"), n_grams), "gram")
+    anchors = placed.join(_small(item_grams.select("item_id", "gram", "k", "n_words", "offs"), n_grams), "gram")
     at = F.explode(F.transform("offs", lambda o: F.col("pos") - o)).alias("start")
-    spots = anchors.select(*key, "k", "n_doc", F.least("n_words", "n_doc").alias("len"), at)
-    windows = stash(
-        spots.select(*key, "k", "len", F.greatest(F.lit(0), F.least("start", F.col("n_doc") - F.col("len"))).alias("start")).distinct()
+    spots = anchors.select(*key, "item_id", "k", "n_doc", F.least("n_words", "n_doc").alias("len"), at)
+    laid = stash(
+        spots.select(*key, "k", "len", F.greatest(F.lit(0), F.least("start", F.col("n_doc") - F.col("len"))).alias("start"), "item_id").distinct()
     )
-    n_windows = windows.count()
-    named = windows.withColumn("wid", F.monotonically_increasing_id())
+    windows = laid.select(*key, "k", "len", "start").distinct()
+    named = stash(windows.withColumn("wid", F.monotonically_increasing_id()))
+    windows = named.drop("wid")
+    n_windows = named.count()
     # a window's shingles, from the few documents that have windows
     found = windows.select(*key).distinct()
     chosen = texts.join(_small(found, n_windows), key_null_safe(texts, found, key), "left_semi")
@@ -127,10 +131,18 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
     window_fp = stash(_fingerprint(in_windows, "wid"))
     item_fp = _fingerprint(of_items, "item_id")
     a, b = _blocks(window_fp, radius).alias("a"), _small(_blocks(item_fp, radius), n_items * (radius + 1)).alias("b")
-    candidates = stash(
+    near = (
         a.join(b, F.expr(f"a.block = b.block and a.value = b.value and bit_count(a.fp ^ b.fp) <= {radius}"))
-        .select("wid", "item_id", F.col("a.weight").alias("wa"), F.col("b.weight").alias("wb")).distinct()
+        .select("wid", "item_id", F.col("a.weight").alias("wa"), F.col("b.weight").alias("wb"))
     )
+    l, m = laid.alias("l"), named.alias("m")
+    pairs = l.join(m, F.expr("l.doc_id <=> m.doc_id and l.text_hash = m.text_hash and l.k = m.k and l.len = m.len and l.start = m.start")).select("wid", "item_id")
+    of_item = item_fp.select(F.col("item_id").alias("of"), F.col("weight").alias("wb"))
+    anchored = (
+        pairs.join(window_fp.select("wid", F.col("weight").alias("wa")), "wid")
+        .join(_small(of_item, n_items), F.expr("item_id <=> of")).select("wid", "item_id", "wa", "wb")
+    )
+    candidates = stash(near.union(anchored).distinct())
     shared = (
         candidates.join(in_windows, "wid").alias("x")
         .join(_small(of_items.select(F.col("item_id").alias("of"), F.col("gram").alias("g"), F.col("c").alias("ci")), n_grams), F.expr("item_id <=> of and gram = g"))

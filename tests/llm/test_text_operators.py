@@ -189,6 +189,15 @@ def test_decontamination_equals_brute_force(leaks):
     assert got == want and len(want) >= 11
 
 
+def test_decontamination_finds_short_near_copies(spark):
+    """One end word of an item changed: similar to 0.8 or more, however far apart the fingerprints are."""
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))) for i, n in enumerate([14, 16, 18, 20] * 15)]
+    rows = [(i, f"{text(rng, 20)} {t.rsplit(' ', 1)[0]} changed {text(rng, 20)}") for i, t in items]
+    found = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i, _ in items}
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "one two")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(odd_docs, items).collect()}
