@@ -273,3 +273,21 @@ def test_context_tree_equals_recursion():
                 p = w * one + (1 - w) * p if seen else 0.5
             log += math.log10(p if (code >> (7 - j)) & 1 else 1 - p)
         assert abs(log - tree.log10(np.array([code], np.uint32))[0]) < 1e-9
+
+
+def test_distributed_tree_equals_one_tree(spark, sf_dir, monkeypatch):
+    """Scores over the deep distributed tree are those of one tree in memory; contexts of five unfolded bytes count."""
+    monkeypatch.setattr(ctw, "FREQUENT_CODES", 500)  # most codes then take the join
+    training = [b"Ab one two three", b"ab one twO three four", b"zz one two"] * 3
+    scored = [*training[:3], b"one two new", b"", b"ab one two three"]
+    frame = lambda texts: spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    classes = ctw._classes()
+    tree = ctw.ContextTree(*np.unique(ctw._codes(training, classes)[0], return_counts=True))
+    for limit in (0, 20, 1000):
+        monkeypatch.setattr(ctw, "FREQUENT_CODES", limit)
+        got = {r["doc_id"]: r["score"] for r in ctw.score(frame(scored), frame(training)).collect()}
+        assert len(got) == len(scored)
+        for i, t in enumerate(scored):
+            assert abs(got[i] - tree.log10(ctw._codes([t], classes)[0]).sum()) < 1e-4
+    seen = ctw._codes([b"Abcdef", b"abcdef", b"Xbcdef"], classes)[0]
+    assert len(np.unique(seen)) == 21 - 2  # only the three ends have equal contexts of five bytes
