@@ -11,7 +11,7 @@ from sparquill.llm._common import stash, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every rule of the policy passes."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, "corpus")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ POLICIES = {
     "base": BASE,
     "v1": sum(BIT.values()),
     "v1_lenient": sum(BIT.values()) & ~BIT["shouting"] & ~BIT["repeated_lines"],
+    "corpus": sum(BIT.values()) & ~BIT["many_words"],  # length alone is no reason to leave a text out
 }
 
 

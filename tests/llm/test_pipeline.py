@@ -15,6 +15,11 @@ def test_stages_keep_columns_and_defaults(spark, odd_docs, no_docs, sf_dir):
         assert stage(spark, docs, sf_dir).count() == 0
 
 
+def test_long_clean_document_stays(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "\n".join(f"Wordle{i}" for i in range(100_001))), (2, "too short")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, sf_dir).collect()] == [1]
+
+
 def test_run_equals_plain_version(spark, sf_dir):
     from test_model_operators import crc, ids_of
     from test_text_operators import brute_components, brute_lines
