@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java and DuckDB spelling of the word separators: space and tab to carriage return.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
@@ -18,15 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (local tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder. There is no fallback
+    to a folder of one machine, which other machines could not read."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -37,6 +37,29 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which a table is sent to every task.
+BROADCAST_BYTES = 48 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its rows take at most `limit` bytes; else as it is, to be joined by a shuffle.
+
+    Counts the bytes in a job over df, so df should be a written table.
+    """
+
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+        if isinstance(kind, T.ArrayType):
+            return F.greatest(F.size(c), F.lit(0)) * 24 + 24
+        return F.lit(8 * len(kind.fields) + 16 if isinstance(kind, T.StructType) else 8)
+
+    # a hashed row takes a header, and twice the room while the relation is built
+    row = sum((width(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(32)) * 2
+    held = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= limit else df
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")

@@ -21,14 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, stash, table
+from ._common import components, small, stash, table
 from ._tokens import slices, worker_store
 
 N_GRAM = 4
 THRESHOLD = 85  # per cent
 SKETCH = 1 << 19
-#: A list of ids is sent to every task only up to this many rows.
-BROADCAST_ROWS = 1 << 20
 
 
 class _Hashes(dict):
@@ -98,7 +96,7 @@ def frequencies(docs: DataFrame, n: int = N_GRAM, sketch: int = SKETCH):
 
     found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(gather, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
     out = np.zeros(sketch, np.int64)
-    got = found.toPandas()  # `sketch` rows at most
+    got = found.toArrow()  # `sketch` rows at most; Arrow columns, as a Python object for each row would fill the driver
     out[got["bin"].to_numpy()] = got["n"].to_numpy()
     return out
 
@@ -147,9 +145,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             columns = [pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["set_id", "shingles"])
 
-    ids = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = small(wanted.select("doc_id").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids, "doc_id", "left_semi")
     found = texts.select("text").mapInArrow(sets, "set_id binary, shingles binary").dropDuplicates(["set_id"])
     return found.join(wanted.select("set_id", "rep"), "set_id").select("rep", "shingles")

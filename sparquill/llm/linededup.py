@@ -1,19 +1,23 @@
 """Line deduplication by an exact set-similarity join of lines.
 
-A line's tokens are its five-word shingles, as hashes. They are ordered by rarity, estimated from the corpus frequency of
-a shingle's first word, then by hash; lines of similarity t share a token within their prefixes of that order. Candidates
-meet on prefix tokens, pass length, positional and bitmap filters, are made distinct and verified once by the exact
-Jaccard similarity. A line is removed when an earlier line (by doc_id, then place in the text) has the same tokens or similar ones.
-
-Lines with equal tokens are a class, of which the first stands for all. A class first meets two leaders of each of its
-tokens, the earliest class and the one where the token stands first; only classes without an earlier match then meet the
-other earlier ones. So a group of near copies costs a pair per member and not its square, and no match is lost.
-
-Built-in expressions and joins only. Lines of fewer than five words have no token and always stay.
-
-Defined cases: null and empty texts have no lines to remove; repeated rows (same doc_id and text) are one document; equal
-doc_ids with different texts follow the text's hash; a null doc_id comes first; empty tables give no row; a document
-that `dedup` would leave with nothing but lines too short to have a token is dropped, as a copy; columns other than doc_id and text are carried, not read.
+A line's tokens are its five-word shingles, as hashes; a line of one to four words is one token of all its words. Tokens
+are ordered by rarity, estimated from the corpus frequency of a shingle's first word, then by hash; lines of similarity t
+share a token within their prefixes of that order. Candidates meet on prefix tokens, pass length, positional and bitmap
+filters, are made distinct and verified once by the exact Jaccard similarity. A line is removed when an earlier line (by
+doc_id, then place in the text) has the same tokens or similar ones.
+
+Lines with equal tokens are a class, named by two hashes (the tokens, and the set of words), of which the first stands for
+all. A class first meets two leaders of each of its tokens, the earliest class and the one where the token stands first;
+only classes without an earlier match then meet the other earlier ones. So a group of near copies costs a pair per member
+and not its square, and no match is lost. Tables are written before a join on a class or token, so that the join stands
+alone in its stage and a hot class or token is split among tasks (adaptive skew join).
+
+Built-in expressions and joins only.
+
+Defined cases: null and empty texts and lines without a word have nothing to remove; repeated rows (same doc_id and text)
+are one document; equal doc_ids with different texts follow the text's hash; a null doc_id comes first; empty tables give
+no row; a document that `dedup` would leave without any word is dropped, as a copy; columns other than doc_id and text
+are carried, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -21,14 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fence, stash, table
+from ._common import fence, small, stash, table
 
 N_GRAM = 5
 THRESHOLD = 80  # per cent
 #: Bins of the word-frequency table; each holds a class of one byte.
 BINS = 1 << 13
-#: Keys travel to every task only up to this many rows.
-BROADCAST_ROWS = 1 << 20
 #: Longs of a class's bitmap, in which every token sets one bit.
 BITMAP = 4
 
@@ -44,33 +46,37 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _bin(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(BINS - 1))
+def _bin(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BINS - 1)).cast("int")
 
 
-def word_classes(docs: DataFrame) -> bytes:
-    """A byte for each hash bin of words: 1 to 127, growing with the logarithm of the bin's count over all texts."""
-    counts = (
-        _lines(docs).select(F.explode_outer(_words(F.col("line"))).alias("w")).groupBy(_bin(F.col("w")).alias("bin")).agg(F.count("w").alias("n"))
-    )
-    table_ = bytearray([1]) * BINS
-    for r in counts.collect():  # BINS rows at most
-        table_[r["bin"]] = min(127, 1 + int(r["n"]).bit_length() * 3)
-    return bytes(table_)
+def word_classes(docs: DataFrame) -> list[int]:
+    """A number for each hash bin of words: 1 to 127, growing with the logarithm of the bin's count over all texts."""
+    words = _lines(docs).select(F.explode_outer(_words(F.col("line"))).alias("w"))
+    found = [1] * BINS
+    for r in words.groupBy(_bin(F.xxhash64("w")).alias("bin")).agg(F.count("w").alias("n")).collect():  # BINS rows at most
+        found[r["bin"]] = min(127, 1 + int(r["n"]).bit_length() * 3)
+    return found
 
 
-def _with_tokens(lines: DataFrame, classes: bytes) -> DataFrame:
-    """Adds tokens: distinct shingles as longs, rarest first. The rarity class is the top byte, a hash the rest."""
-    worded = fence(lines.withColumn("_w", _words(F.col("line"))).drop("line").where(F.size("_w") >= N_GRAM))
-    bits = (1 << 56) - 1
+def _with_tokens(lines: DataFrame, classes: list[int]) -> DataFrame:
+    """Adds tokens, and k1 and k2, which name the class. Tokens are distinct shingles as longs, rarest first: the rarity
+    class is the top byte, a hash the rest. Lines without a word go."""
+    worded = fence(lines.withColumn("_w", _words(F.col("line"))).drop("line"))
+    hashed = fence(worded.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")).where(F.size("_h") > 0)
+    rarity = F.expr(f"array({','.join(f'{c}Y' for c in classes)})")
+    bits = F.lit((1 << 56) - 1)
+    n = F.size("_h")
 
     def token(x, i):
-        rarity = F.ascii(F.substring(F.lit(bytearray(classes)), _bin(x).cast("int") + 1, 1).cast("string")).cast("long")
-        shingle = F.xxhash64(x, *[F.get("_w", i + j) for j in range(1, N_GRAM)])
-        return F.shiftleft(rarity, 56).bitwiseOR(shingle.bitwiseAND(F.lit(bits)))
+        shingle = F.xxhash64(x, *[F.get("_h", i + j) for j in range(1, N_GRAM)])
+        return F.shiftleft(F.get(rarity, _bin(x)).cast("long"), 56).bitwiseOR(shingle.bitwiseAND(bits))
 
-    shingles = F.transform(F.slice("_w", F.lit(1), F.size("_w") - (N_GRAM - 1)), token)
-    return fence(worded.withColumn("tokens", F.sort_array(F.array_distinct(shingles))).drop("_w"))
+    shingles = F.sort_array(F.array_distinct(F.transform(F.slice("_h", F.lit(1), F.greatest(n - (N_GRAM - 1), F.lit(0))), token)))
+    whole = F.array(F.xxhash64(n, "_h").bitwiseAND(bits))
+    tokened = fence(hashed.withColumn("tokens", F.when(n >= N_GRAM, shingles).otherwise(whole)))
+    # equal token sets have equal word sets, so the second hash splits no class and makes an accidental meeting of the first harmless
+    return tokened.withColumn("k1", F.xxhash64("tokens")).withColumn("k2", F.xxhash64(F.sort_array(F.array_distinct("_h")))).drop("_h")
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -106,51 +112,53 @@ def _bitmap(tokens: Column) -> list[Column]:
     return [part(i) for i in range(BITMAP)]
 
 
-def _limited(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _sets(docs: DataFrame, firsts: DataFrame, classes: bytes) -> DataFrame:
+def _sets(docs: DataFrame, firsts: DataFrame, classes: list[int]) -> DataFrame:
     """(key, tokens) of the classes in firsts (key, ord), from their first lines."""
-    ids = _limited(stash(firsts.select("ord.doc_id", "ord.tk").distinct())).alias("i")
-    chosen = docs.select("doc_id", "text").alias("d").join(ids, F.expr("d.doc_id <=> i.doc_id and xxhash64(d.text) = i.tk"), "left_semi")
-    wanted = firsts.select("key", F.col("ord.doc_id").alias("_d"), F.col("ord.tk").alias("_t"), F.col("ord.line_no").alias("_l"))
-    lines = _lines(chosen.dropDuplicates(["doc_id", "text"])).join(wanted, F.expr("doc_id <=> _d and tk = _t and line_no = _l"))
-    return _with_tokens(lines.select("key", "line"), classes)
+    wanted = firsts.groupBy(F.col("ord.doc_id").alias("of"), F.col("ord.tk").alias("of_tk")).agg(F.collect_list("ord.line_no").alias("nos"))
+    wanted = small(stash(wanted))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tk")).join(wanted, F.expr("doc_id <=> of and tk = of_tk"))
+    split = fence(texts.select("nos", F.split("text", "\n").alias("lines")))
+    lines = split.select(F.explode(F.transform("nos", lambda i: F.get("lines", i))).alias("line"))
+    # a repeated row gives its lines more than once
+    return _with_tokens(lines, classes).select(F.struct("k1", "k2").alias("key"), "tokens").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a earlier, b) that are similar."""
-    x, y = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    mine = stash(sets.join(small(stash(ends)), "key", "left_semi"))
+    x, y = mine.select(F.col("key").alias("a"), F.col("tokens").alias("x")), mine.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(100 * same >= threshold * (F.size("x") + F.size("y") - same)).select("a", "b", "ord")
 
 
 def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, tk, line_no, first): the lines that go, and the earliest line found to match, as (doc_id, tk, line_no)."""
+    """(doc_id, tk, line_no, first, is_copy): the lines that go, an earlier line that they match, as (doc_id, tk, line_no),
+    and whether an earlier line has the same tokens (`first` is then the earliest of these or an earlier similar one)."""
     classes = word_classes(docs)
-    tokened = _with_tokens(_lines(docs), classes)
     n = F.size("tokens")
-    lines = stash(
-        tokened.select("doc_id", "tk", "line_no", n.alias("n"), F.xxhash64("tokens").alias("key"), F.slice("tokens", F.lit(1), n - _ceil_div(n * threshold, 100) + 1).alias("prefix"))
-    )
+    prefix = F.slice("tokens", F.lit(1), n - _ceil_div(n * threshold, 100) + 1)
     # sets of fewer than four tokens are only similar to equal ones (3 of 4 is below the threshold)
     least = -(-threshold // (100 - threshold))
-    tokens = lines.where(F.col("n") >= least).select("key", "n", F.posexplode_outer("prefix").alias("pos", "token"))
-    met = tokens.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("token")
-    met = _limited(stash(met))
-    shared = stash(tokens.join(met, "token").distinct())  # tokens of two classes at least
-    ord_ = F.struct("doc_id", "tk", "line_no")
-    firsts = lines.groupBy("key").agg(F.min(ord_).alias("ord"), F.count("*").alias("copies"))
+    lines = stash(
+        _with_tokens(_lines(docs), classes).select("doc_id", "tk", "line_no", n.alias("n"), "k1", "k2", F.when(n >= least, prefix).alias("prefix"))
+    )
+    key, ord_ = F.struct("k1", "k2").alias("key"), F.struct("doc_id", "tk", "line_no")
+    firsts = stash(lines.groupBy("k1", "k2").agg(F.min(ord_).alias("ord"), F.count("*").alias("copies")).select(key, "ord", "copies"))
+    tokens = lines.where("prefix is not null").select("k1", "k2", "n", F.posexplode("prefix").alias("pos", "token"))
+    met = tokens.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("token")
+    met = small(stash(met))
+    shared = stash(tokens.join(met, "token").select("token", key, "n", "pos").distinct())  # tokens of two classes at least
     in_reach = stash(firsts.join(shared.select("key").distinct(), "key", "left_semi").select("key", "ord"))
     sets = stash(_sets(docs, in_reach, classes))
-    placed = stash(shared.join(in_reach.join(sets.select("key", *_bitmap(F.col("tokens"))), "key"), "key"))
+    facts = in_reach.join(sets.select("key", *_bitmap(F.col("tokens"))), "key")
+    placed = stash(shared.join(facts, "key"))
 
-    facts = ("ord", "key", "n", "pos", *(f"b{i}" for i in range(BITMAP)))
-    leaders = placed.groupBy("token").agg(F.min(F.struct(*facts)).alias("early"), F.min(F.struct("pos", *[c for c in facts if c != "pos"])).alias("front"))
-    sides = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in facts]) for side in ("early", "front")]
-    leaders = leaders.select("token", F.explode(F.array(*sides)).alias("l")).select("token", "l.*").distinct()
+    names = ("ord", "key", "n", "pos", *(f"b{i}" for i in range(BITMAP)))
+    leaders = placed.groupBy("token").agg(F.min(F.struct(*names)).alias("early"), F.min(F.struct("pos", *[c for c in names if c != "pos"])).alias("front"))
+    sides = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in names]) for side in ("early", "front")]
+    leaders = stash(leaders.select("token", F.explode(F.array_distinct(F.array(*sides))).alias("l")).select("token", "l.*"))
     p, l = placed.alias("p"), leaders.alias("l")
     before = F.col("l.ord") < F.col("p.ord")
     first = stash(
@@ -161,7 +169,7 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
     found = stash(_verified(first, sets, threshold))
 
-    open_ = placed.join(found.select(F.col("b").alias("key")).distinct(), "key", "left_anti")
+    open_ = stash(placed.join(found.select(F.col("b").alias("key")).distinct(), "key", "left_anti"))
     y, x = open_.alias("y"), placed.alias("x")
     second = (
         y.join(x, F.col("x.token") == F.col("y.token")).where((F.col("x.ord") < F.col("y.ord")) & _may_match("x", "y", threshold))
@@ -172,26 +180,26 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     matched = found.groupBy(F.col("b").alias("key")).agg(F.min("ord").alias("match"))
     gone = firsts.join(matched, "key", "left").where((F.col("copies") > 1) | F.col("match").isNotNull())
+    gone = stash(gone.select(F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), "ord", "match"))
+    is_copy = ord_ != F.col("ord")
     return (
-        lines.select("doc_id", "tk", "line_no", "key").join(gone, "key")
-        .where(F.col("match").isNotNull() | (ord_ != F.col("ord")))
-        .select("doc_id", "tk", "line_no", F.coalesce("match", "ord").alias("first")).distinct()
+        lines.select("doc_id", "tk", "line_no", "k1", "k2").join(gone, ["k1", "k2"])
+        .where(F.col("match").isNotNull() | is_copy)
+        .select("doc_id", "tk", "line_no", F.coalesce("match", "ord").alias("first"), is_copy.alias("is_copy")).distinct()
     )
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with the matching lines taken out of their texts; documents left without a line of N_GRAM words are dropped."""
-    gone = stash(matches(docs, threshold).groupBy("doc_id", "tk").agg(F.collect_set("line_no").alias("_gone")))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("tk").alias("_t"), "_gone")
-    kept = F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains("_gone", i))
-    columns = docs.columns
-    joined = docs.join(_limited(gone), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left")
-    cut = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    cut = fence(cut.select(*[F.coalesce(F.array_join("_kept", "\n"), F.col("text")).alias(c) if c == "text" else F.col(c) for c in columns], F.exists("_kept", lambda l: F.size(_words(l)) >= N_GRAM).alias("_more")))
-    return cut.where("_more is null or _more").drop("_more")
+    """docs with the matching lines taken out of their texts; documents left without a word by that are dropped."""
+    gone = stash(matches(docs, threshold).groupBy(F.col("doc_id").alias("of"), F.col("tk").alias("of_tk")).agg(F.collect_set("line_no").alias("gone")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("tk"))
+    joined = rows.join(small(gone), F.expr("id <=> of and tk = of_tk"), "left")
+    kept = F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains("gone", i))
+    cut = fence(joined.select("row", F.when(F.col("gone").isNotNull(), kept).alias("kept")))
+    more = fence(cut.withColumn("more", F.exists("kept", lambda l: F.size(_words(l)) > 0))).where("more is null or more")
+    text = F.coalesce(F.array_join("kept", "\n"), F.col("row")["text"])
+    return more.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").cast("long").alias("first_line_no")
-    )
+    return matches(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_copy")
