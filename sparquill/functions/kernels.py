@@ -1,4 +1,8 @@
-"""The codecs over NumPy batches (rows, dim), for Arrow UDFs. A second form of what `expressions` says."""
+"""The codecs over NumPy batches (rows, dim), for Arrow UDFs. A second form of what `expressions` says.
+
+A spec, or what `udfs.constants` takes from one, gives the constants. Sums are in double precision, as codes at a cell's
+edge would else differ between machines; a cell is found by comparing with each edge in turn, at most 15 passes.
+"""
 
 from __future__ import annotations
 
@@ -6,19 +10,27 @@ import numpy as np
 
 from ..specs import STORED_BITS, MseSpec, ProdSpec, ValueSpec, packed_bytes
 
+ROWS = 2048  # rows worked on at once, so that the intermediate arrays stay in the processor's cache
+
 
 def pack(indices, bits: int):
     """(n, dim) small numbers to (n, packed_bytes) uint8, lowest bits first."""
     width = STORED_BITS[bits]
-    indices = np.asarray(indices, np.uint8)
+    indices = np.ascontiguousarray(indices, np.uint8)
     if width == 8:
         return indices
     n, dim = indices.shape
+    if width == 1:
+        return np.packbits(indices, axis=1, bitorder="little")
     per = 8 // width
-    full = np.zeros((n, packed_bytes(dim, bits) * per), np.uint8)
-    full[:, :dim] = indices
-    full = full.reshape(n, packed_bytes(dim, bits), per)
-    return np.bitwise_or.reduce(full << (np.arange(per, dtype=np.uint8) * width), 2).astype(np.uint8)
+    if dim % per:
+        full = np.zeros((n, packed_bytes(dim, bits) * per), np.uint8)
+        full[:, :dim] = indices
+        indices = full
+    out = indices[:, ::per].copy()
+    for k in range(1, per):
+        out |= indices[:, k::per] << np.uint8(width * k)
+    return out
 
 
 def unpack(data, dim: int, bits: int):
@@ -26,17 +38,34 @@ def unpack(data, dim: int, bits: int):
     data = np.asarray(data, np.uint8)
     if width == 8:
         return data[:, :dim]
+    if width == 1:
+        return np.unpackbits(data, axis=1, count=dim, bitorder="little")
     per = 8 // width
-    out = (data[:, :, None] >> (np.arange(per, dtype=np.uint8) * width)) & ((1 << width) - 1)
-    return out.reshape(len(data), data.shape[1] * per)[:, :dim]
+    out = np.empty((len(data), data.shape[1] * per), np.uint8)
+    for k in range(per):
+        out[:, k::per] = (data >> np.uint8(width * k)) & np.uint8((1 << width) - 1)
+    return out[:, :dim]
+
+
+def _parts(n: int):
+    for at in range(0, n, ROWS):
+        yield slice(at, min(n, at + ROWS))
+
+
+def lengths(x):
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
 def mse_cells(x, pi, boundaries):
     """(cells, norms) of the rows of x."""
     x = np.asarray(x, np.float64)
-    norms = np.sqrt((x * x).sum(1))
-    turned = (x * (1 / (norms + 1e-10))[:, None]) @ pi.T
-    return np.searchsorted(np.asarray(boundaries), turned, side="left").astype(np.uint8), norms
+    cells, norms = np.zeros(x.shape, np.uint8), lengths(x)
+    by = (1 / (norms + 1e-10))[:, None]
+    for rows in _parts(len(x)):
+        turned, found = (x[rows] * by[rows]) @ pi.T, cells[rows]
+        for edge in boundaries:  # a value on an edge belongs to the lower cell
+            found += (turned > edge).view(np.uint8)
+    return cells, norms
 
 
 def mse_quantize(x, spec: MseSpec):
@@ -44,41 +73,98 @@ def mse_quantize(x, spec: MseSpec):
     return pack(cells, spec.bits), norms
 
 
+def mse_levels(data, spec: MseSpec):
+    """The levels of the cells, still rotated and of unit scale."""
+    return np.asarray(spec.codebook.centroids)[unpack(data, spec.dim, spec.bits)]
+
+
 def mse_dequantize(data, norms, spec: MseSpec):
-    levels = np.asarray(spec.codebook.centroids)[unpack(data, spec.dim, spec.bits)]
-    return (levels @ spec.pi) * np.asarray(norms)[:, None]
+    out = np.empty((len(data), spec.dim))
+    for rows in _parts(len(data)):
+        np.matmul(mse_levels(data[rows], spec), spec.pi, out=out[rows])
+    out *= np.asarray(norms)[:, None]
+    return out
 
 
 def prod_quantize(x, spec: ProdSpec):
     """(mse_indices, qjl_signs, residual_norms, norms)."""
     x = np.asarray(x, np.float64)
-    data, norms = mse_quantize(x, spec.mse)
-    rest = x - mse_dequantize(data, norms, spec.mse)
-    return data, pack((rest @ spec.s.T > 0).astype(np.uint8), 1), np.sqrt((rest * rest).sum(1)), norms
+    cells, norms = mse_cells(x, spec.mse.pi, spec.mse.codebook.boundaries)
+    levels, signs, rest_norms = np.asarray(spec.mse.codebook.centroids), np.empty(x.shape, np.uint8), np.empty(len(x))
+    for rows in _parts(len(x)):
+        rest = x[rows] - (levels[cells[rows]] @ spec.mse.pi) * norms[rows, None]
+        rest_norms[rows] = lengths(rest)
+        signs[rows] = rest @ spec.s.T > 0
+    return pack(cells, spec.mse.bits), pack(signs, 1), rest_norms, norms
+
+
+def sign_values(signs, dim: int):
+    return unpack(signs, dim, 1) * 2.0 - 1
 
 
 def prod_dequantize(data, signs, residual_norms, norms, spec: ProdSpec):
-    pm = unpack(signs, spec.dim, 1).astype(np.float64) * 2 - 1
-    return mse_dequantize(data, norms, spec.mse) + spec.scale * np.asarray(residual_norms)[:, None] * (pm @ spec.s)
+    out = mse_dequantize(data, norms, spec.mse)
+    fine = spec.scale * np.asarray(residual_norms)[:, None]
+    for rows in _parts(len(out)):
+        out[rows] += fine[rows] * (sign_values(signs[rows], spec.dim) @ spec.s)
+    return out
 
 
-def prod_score(query, data, signs, residual_norms, norms, spec: ProdSpec):
-    """(queries, keys) estimates of the inner products; the queries are rotated, the keys are not."""
+def prod_query(query, spec: ProdSpec):
+    """(rotated, sketched) queries: what keys in code form are multiplied with."""
     query = np.asarray(query, np.float64)
-    levels = np.asarray(spec.mse.codebook.centroids)[unpack(data, spec.dim, spec.bits - 1)]
-    pm = unpack(signs, spec.dim, 1).astype(np.float64) * 2 - 1
-    return (query @ spec.mse.pi.T) @ levels.T * np.asarray(norms) + spec.scale * np.asarray(residual_norms) * ((query @ spec.s.T) @ pm.T)
+    return query @ spec.mse.pi.T, query @ spec.s.T
+
+
+def prod_score(query, data, signs, residual_norms, norms, spec: ProdSpec):
+    """(queries, keys) estimates of the inner products."""
+    return scores(prod_query(query, spec), data, signs, residual_norms, norms, spec)
+
+
+def scores(prepared, data, signs, residual_norms, norms, spec: ProdSpec):
+    """`prod_score` with queries from `prod_query`: queries are rotated once, keys are never rotated back."""
+    turned, sketched = prepared
+    out = turned @ mse_levels(data, spec.mse).T * np.asarray(norms)
+    out += spec.scale * np.asarray(residual_norms) * (sketched @ sign_values(signs, spec.dim).T)
+    return out
 
 
 def value_quantize(v, spec: ValueSpec):
     """(data, scales, zeros)."""
-    groups = np.asarray(v, np.float64).reshape(len(v), -1, spec.group_size)
+    groups = np.asarray(v, np.float64).reshape(len(v), spec.dim // spec.group_size, spec.group_size)
     zeros = groups.min(2)
     scales = np.maximum((groups.max(2) - zeros) * (1.0 / spec.levels), 1e-10)
     codes = np.clip(np.rint((groups - zeros[:, :, None]) * (1 / scales)[:, :, None]), 0, spec.levels)
-    return pack(codes.reshape(len(v), -1).astype(np.uint8), spec.bits), scales, zeros
+    return pack(codes.reshape(len(v), spec.dim).astype(np.uint8), spec.bits), scales, zeros
 
 
 def value_dequantize(data, scales, zeros, spec: ValueSpec):
-    codes = unpack(data, spec.dim, spec.bits).reshape(len(data), -1, spec.group_size)
-    return (codes * np.asarray(scales)[:, :, None] + np.asarray(zeros)[:, :, None]).reshape(len(data), -1)
+    codes = unpack(data, spec.dim, spec.bits).reshape(len(data), spec.dim // spec.group_size, spec.group_size)
+    return (codes * np.asarray(scales)[:, :, None] + np.asarray(zeros)[:, :, None]).reshape(len(data), spec.dim)
+
+
+class Partial:
+    """Softmax attention of some queries over the tokens seen so far: the largest logit, the sum of exponentials relative
+    to it, and the values weighted by them. Two partials merge into that of both their tokens."""
+
+    def __init__(self, queries: int, dim: int):
+        self.most = np.full(queries, -np.inf)
+        self.total = np.zeros(queries)
+        self.sums = np.zeros((queries, dim))
+
+    def add(self, at, logits, values):
+        """Tokens with logits (queries at, tokens) and values (tokens, dim)."""
+        if not logits.shape[1]:
+            return
+        most = np.maximum(self.most[at], logits.max(1))
+        keep = np.exp(self.most[at] - most)
+        weights = np.exp(logits - most[:, None])
+        self.total[at] = self.total[at] * keep + weights.sum(1)
+        self.sums[at] = self.sums[at] * keep[:, None] + weights @ values
+        self.most[at] = most
+
+
+def merged(most, total, sums):
+    """(total, sums) of partials of one query, relative to their largest logit."""
+    by = np.exp(most - most.max())
+    return by @ total, by @ sums

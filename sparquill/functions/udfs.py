@@ -1,11 +1,16 @@
 """Arrow UDFs over the NumPy kernels, and their SQL names.
 
-A vector column is one contiguous buffer per Arrow batch, so a batch is a matrix without a Python loop. A null vector
-gives a null code. A wrong length or a value that is not finite is an error, or with mode="permissive" a null code.
+A vector column is one contiguous buffer per Arrow batch, so a batch is a matrix without a Python loop; codes go back as
+one buffer of bytes with offsets. A null vector gives a null code. A wrong length or a value that is not finite is an
+error, or with mode="permissive" a null code.
+
+Functions that run on workers name other functions, never modules of this package: a function travels by value, with what
+it names, while a module would be looked up on the worker.
 """
 
 from __future__ import annotations
 
+import types
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
@@ -13,14 +18,17 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..specs import MseSpec, ProdSpec, ValueSpec, packed_bytes
-from . import kernels as k
+from .kernels import (
+    mse_dequantize, mse_levels, mse_quantize, prod_dequantize, prod_quantize, prod_query, sign_values, value_dequantize, value_quantize,
+)
 
 MSE_TYPE = "struct<indices:binary,norm:float>"
 PROD_TYPE = "struct<mse_indices:binary,qjl_signs:binary,residual_norm:float,norm:float>"
 VALUE_TYPE = "struct<data:binary,scales:array<float>,zeros:array<float>>"
+TYPES = {MseSpec: MSE_TYPE, ProdSpec: PROD_TYPE, ValueSpec: VALUE_TYPE}
 
 
-def _matrix(column, dim: int, mode: str):
+def vectors(column, dim: int, mode: str = "strict"):
     """(valid rows, matrix of those rows) of an Arrow list column."""
     import numpy as np
     import pyarrow as pa
@@ -30,10 +38,11 @@ def _matrix(column, dim: int, mode: str):
     ok = lengths == dim
     if mode == "strict" and (~ok & (lengths != -1)).any():
         raise ValueError(f"a vector does not have {dim} elements")
-    flat = np.asarray(pc.fill_null(column.filter(pa.array(ok)).flatten().cast(pa.float64()), float("nan")))
-    x = flat.reshape(-1, dim)
-    finite = np.isfinite(x).all(1)
-    if not finite.all():
+    flat = (column if ok.all() else column.filter(pa.array(ok))).flatten()
+    if flat.null_count:
+        flat = pc.fill_null(flat, float("nan"))
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+    if not np.isfinite(x.sum()) and not (finite := np.isfinite(x).all(1)).all():
         if mode == "strict":
             raise ValueError("a vector holds a null or a value that is not finite")
         ok[np.nonzero(ok)[0][~finite]] = False
@@ -46,60 +55,84 @@ def _spread(ok, values):
     import numpy as np
     import pyarrow as pa
 
+    if ok.all():
+        return values
     at = np.where(ok, np.cumsum(ok) - 1, 0)
     return values.take(pa.array(at, mask=~ok))
 
 
 def _binary(rows):
+    """Rows of a uint8 matrix as an Arrow binary array, without a copy for each."""
+    import numpy as np
     import pyarrow as pa
 
-    return pa.array([r.tobytes() for r in rows], pa.binary())
+    rows = np.ascontiguousarray(rows, np.uint8)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
 
 
 def _bytes(column, width: int):
-    """Arrow binary column of fixed width to a (rows, width) matrix."""
+    """Arrow binary column of fixed width and without nulls to a (rows, width) matrix."""
     import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
 
-    if len(column) and not pc.all(pc.equal(pc.binary_length(column), width)).as_py():
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    _, offsets, data = column.buffers()
+    kind = np.int64 if "large" in str(column.type) else np.int32
+    ends = np.frombuffer(offsets, kind, len(column) + 1, column.offset * np.dtype(kind).itemsize)
+    if (np.diff(ends) != width).any():
         raise ValueError(f"a code does not have {width} bytes")
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width) if len(column) else np.zeros((0, width), np.uint8)
+    return np.frombuffer(data, np.uint8, len(column) * width, int(ends[0])).reshape(-1, width)
 
 
-def _lists(x):
+def lists(x, kind: str = "float32"):
     import numpy as np
     import pyarrow as pa
 
-    x = np.ascontiguousarray(x, np.float32)
+    x = np.ascontiguousarray(x, kind)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
 
 
+def code_parts(code, spec) -> tuple:
+    """NumPy parts of an Arrow struct column of codes without nulls, as the kernels take them."""
+    import numpy as np
+
+    def matrix(name):
+        return np.asarray(code.field(name).flatten(), np.float64).reshape(len(code), -1) if len(code) else np.zeros((0, spec.dim // spec.group_size))
+
+    number = lambda name: np.asarray(code.field(name), np.float64)
+    if hasattr(spec, "group_size"):
+        return _bytes(code.field("data"), packed_bytes(spec.dim, spec.bits)), matrix("scales"), matrix("zeros")
+    if hasattr(spec, "mse"):
+        data, signs = _bytes(code.field("mse_indices"), packed_bytes(spec.dim, spec.bits - 1)), _bytes(code.field("qjl_signs"), packed_bytes(spec.dim, 1))
+        return data, signs, number("residual_norm"), number("norm")
+    return _bytes(code.field("indices"), packed_bytes(spec.dim, spec.bits)), number("norm")
+
+
 def encoder(spec: MseSpec | ProdSpec | ValueSpec, mode: str = "strict") -> Callable:
     """Column function: vector -> code struct of the spec's codec."""
     if mode not in ("strict", "permissive"):
         raise InvalidArgument(mode)
-    kind = {MseSpec: MSE_TYPE, ProdSpec: PROD_TYPE, ValueSpec: VALUE_TYPE}[type(spec)]
-    constants = _constants(spec)
+    kind = type(spec).__name__
+    held = constants(spec)
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(TYPES[type(spec)])
     def encode(x):
         import numpy as np
         import pyarrow as pa
 
-
-        local = constants()
-        ok, m = _matrix(x, spec.dim, mode)
+        local = held()
+        ok, m = vectors(x, local.dim, mode)
         f32 = lambda a: pa.array(np.asarray(a, np.float32))
-        if isinstance(spec, MseSpec):
-            data, norms = k.mse_quantize(m, local)
+        if kind == "MseSpec":
+            data, norms = mse_quantize(m, local)
             parts = {"indices": _binary(data), "norm": f32(norms)}
-        elif isinstance(spec, ProdSpec):
-            data, signs, rest, norms = k.prod_quantize(m, local)
+        elif kind == "ProdSpec":
+            data, signs, rest, norms = prod_quantize(m, local)
             parts = {"mse_indices": _binary(data), "qjl_signs": _binary(signs), "residual_norm": f32(rest), "norm": f32(norms)}
         else:
-            data, scales, zeros = k.value_quantize(m, local) if len(m) else (m, np.zeros((0, 1)), np.zeros((0, 1)))
-            parts = {"data": _binary(data), "scales": _lists(scales), "zeros": _lists(zeros)}
+            data, scales, zeros = value_quantize(m, local)
+            parts = {"data": _binary(data), "scales": lists(scales), "zeros": lists(zeros)}
         return _spread(ok, pa.StructArray.from_arrays(list(parts.values()), list(parts)))
 
     return encode
@@ -107,74 +140,58 @@ def encoder(spec: MseSpec | ProdSpec | ValueSpec, mode: str = "strict") -> Calla
 
 def decoder(spec: MseSpec | ProdSpec | ValueSpec) -> Callable:
     """Column function: code struct -> vector. A code of the wrong width is an error, a null code a null vector."""
-    constants = _constants(spec)
+    decode_parts = {MseSpec: mse_dequantize, ProdSpec: prod_dequantize, ValueSpec: value_dequantize}[type(spec)]
+    held = constants(spec)
 
     @F.arrow_udf("array<float>")
     def decode(code):
         import numpy as np
 
-
-        local = constants()
+        local = held()
         ok = np.asarray(code.is_valid())
-        c = code.filter(code.is_valid())
-        num = lambda n: np.asarray(c.field(n), np.float64)
-        rows = lambda n: np.asarray(c.field(n).flatten(), np.float64).reshape(len(c), -1)
-        if isinstance(spec, MseSpec):
-            out = k.mse_dequantize(_bytes(c.field("indices"), packed_bytes(spec.dim, spec.bits)), num("norm"), local)
-        elif isinstance(spec, ProdSpec):
-            parts = _bytes(c.field("mse_indices"), packed_bytes(spec.dim, spec.bits - 1)), _bytes(c.field("qjl_signs"), packed_bytes(spec.dim, 1))
-            out = k.prod_dequantize(*parts, num("residual_norm"), num("norm"), local)
-        else:
-            data = _bytes(c.field("data"), packed_bytes(spec.dim, spec.bits))
-            out = k.value_dequantize(data, rows("scales"), rows("zeros"), local) if len(c) else np.zeros((0, spec.dim))
-        return _spread(ok, _lists(out))
+        return _spread(ok, lists(decode_parts(*code_parts(code if ok.all() else code.filter(code.is_valid()), local), local)))
 
     return decode
 
 
 def scorer(spec: ProdSpec) -> Callable:
     """Column function: (query vector, code struct) -> estimate of their inner product, row by row."""
-    constants = _constants(spec)
+    held = constants(spec)
 
     @F.arrow_udf("double")
     def score(q, code):
         import numpy as np
         import pyarrow as pa
 
-
-        local = constants()
-        ok, m = _matrix(q, spec.dim, "strict")
+        local = held()
+        ok, _ = vectors(q, local.dim)
         ok &= np.asarray(code.is_valid())
-        c = code.filter(pa.array(ok))
-        m = _matrix(q.filter(pa.array(ok)), spec.dim, "strict")[1]
-        levels = np.asarray(local.mse.codebook.centroids)[k.unpack(_bytes(c.field("mse_indices"), packed_bytes(spec.dim, spec.bits - 1)), spec.dim, spec.bits - 1)]
-        pm = k.unpack(_bytes(c.field("qjl_signs"), packed_bytes(spec.dim, 1)), spec.dim, 1) * 2.0 - 1
-        coarse = ((m @ local.mse.pi.T) * levels).sum(1) * np.asarray(c.field("norm"), np.float64)
-        fine = ((m @ local.s.T) * pm).sum(1) * np.asarray(c.field("residual_norm"), np.float64) * local.scale
+        turned, sketched = prod_query(vectors(q.filter(pa.array(ok)), local.dim)[1], local)
+        data, signs, rest, norms = code_parts(code.filter(pa.array(ok)), local)
+        coarse = (turned * mse_levels(data, local.mse)).sum(1) * norms
+        fine = (sketched * sign_values(signs, local.dim)).sum(1) * rest * local.scale
         return _spread(ok, pa.array(coarse + fine))
 
     return score
 
 
-class _Frozen:
-    """A spec's constants as made on the driver, so that executors never derive them."""
-
-    def __init__(self, **parts):
-        self.__dict__.update(parts)
+def plain(spec):
+    """A spec's constants as made on the driver. Of standard types only, so that workers need no copy of this package."""
+    if isinstance(spec, MseSpec):
+        book = types.SimpleNamespace(centroids=spec.codebook.centroids, boundaries=spec.codebook.boundaries)
+        return types.SimpleNamespace(dim=spec.dim, bits=spec.bits, pi=spec.pi, codebook=book)
+    if isinstance(spec, ProdSpec):
+        return types.SimpleNamespace(dim=spec.dim, bits=spec.bits, mse=plain(spec.mse), s=spec.s, scale=spec.scale)
+    return types.SimpleNamespace(dim=spec.dim, bits=spec.bits, group_size=spec.group_size, levels=spec.levels)
 
 
-def _constants(spec) -> Callable:
-    if isinstance(spec, MseSpec):
-        held = _Frozen(dim=spec.dim, bits=spec.bits, pi=spec.pi, codebook=spec.codebook)
-    elif isinstance(spec, ProdSpec):
-        inner = _Frozen(dim=spec.dim, bits=spec.bits - 1, pi=spec.mse.pi, codebook=spec.mse.codebook)
-        held = _Frozen(dim=spec.dim, bits=spec.bits, mse=inner, s=spec.s, scale=spec.scale)
-    else:
-        held = spec
+def constants(spec) -> Callable:
+    """A function that gives `plain(spec)` on a worker, from a broadcast of at most two matrices of dim x dim."""
     session = SparkSession.getActiveSession()
     if session is None:
+        held = plain(spec)
         return lambda: held
-    shared = session.sparkContext.broadcast(held)  # two matrices of dim x dim at most
+    shared = session.sparkContext.broadcast(plain(spec))
     return lambda: shared.value
 
 

@@ -1,4 +1,10 @@
-"""Softmax attention of grouped query heads over a compressed history and recent tokens."""
+"""Softmax attention of grouped query heads over a compressed history and recent tokens.
+
+A task goes over its tokens once, batch by batch, and keeps for each query the largest logit, the sum of exponentials
+relative to it and the weighted values. These partials, one per task and query, are merged by a small aggregation, so
+neither tokens nor logits are shuffled, and a head that holds all tokens is spread over all tasks. Queries come in blocks
+(`score.query_blocks`), each one pass over the tokens.
+"""
 
 from __future__ import annotations
 
@@ -7,45 +13,146 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidArgument, InvalidDim
-from ..functions import expressions as x
+from ..errors import InvalidArgument, InvalidDim, ShapeMismatch
+from ..functions.kernels import Partial, merged, prod_query, scores, value_dequantize
+from ..functions.udfs import code_parts, constants, lists, vectors
 from ..specs import KvSpec
-from .kv import decompress
+from .score import query_blocks
+
+_PARTIAL = "q_token int, q_head int, most double, total double, sums array<double>"
+
+
+def _check(queries: DataFrame, head_dim: int, num_query_heads: int, num_kv_heads: int) -> None:
+    if num_query_heads < 1:
+        raise InvalidDim("no query heads")
+    if num_query_heads % num_kv_heads:
+        raise InvalidArgument(f"{num_query_heads} query heads do not share {num_kv_heads} key heads evenly")
+    odd = queries.where((F.size("q") != head_dim) | (F.col("q_head") < 0) | (F.col("q_head") >= num_query_heads))
+    if not odd.isEmpty():
+        raise ShapeMismatch(f"a query has not {head_dim} elements, or a head that is not 0 to {num_query_heads - 1}")
+
+
+def _blocks(queries: DataFrame, dim: int):
+    """(q_token, q_head, matrix) of each block of queries."""
+    import numpy as np
+
+    named = queries.select(F.col("q_token").cast("int"), F.col("q_head").cast("int"), "q")
+    for table in query_blocks(named, "q", dim, 4):
+        ok, x = vectors(table["q"].combine_chunks(), dim)
+        yield (*(np.asarray(table[c].combine_chunks())[ok] for c in ("q_token", "q_head")), x)
+
+
+def _partials(tokens: DataFrame, held, shared, per_head: int, scale: float, dim: int) -> DataFrame:
+    """Partials of the broadcast queries over tokens (kv_head, key, value), which are codes if held gives the constants of both codecs."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        q_token, q_head, *queries = shared.value
+        local = held() if held else None
+        found = Partial(len(q_token), dim)
+        heads = q_head // per_head
+        seen = np.zeros(len(q_token), bool)
+        for batch in batches:
+            for head in np.unique(heads):
+                at = np.nonzero(heads == head)[0]
+                mine = batch.filter(pc.equal(batch.column(0), int(head)))
+                if not mine.num_rows or not len(at):
+                    continue
+                if local:
+                    logits = scores(tuple(x[at] for x in queries), *code_parts(mine.column(1), local[0]), local[0])
+                    values = value_dequantize(*code_parts(mine.column(2), local[1]), local[1])
+                else:
+                    logits = queries[0][at] @ vectors(mine.column(1), dim)[1].T
+                    values = vectors(mine.column(2), dim)[1]
+                found.add(at, logits * scale, values)
+                seen[at] = True
+        if seen.any():
+            columns = [pa.array(q_token[seen]), pa.array(q_head[seen]), pa.array(found.most[seen]), pa.array(found.total[seen])]
+            yield pa.RecordBatch.from_arrays([*columns, lists(found.sums[seen], "float64")], names=["q_token", "q_head", "most", "total", "sums"])
+
+    return tokens.mapInArrow(run, _PARTIAL)
+
+
+def _merge(partials: DataFrame) -> DataFrame:
+    """(q_token, q_head, most, total, sums) of each query; a group has a row for each task that saw tokens of its head."""
+
+    def one(table):
+        import numpy as np
+        import pyarrow as pa
+
+        most, total = (table[c].to_numpy() for c in ("most", "total"))
+        sums = np.asarray(table["sums"].combine_chunks().flatten()).reshape(len(most), -1)
+        total, sums = merged(most, total, sums)
+        return pa.table({"q_token": table["q_token"][:1], "q_head": table["q_head"][:1], "most": [most.max()], "total": [total], "sums": [sums.tolist()]})
+
+    return partials.groupBy("q_token", "q_head").applyInArrow(one, _PARTIAL)
 
 
 def hybrid_attention(queries: DataFrame, store: DataFrame, recent: DataFrame, spec: KvSpec, num_query_heads: int, scale: float = 0.0) -> DataFrame:
     """(q_token, q_head, pos, value) for queries (q_token, q_head, q).
 
-    store holds (kv_head, token_idx) with code parts, recent (kv_head, token_idx, key, value). A history of fewer than
-    spec.min_history tokens is not attended to, also when there are recent ones. Without any token the result is zero.
-    Keys join queries on the head. The largest logit per query is found first; then one aggregation with partial sums
-    forms the weighted values and their total, so that no task holds all tokens of a head.
+    store holds (kv_head, token_idx) with the code columns key_code and value_code, recent (kv_head, token_idx, key, value).
+    A history of fewer than spec.min_history tokens is not attended to, also when there are recent ones. Without any token
+    the result is zero. A token with a null vector or code is not attended to.
     """
-    if num_query_heads < 1:
-        raise InvalidDim("no query heads")
-    if num_query_heads % spec.num_kv_heads:
-        raise InvalidArgument(f"{num_query_heads} query heads do not share {spec.num_kv_heads} key heads evenly")
+    _check(queries, spec.head_dim, num_query_heads, spec.num_kv_heads)
     scale = scale if scale > 0 else 1 / math.sqrt(spec.head_dim)
     per_head = num_query_heads // spec.num_kv_heads
     attended = store.select("token_idx").distinct().limit(spec.min_history).count() >= spec.min_history
-    tokens = recent.select("kv_head", x.doubles(F.col("key")).alias("k"), x.doubles(F.col("value")).alias("v"))
-    if attended:
-        tokens = decompress(store, spec).select("kv_head", F.col("key").alias("k"), F.col("value").alias("v")).unionByName(tokens)
-    asked = queries.select("q_token", "q_head", F.floor(F.col("q_head") / per_head).cast("int").alias("kv_head"), x.doubles(F.col("q")).alias("qd"))
-    logits = x.fence(tokens.join(asked, "kv_head").select("q_token", "q_head", (x.dot(F.col("qd"), F.col("k")) * scale).alias("s"), "v"))
-    most = logits.groupBy("q_token", "q_head").agg(F.max("s").alias("m"))
-    weighed = logits.join(most, ["q_token", "q_head"]).select("q_token", "q_head", F.exp(F.col("s") - F.col("m")).alias("w"), F.posexplode("v").alias("pos", "x"))
-    sums = weighed.groupBy("q_token", "q_head", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("value"))
+    key, value = constants(spec.key), constants(spec.value)
+    coded = store.where("key_code is not null and value_code is not null").select("kv_head", "key_code", "value_code")
+    late = recent.where("key is not null and value is not null").select("kv_head", "key", "value")
+    spark, found = queries.sparkSession, None
+    for q_token, q_head, x in _blocks(queries, spec.head_dim):
+        part = _partials(late, None, spark.sparkContext.broadcast((q_token, q_head, x)), per_head, scale, spec.head_dim)
+        if attended:
+            asked = spark.sparkContext.broadcast((q_token, q_head, *prod_query(x, spec.key)))
+            part = part.unionByName(_partials(coded, lambda: (key(), value()), asked, per_head, scale, spec.head_dim))
+        found = part if found is None else found.unionByName(part)
+    values = _merge(found).select("q_token", "q_head", F.posexplode(F.transform("sums", lambda v: v / F.col("total"))).alias("pos", "value"))
     places = queries.select("q_token", "q_head", F.explode(F.sequence(F.lit(0), F.lit(spec.head_dim - 1))).alias("pos"))
-    return places.join(sums, ["q_token", "q_head", "pos"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return places.join(values, ["q_token", "q_head", "pos"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def attention_weights(queries: DataFrame, tokens: DataFrame, num_query_heads: int, num_kv_heads: int, head_dim: int, scale: float = 0.0) -> DataFrame:
-    """(q_token, q_head, token_idx, weight) over uncompressed tokens."""
+    """(q_token, q_head, token_idx, weight) over uncompressed tokens (kv_head, token_idx, key).
+
+    Two passes over the tokens: the first finds each query's largest logit and its sum, the second gives the weights.
+    """
+    _check(queries, head_dim, num_query_heads, num_kv_heads)
     scale = scale if scale > 0 else 1 / math.sqrt(head_dim)
-    asked = queries.select("q_token", "q_head", F.floor(F.col("q_head") / (num_query_heads // num_kv_heads)).cast("int").alias("kv_head"), x.doubles(F.col("q")).alias("qd"))
-    logits = x.fence(tokens.join(asked, "kv_head").select("q_token", "q_head", "token_idx", (x.dot(F.col("qd"), x.doubles(F.col("key"))) * scale).alias("s")))
-    most = logits.groupBy("q_token", "q_head").agg(F.max("s").alias("m"))
-    e = logits.join(most, ["q_token", "q_head"]).withColumn("e", F.exp(F.col("s") - F.col("m")))
-    total = e.groupBy("q_token", "q_head").agg(F.sum("e").alias("t"))
-    return e.join(total, ["q_token", "q_head"]).select("q_token", "q_head", "token_idx", (F.col("e") / F.col("t")).alias("weight"))
+    per_head = num_query_heads // num_kv_heads
+    keys = tokens.where("key is not null").select("kv_head", "key", "token_idx")
+    spark, out = queries.sparkSession, None
+
+    def logits(shared):
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            q_token, q_head, x = shared.value
+            for batch in batches:
+                for head in np.unique(q_head // per_head):
+                    at = np.nonzero(q_head // per_head == head)[0]
+                    mine = batch.filter(pc.equal(batch.column(0), int(head)))
+                    n = mine.num_rows
+                    if n:
+                        s = (x[at] @ vectors(mine.column(1), head_dim)[1].T) * scale
+                        columns = [pa.array(np.repeat(c[at], n)) for c in (q_token, q_head)]
+                        columns += [pa.array(np.tile(np.asarray(mine.column(2)), len(at))), pa.array(s.ravel())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["q_token", "q_head", "token_idx", "s"])
+
+        return keys.mapInArrow(run, "q_token int, q_head int, token_idx long, s double")
+
+    for q_token, q_head, x in _blocks(queries, head_dim):
+        shared = spark.sparkContext.broadcast((q_token, q_head, x))
+        whole = _merge(_partials(keys.select("kv_head", "key", F.col("key").alias("value")), None, shared, per_head, scale, head_dim))
+        # a row for each query of the block, which is bounded
+        weights = logits(shared).join(F.broadcast(whole.select("q_token", "q_head", "most", "total")), ["q_token", "q_head"])
+        part = weights.select("q_token", "q_head", "token_idx", (F.exp(F.col("s") - F.col("most")) / F.col("total")).alias("weight"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,11 +7,11 @@ session that holds most of the tokens is no burden to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import expressions as x
-from ..specs import KvSpec, packed_bytes
+from ..specs import KvSpec
+from . import codecs
 
 
 def capture(tokens: DataFrame, capacity: int, prefill: DataFrame | None = None) -> DataFrame:
@@ -58,30 +58,41 @@ def flush(captured: DataFrame) -> DataFrame:
 
 
 def compress(tokens: DataFrame, spec: KvSpec) -> DataFrame:
-    """The code parts of key and value of every row; the vectors themselves go."""
-    coded = x.value_quantize(x.prod_quantize(tokens, "key", spec.key), "value", spec.value)
+    """key_code and value_code of every row; the vectors themselves go."""
+    coded = codecs.encode(codecs.encode(tokens, "key", spec.key, to="key_code"), "value", spec.value, to="value_code")
     return coded.drop("key", "value")
 
 
-def flat_view(store: DataFrame, spec: KvSpec) -> DataFrame:
+def flat_view(store: DataFrame) -> DataFrame:
     """Hex codes of the history per head, in token order within a head."""
-    key, value = spec.key, spec.value
     return store.select(
-        *[c for c in store.columns if c not in ("idx", "sign", "vidx", "scales", "zeros", "norm", "residual_norm")],
-        x.to_hex(x.pack(F.col("idx"), key.dim, key.bits - 1)).alias("key_codes"),
-        x.to_hex(x.pack(F.col("sign"), key.dim, 1)).alias("key_signs"),
-        x.to_hex(x.pack(F.col("vidx"), value.dim, value.bits)).alias("value_codes"),
-    )
+        *[c for c in store.columns if c not in ("key_code", "value_code")],
+        F.hex("key_code.mse_indices").alias("key_codes"), F.hex("key_code.qjl_signs").alias("key_signs"), F.hex("value_code.data").alias("value_codes"),
+    )
 
 
 def memory_bytes(store_rows: DataFrame, spec: KvSpec) -> DataFrame:
     """(session, n_rows, bytes) of the compressed history."""
-    key = packed_bytes(spec.key.dim, spec.key.bits - 1) + packed_bytes(spec.key.dim, 1) + 8
-    per_row = key + spec.value.bytes_per_vector
+    per_row = spec.key.bytes_per_vector + spec.value.bytes_per_vector
     return store_rows.groupBy("session").agg(F.count("*").alias("n_rows"), (F.count("*") * per_row).alias("bytes"))
 
 
 def decompress(store: DataFrame, spec: KvSpec) -> DataFrame:
     """key and value vectors of the history's codes."""
-    both = x.value_dequantize(x.prod_dequantize(store, spec.key, "key"), spec.value, "value")
-    return both.drop("idx", "sign", "norm", "residual_norm", "vidx", "scales", "zeros")
+    both = codecs.decode(codecs.decode(store, spec.key, code="key_code", to="key"), spec.value, code="value_code", to="value")
+    return both.drop("key_code", "value_code")
+
+
+def placed(rows: DataFrame, by: str, order: list[str], bucket: Column) -> DataFrame:
+    """Adds token_idx: the place of each row among those of its `by`, from 0 in the given order.
+
+    bucket has to grow with the order. Rows are ranked within (by, bucket) and the counts of earlier buckets are added, so
+    a session is spread over as many tasks as it has buckets.
+    """
+    bucketed = rows.withColumn("_bucket", bucket)
+    counts = bucketed.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)) - 1
+    ranked = bucketed.withColumn("_at", inside).join(before, [by, "_bucket"])
+    return ranked.withColumn("token_idx", (F.col("_at") + F.col("_before")).cast("long")).drop("_bucket", "_at", "_before")

@@ -1,41 +1,136 @@
-"""Inner products estimated on the codes. Queries are rotated and sketched once; keys are never rotated back."""
+"""Inner products estimated on the codes. Queries are rotated and sketched once; keys are never rotated back.
+
+Queries travel to the tasks in blocks of at most BLOCK_BYTES; each block is one pass over the keys, so any number of
+queries is answered and no task holds more than a block of them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import expressions as x
+from ..functions.kernels import prod_query, scores
+from ..functions.udfs import code_parts, constants, vectors
 from ..specs import ProdSpec
 
-#: A set of queries travels to every task up to this many rows; a larger one has to come in blocks.
-MAX_QUERIES = 1 << 14
+#: Bytes of query vectors (as doubles, rotated and sketched) that travel to every task at once.
+BLOCK_BYTES = 32 << 20
+#: Score rows that a task makes at once.
+ROWS = 1 << 16
+
+
+def query_blocks(queries: DataFrame, q: str, dim: int, width: int = 2) -> Iterator:
+    """Arrow tables of the queries, each of about BLOCK_BYTES at most; width: doubles kept per element of a vector."""
+    n = queries.count()
+    blocks = max(1, -(-n * dim * 8 * width // BLOCK_BYTES))
+    if blocks == 1:
+        yield queries.toArrow()
+        return
+    named = [c for c in queries.columns if c != q]
+    part = F.pmod(F.xxhash64(*named), F.lit(2 * blocks))  # twice the blocks, so that uneven ones stay below the bound
+    for b in range(2 * blocks):
+        yield queries.where(part == b).toArrow()
+
 
+def _query_parts(table, q: str, dim: int):
+    """(Arrow table without the vectors, matrix of the vectors); a null vector is no query."""
+    import pyarrow as pa
 
-def prepared(queries: DataFrame, q: str, spec: ProdSpec) -> DataFrame:
-    """Adds q_rot and q_sk and drops the query vector."""
-    d = x.fence(queries.withColumn("_q", x.doubles(F.col(q))).drop(q))
-    return x.fence(d.select("*", x.times(spec.mse.pi, F.col("_q")).alias("q_rot"), x.times(spec.s, F.col("_q")).alias("q_sk")).drop("_q"))
+    column = table[q].combine_chunks()
+    ok, x = vectors(column, dim)
+    return table.drop_columns([q]).filter(pa.array(ok)).combine_chunks(), x
 
 
-def attention_score(queries: DataFrame, keys: DataFrame, spec: ProdSpec, q: str = "q", group: str | None = None) -> DataFrame:
-    """The rows of queries x keys (within a group, if one is named) with their score.
+def attention_score(queries: DataFrame, keys: DataFrame, spec: ProdSpec, q: str = "q", code: str = "code", group: str | None = None, top: int | None = None) -> DataFrame:
+    """The rows of queries x keys (within a group, if a column of both is named) with their score.
 
-    keys hold the parts of a ProdSpec code. The queries are the broadcast side, and their number is checked.
+    keys hold a code column made by `encode` for a ProdSpec, queries a vector column q; the other columns are kept. A null
+    vector or code has no scores. With `top`, a task gives only the `top` best of its keys for each query.
     """
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; score them in blocks")
-    levels = x.fence(
-        keys.withColumn("_c", x.gather(F.col("idx"), spec.mse.codebook.centroids)).withColumn("_s", F.transform("sign", lambda b: (2 * b - 1).cast("double")))
-    )
-    side = F.broadcast(prepared(queries, q, spec))
-    both = levels.join(side, group) if group else levels.crossJoin(side)
-    coarse = F.col("norm") * x.dot(F.col("q_rot"), F.col("_c"))
-    fine = spec.scale * F.col("residual_norm") * x.dot(F.col("q_sk"), F.col("_s"))
-    return both.withColumn("score", coarse + fine).drop("_c", "_s", "q_rot", "q_sk")
-
-
-def top_k(scores: DataFrame, k: int, by: str = "q_id", key: str = "k_id") -> DataFrame:
+    spark = keys.sparkSession
+    held = constants(spec)
+    named = [f for f in queries.schema.fields if f.name not in (q, group)]
+    kept = [f for f in keys.schema.fields if f.name != code]
+    schema = T.StructType([*kept, *named, T.StructField("score", T.DoubleType())])
+    ordered = keys.select(code, *[f.name for f in kept])
+    out = None
+    for block in query_blocks(queries, q, spec.dim):
+        table, x = _query_parts(block, q, spec.dim)
+        groups = table[group].to_numpy(zero_copy_only=False) if group else None
+        sink = _ipc(table.select([f.name for f in named]))
+        shared = spark.sparkContext.broadcast((sink, groups, *prod_query(x, spec)))
+        part = ordered.mapInArrow(_scores(held, shared, group, [f.name for f in kept], top), schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ipc(table) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _scores(constants, shared, group: str | None, kept: list[str], top: int | None):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        local = constants()
+        sink, groups, turned, sketched = shared.value
+        names = pa.ipc.open_stream(sink).read_all().combine_chunks()
+        best: list = []
+
+        def rows(batch, at_q, at_k, score):
+            """Rows of the pairs (query, key) at these places."""
+            columns = [batch.column(c).take(pa.array(at_k)) for c in kept]
+            columns += [names.column(i).combine_chunks().take(pa.array(at_q)) if names.num_rows else names.column(i).combine_chunks() for i in range(names.num_columns)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*kept, *names.schema.names, "score"])
+
+        for whole in batches:
+            valid = whole.filter(whole.column(0).is_valid())
+            step = max(1, ROWS // max(1, len(turned)))
+            for at in range(0, valid.num_rows if len(turned) else 0, step):
+                batch = valid.slice(at, step)
+                found = scores((turned, sketched), *code_parts(batch.column(0), local), local)
+                keep = np.ones(found.shape, bool) if group is None else groups[:, None] == batch.column(group).to_numpy(zero_copy_only=False)[None, :]
+                if top is not None and found.shape[1] > top:
+                    floor = -np.partition(-np.where(keep, found, -np.inf), top - 1, axis=1)[:, top - 1 : top]
+                    keep &= found >= floor  # ties stay, the final rank decides
+                at_q, at_k = np.nonzero(keep)
+                out = rows(batch, at_q, at_k, found[at_q, at_k])
+                if top is None:
+                    yield out
+                else:
+                    best.append((at_q, found[at_q, at_k], out))
+                    if sum(len(a) for a, _, _ in best) > 8 * ROWS + 4 * top * len(turned):
+                        best = [_kept(best, top)]
+        if best:
+            yield _kept(best, top)[2]
+
+    return run
+
+
+def _kept(best: list, top: int):
+    """The rows among the `top` best of their query, ties included."""
+    import numpy as np
+    import pyarrow as pa
+
+    at_q, score = np.concatenate([a for a, _, _ in best]), np.concatenate([s for _, s, _ in best])
+    rows = pa.Table.from_batches([r for _, _, r in best]).combine_chunks().to_batches()
+    order = np.lexsort((-score, at_q))
+    first = np.searchsorted(at_q[order], at_q[order], "left")
+    last = np.minimum(first + top - 1, np.searchsorted(at_q[order], at_q[order], "right") - 1)
+    keep = np.sort(order[score[order] >= score[order][last]])
+    return at_q[keep], score[keep], rows[0].take(pa.array(keep))
+
+
+def top_k(scored: DataFrame, k: int, by: str = "q_id", key: str = "k_id") -> DataFrame:
     """The k best keys of each query; ties go to the smaller key. Partial limits run before the shuffle."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), key)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
@@ -41,14 +42,28 @@ def _with(*parts: str) -> str:
 
 
 def codebook_rows(spark, d):
+    """Levels, the share of the density in their cells, and the codebook's error."""
     books = to_table(spark, [lloyd_max(*b) for b in BOOKS])
-    return books.select("dim", "bits", F.posexplode("centroids").alias("pos", "c")).select("dim", "bits", "pos", _r("c").alias("centroid"))
+    return books.select("dim", "bits", "mse_total", F.posexplode("centroids").alias("pos", "c")).select("dim", "bits", "pos", F.round("c", 4).alias("centroid"), F.round("mse_total", 4).alias("mse_total"))
 
 
 def _codebook_rows_sql() -> str:
-    rows = [(b, p, c) for b in BOOKS for p, c in enumerate(lloyd_max(*b).centroids)]
-    values = ", ".join(f"({dim}, {bits}, {p}, {c!r}::double)" for (dim, bits), p, c in rows)
-    return f"select dim::int as dim, bits::int as bits, pos::int as pos, round(c, 6) as centroid from (values {values}) as t(dim, bits, pos, c)"
+    """The conditions of an optimal quantizer by integration in SQL: each level has to be the mean of the density over its
+    cell, whose edges are the midpoints between levels. The density's first moment has a closed form; its mass and the
+    error are sums of Simpson's rule."""
+    values = ", ".join(f"({d}, {b}, {p}, {c!r}::double)" for d, b in BOOKS for p, c in enumerate(lloyd_max(d, b).centroids))
+    half = 200
+    f = "exp(lgamma(dim / 2.0) - lgamma((dim - 1) / 2.0) - 0.5 * ln(pi())) * pow(greatest(1 - x * x, 0), (dim - 3) / 2.0)"
+    return f"""with c as (select * from (values {values}) as t(dim, bits, pos, c)),
+e as (select *, coalesce((lag(c) over w + c) / 2, -1) as lo, coalesce((lead(c) over w + c) / 2, 1) as hi from c window w as (partition by dim, bits order by pos)),
+g as (select e.*, i, greatest(lo, -0.9999999) + (least(hi, 0.9999999) - greatest(lo, -0.9999999)) * i / {2 * half} as x from e, (select unnest(range(0, {2 * half + 1})) as i)),
+s as (select dim, bits, pos, any_value(c) as c, any_value(hi - lo) as width,
+        sum(case when i in (0, {2 * half}) then 1 when i % 2 = 1 then 4 else 2 end * {f}) / {6 * half} as m0,
+        sum(case when i in (0, {2 * half}) then 1 when i % 2 = 1 then 4 else 2 end * x * {f}) / {6 * half} as m1,
+        sum(case when i in (0, {2 * half}) then 1 when i % 2 = 1 then 4 else 2 end * (x - c) * (x - c) * {f}) / {6 * half} as m2
+      from g group by dim, bits, pos),
+t as (select dim, bits, dim * sum(m2 * width) as mse_total from s group by dim, bits)
+select dim::int as dim, bits::int as bits, pos::int as pos, round(m1 / m0, 4) as centroid, round(mse_total, 4) as mse_total from s join t using (dim, bits)"""
 
 
 def rotation_norm_preserved(spark, d):
@@ -85,7 +100,7 @@ def _mse_quantize(bits):
     spec = MseSpec(DIM, bits, SEED)
 
     def query(spark, d):
-        return codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec).select("vec_id", _r("norm").alias("norm"), "codes")
+        return codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec).select("vec_id", _r(F.col("code.norm").cast("double")).alias("norm"), "codes")
 
     sql = _with(o.mse_state(spec), VECTORS, o.mse_quantize("vectors", "q"))
     return query, sql + f"select vec_id, round(norm, 6) as norm, {o.hex_text('idx', DIM, bits)} as codes from q"
@@ -119,7 +134,7 @@ def _prod_quantize(bits):
 
     def query(spark, d):
         coded = codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec)
-        return coded.select("vec_id", "codes", "signs", _r("residual_norm").alias("residual_norm"), _r("norm").alias("norm"))
+        return coded.select("vec_id", "codes", "signs", *[_r(F.col(f"code.{c}").cast("double")).alias(c) for c in ("residual_norm", "norm")])
 
     sql = _with(o.prod_state(spec), VECTORS, o.prod_quantize("vectors", "q"))
     return query, sql + (
@@ -143,7 +158,7 @@ def _value_quantize(bits):
 
     def query(spark, d):
         coded = codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec)
-        texts = [F.array_join(F.transform(c, lambda v: F.format_number(v, 6)), ",").alias(c) for c in ("scales", "zeros")]
+        texts = [F.array_join(F.transform(f"code.{c}", lambda v: F.format_number(v.cast("double"), 6)), ",").alias(c) for c in ("scales", "zeros")]
         return coded.select("vec_id", "codes", *texts)
 
     sql = _with(VECTORS, o.value_quantize("vectors", "q", spec, "x"))
@@ -157,10 +172,10 @@ def _value_error(bits):
     def query(spark, d):
         back = x.fence(codecs.decode(codecs.encode(_vectors(spark, d), "x", spec), spec))
         worst = F.array_max(F.zip_with("x", "decoded", lambda a, b: F.abs(a.cast("double") - b)))
-        return back.select("vec_id", _r(worst).alias("max_error"), (worst <= 0.5001 * F.array_max("scales") + 1e-6).alias("within_bound"))
+        return back.select("vec_id", _r(worst).alias("max_error"), (worst <= 0.5001 * F.array_max("code.scales").cast("double") + 1e-6).alias("within_bound"))
 
     sql = _with(VECTORS, o.value_quantize("vectors", "q", spec, "x"), o.value_dequantize("q", "r", spec))
-    worst = "list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i]::double - vhat[i])))"
+    worst = "list_max(list_transform(range(1, len(x) + 1), lambda i: abs(x[i]::double - vhat[i]::float::double)))"
     return query, sql + f"select vec_id, round({worst}, 6) as max_error, {worst} <= 0.5001 * list_max(scales) + 1e-6 as within_bound from r"
 
 
@@ -176,20 +191,22 @@ def _storage_sql() -> str:
 # --- scores ------------------------------------------------------------------------------------------------------------
 
 _SCORE = ProdSpec(DIM, 3, SEED)
-_N_QUERIES = 8
+_ASK = 50  # every vector whose id it divides is a query, against all vectors
 
 
-def _scores(spark, d):
+def _asked(spark, d):
     v = _vectors(spark, d)
-    queries = v.where(F.col("vec_id") < _N_QUERIES).select(F.col("vec_id").alias("q_id"), F.col("x").alias("q"))
-    keys = codecs.encode(v.where(F.col("vec_id") >= _N_QUERIES).select(F.col("vec_id").alias("k_id"), "x"), "x", _SCORE)
-    return score.attention_score(queries, keys, _SCORE)
+    return v.where(F.col("vec_id") % _ASK == 0).select(F.col("vec_id").alias("q_id"), F.col("x").alias("q"))
+
+
+def _keys(spark, d, *more):
+    return codecs.encode(_vectors(spark, d).select(F.col("vec_id").alias("k_id"), "x"), "x", _SCORE).select("k_id", "code", *more)
 
 
 def _scores_sql() -> str:
     return _with(
-        o.prod_state(_SCORE), VECTORS, f"ks as (select vec_id as k_id, x from vectors where vec_id >= {_N_QUERIES})", o.prod_quantize("ks", "k"),
-        f"q0 as (select vec_id as q_id, list_transform(x, lambda v: v::double) as q from vectors where vec_id < {_N_QUERIES})",
+        o.prod_state(_SCORE), VECTORS, "ks as (select vec_id as k_id, x from vectors)", o.prod_quantize("ks", "k"),
+        f"q0 as (select vec_id as q_id, list_transform(x, lambda v: v::double) as q from vectors where vec_id % {_ASK} = 0)",
         f"q as (select q0.*, {o._apply('pi', 'q')} as q_rot, {o._apply('s', 'q')} as q_sk from q0, st, sk)",
         "kk as (select k.k_id, xd, norm, residual_norm, list_transform(idx, lambda i: ce[i + 1]) as c, list_transform(sign, lambda b: (2 * b - 1)::double) as pm from k, st)",
         f"scores as (select q_id, k_id, q, xd, norm * list_inner_product(q_rot, c) + {_SCORE.scale!r} * residual_norm * list_inner_product(q_sk, pm) as score from q, kk)",
@@ -197,32 +214,97 @@ def _scores_sql() -> str:
 
 
 def attention_score_b3(spark, d):
-    return _scores(spark, d).select("q_id", "k_id", _r("score").alias("score"))
+    return score.attention_score(_asked(spark, d), _keys(spark, d), _SCORE).select("q_id", "k_id", _r("score").alias("score"))
 
 
 def score_vs_exact(spark, d):
-    v = _vectors(spark, d).select("vec_id", x.doubles(F.col("x")).alias("v"))
-    s = _scores(spark, d).select("q_id", "k_id", "score")
-    queries = F.broadcast(v.where(F.col("vec_id") < _N_QUERIES).select(F.col("vec_id").alias("q_id"), F.col("v").alias("q")))
-    both = s.join(v.select(F.col("vec_id").alias("k_id"), "v"), "k_id").join(queries, "q_id")
-    return both.select("q_id", "k_id", _r(F.abs(F.col("score") - x.dot(F.col("q"), F.col("v")))).alias("abs_error"))
+    queries = _asked(spark, d)
+    s = score.attention_score(queries.withColumn("v", F.col("q")), _keys(spark, d, "x"), _SCORE)
+    exact = x.dot(x.doubles(F.col("v")), x.doubles(F.col("x")))
+    return s.select("q_id", "k_id", _r(F.abs(F.col("score") - exact)).alias("abs_error"))
 
 
 def score_topk(spark, d):
-    s = _scores(spark, d).select("q_id", "k_id", _r("score").alias("score"))
+    s = score.attention_score(_asked(spark, d), _keys(spark, d), _SCORE, top=10).select("q_id", "k_id", _r("score").alias("score"))
     return score.top_k(s, 10).select("q_id", F.col("rank").cast("int").alias("rank"), "k_id")
 
 
+def score_within_label(spark, d):
+    """Queries against the keys of their own label."""
+    labels = embeddings(spark, d).select("vec_id", "label")
+    queries = _asked(spark, d).join(labels, F.col("q_id") == labels["vec_id"]).select("q_id", "q", "label")
+    keys = _keys(spark, d).join(labels, F.col("k_id") == labels["vec_id"]).select("k_id", "code", "label")
+    return score.attention_score(queries, keys, _SCORE, group="label").select("label", "q_id", "k_id", _r("score").alias("score"))
+
+
+def sql_functions(spark, d):
+    """The registered SQL functions, end to end: vectors, errors of decoded vectors, and scores of a vector with itself."""
+    from ..functions import udfs
+
+    udfs.register(spark, MseSpec(DIM, 3, SEED), _SCORE, ValueSpec(DIM, 4, GROUP))
+    _vectors(spark, d).createOrReplaceTempView("sparquill_vectors")
+    coded = spark.sql(
+        "select vec_id, x, mse_dequantize(mse_quantize(x)) as m, prod_dequantize(prod_quantize(x)) as p, value_dequantize(value_quantize(x)) as v, "
+        "attention_score(x, prod_quantize(x)) as s from sparquill_vectors"
+    )
+    for c in ("m", "p", "v"):
+        coded = codecs.squared_error(coded, "x", c, f"{c}_error")
+    return coded.select("vec_id", *[_r(f"{c}_error").alias(f"{n}_error") for c, n in (("m", "mse"), ("p", "prod"), ("v", "value"))], _r("s").alias("self_score"))
+
+
+def _sql_functions_sql() -> str:
+    spec, value = MseSpec(DIM, 3, SEED), ValueSpec(DIM, 4, GROUP)
+    return _with(
+        o.mse_state(spec, "st3"), o.prod_state(_SCORE), VECTORS, o.mse_quantize("vectors", "mq", "st3"), o.mse_dequantize("mq", "md", "st3"),
+        o.prod_quantize("vectors", "pq"), o.prod_dequantize("pq", "pd", _SCORE), o.value_quantize("vectors", "vq", value, "x"), o.value_dequantize("vq", "vd", value),
+    ) + (
+        f"select md.vec_id, round({o.squared_error('md.xd', 'md.xhat')}, 6) as mse_error, round({o.squared_error('pd.xd', 'pd.xhat')}, 6) as prod_error, "
+        f"round({o.squared_error('md.xd', 'vd.vhat')}, 6) as value_error, round(list_inner_product(pd.xd, pd.xhat), 6) as self_score "
+        "from md join pd on md.vec_id = pd.vec_id join vd on md.vec_id = vd.vec_id"
+    )
+
+
+def external_matrix(spark, d):
+    """A rotation that the caller supplies, here one that swaps neighbours, and a codebook from a JSON folder."""
+    import json
+
+    import numpy as np
+
+    from ..sources import codebooks
+
+    spec = MseSpec(DIM, 2, SEED, matrix=np.eye(DIM)[[i ^ 1 for i in range(DIM)]])
+    book = lloyd_max(DIM, 2)
+    text = {"d": DIM, "bits": 2, "centroids": list(book.centroids), "boundaries": [-1.0, *book.boundaries, 1.0], "mse_per_coord": book.mse_per_coord}
+    folder = f"{_shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(text),)], "value string").coalesce(1).write.text(folder)
+    found = codebooks.find(codebooks.read_json(spark, folder), DIM, 2)
+    if found.centroids != book.centroids:
+        raise ValueError("the codebook changed on its way through JSON")
+    return codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec).select("vec_id", _r(F.col("code.norm").cast("double")).alias("norm"), "codes")
+
+
+def _external_matrix_sql() -> str:
+    import numpy as np
+
+    spec = MseSpec(DIM, 2, SEED, matrix=np.eye(DIM)[[i ^ 1 for i in range(DIM)]])
+    return _with(o.mse_state(spec), VECTORS, o.mse_quantize("vectors", "q")) + f"select vec_id, round(norm, 6) as norm, {o.hex_text('idx', DIM, 2)} as codes from q"
+
+
+def _shared_folder(spark) -> str:
+    """The folder that driver and executors share. There is no fallback to a folder of one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named.rstrip("/")
+
+
 # --- capture -----------------------------------------------------------------------------------------------------------
 
 
 def _sessions(spark, d):
-    """Events as tokens of their user's session, placed by time."""
-    from pyspark.sql import Window
-
-    e = spark.read.parquet(f"{d}/events.parquet")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("session"), (F.row_number().over(w) - 1).cast("long").alias("token_idx"), "event_id")
+    """Events as tokens of their user's session, placed by time; a busy session is spread over its days."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session"), "event_id", "ts")
+    return kv.placed(e, "session", ["ts", "event_id"], F.date_trunc("day", "ts")).drop("ts")
 
 
 _SESSIONS_SQL = "s as (select user_id as session, row_number() over (partition by user_id order by ts, event_id) - 1 as token_idx from events)"
@@ -249,20 +331,87 @@ def kv_flush_counts(spark, d):
     return kv.counters(kv.flush(kv.capture(_sessions(spark, d), CAPACITY)))
 
 
-def stream_capture_counts(spark, d):
-    from ..streaming.capture import run_available
+_STREAM = KvSpec(DIM, 1, 4, 4, GROUP, CAPACITY, SEED)
+
+
+def _event_vectors(spark, d):
+    """Event e brings vector e mod n as its key and vector (e + 7) mod n as its value."""
+    e = embeddings(spark, d)
+    n = e.count()
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"))
+    for c, shift in (("key", 0), ("value", 7)):
+        events = events.withColumn("_v", (F.col("seq") + shift) % n).join(e.select(F.col("vec_id").alias("_v"), F.col("x").alias(c)), "_v").drop("_v")
+    return events
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    out = run_available(spark, f"{d}/events.parq*", f"{at}/out", f"{at}/state", CAPACITY)
-    totals = out.where("out = 'count'").groupBy("session").agg(F.max(F.struct("total", "compressed", "buffered")).alias("c"))
-    return totals.select("session", "c.total", "c.compressed", "c.buffered")
 
+def _streamed(spark, d, events, slices: int = 4):
+    """(last totals per session, history) of a stream of files that arrive one after the other."""
+    from ..operators.history import History
+    from ..streaming import capture
 
-def _local_folder(spark) -> str:
-    import tempfile
+    at = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    span = events.agg(F.max("seq").alias("hi")).first()["hi"]
+    names = [x.split()[0] for x in capture.EVENTS.split(", ")]
+    for i in range(slices):
+        lo, hi = i * ((span or 0) + 1) // slices, (i + 1) * ((span or 0) + 1) // slices
+        part = events.where((F.col("seq") >= lo) & (F.col("seq") < hi)).select(*names)
+        part.repartition(1 if i % 2 else 2, "session").sortWithinPartitions("session", "seq").write.mode("append").parquet(f"{at}/events")
+    source = spark.readStream.schema(capture.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{at}/events")
+    history = History(spark, f"{at}/history", _STREAM)
+    return capture.run_available(source, history, f"{at}/counts", f"{at}/state"), history
 
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+def _decoded(spark, d):
+    return _event_vectors(spark, d).select("session", "seq", F.lit("decode").alias("kind"), F.lit(0).cast("long").alias("batch_id"), F.lit(0).cast("long").alias("batch_size"), "key", "value")
+
+
+def stream_capture_counts(spark, d):
+    counts, _ = _streamed(spark, d, _decoded(spark, d))
+    return counts.select("session", "total", "compressed", "buffered")
+
+
+def stream_history(spark, d):
+    """The stored chunks, read back: tokens, and how many of their codes are those of the vectors themselves."""
+    _, history = _streamed(spark, d, _decoded(spark, d))
+    direct = kv.compress(_event_vectors(spark, d), _STREAM).select(F.col("session").alias("_s"), F.col("seq").alias("_q"), F.col("key_code").alias("k"), F.col("value_code").alias("v"))
+    both = history.flat().join(direct, (F.col("session") == F.col("_s")) & (F.col("token_idx") == F.col("_q")))
+    same = (F.col("key_code") == F.col("k")) & (F.col("value_code") == F.col("v"))
+    return both.groupBy("session", "chunk_id").agg(F.count("*").alias("n_tokens"), F.count_if(same).alias("n_same"))
+
+
+def stream_history_counters(spark, d):
+    _, history = _streamed(spark, d, _decoded(spark, d))
+    return history.counters()
+
+
+def stream_control_counts(spark, d):
+    """Sessions begin with a prefill of session mod 40 tokens; odd ones end with a flush, every fifth with a reset."""
+    tokens = _decoded(spark, d)
+    places = kv.placed(tokens.select("session", "seq"), "session", ["seq"], F.floor(F.col("seq") / 1000))
+    size = F.least(F.col("session") % 40, F.count("*").over(Window.partitionBy("session")))
+    places = places.select(F.col("session").alias("_s"), F.col("seq").alias("_q"), "token_idx", size.alias("_p"))
+    rows = tokens.join(places, (F.col("session") == F.col("_s")) & (F.col("seq") == F.col("_q")))
+    early = F.col("token_idx") < F.col("_p")
+    rows = rows.select(
+        "session", F.col("seq") * 2, F.when(early, "prefill").otherwise("decode").alias("kind"), F.when(early, F.col("session")).otherwise(0).alias("batch_id"),
+        F.when(early, F.col("_p")).otherwise(0).alias("batch_size"), "key", "value",
+    ).toDF("session", "seq", "kind", "batch_id", "batch_size", "key", "value")
+    none = [F.lit(0).cast("long").alias(c) for c in ("batch_id", "batch_size")] + [F.lit(None).cast("array<float>").alias(c) for c in ("key", "value")]
+    last = rows.groupBy("session").agg((F.max("seq") + 1).alias("seq"))
+    ends = last.withColumn("kind", F.when(F.col("session") % 5 == 0, "reset").when(F.col("session") % 2 == 1, "flush")).where("kind is not null")
+    counts, _ = _streamed(spark, d, rows.unionByName(ends.select("session", "seq", "kind", *none)))
+    return counts
+
+
+def kv_stored_codes(spark, d):
+    """Codes of every token, appended to a stored history in two chunks and read back in order."""
+    from ..operators.history import History
+
+    history = History(spark, f"{_shared_folder(spark)}/history-{uuid.uuid4().hex}", KV)
+    tokens = _kv_tokens(spark, d).select(F.lit(0).cast("long").alias("session"), F.lit(0).cast("long").alias("epoch"), (F.col("token_idx") % 2).alias("chunk_id"), "token_idx", "kv_head", "key", "value")
+    for chunk in (0, 1):
+        history.append(tokens.where(F.col("chunk_id") == chunk))
+    return kv.flat_view(history.flat()).select("kv_head", "token_idx", "chunk_id", "key_codes", "key_signs", "value_codes")
 
 
 # --- key/value tokens and attention ------------------------------------------------------------------------------------
@@ -283,12 +432,13 @@ _TOKENS_SQL = (
 
 
 def _q_tokens(spark, d, heads):
-    e = embeddings(spark, d).where(F.col("vec_id") < 2 * heads)
-    return e.select(F.floor(F.col("vec_id") / heads).cast("int").alias("q_token"), (F.col("vec_id") % heads).cast("int").alias("q_head"), F.col("x").alias("q"))
+    """Every vector whose id _ASK divides is the query of a head; `heads` of them make a token."""
+    e = embeddings(spark, d).where(F.col("vec_id") % _ASK == 0).withColumn("n", F.floor(F.col("vec_id") / _ASK))
+    return e.select(F.floor(F.col("n") / heads).cast("int").alias("q_token"), (F.col("n") % heads).cast("int").alias("q_head"), F.col("x").alias("q"))
 
 
 def _q_sql(heads) -> str:
-    return f"qs as (select (vec_id // {heads})::int as q_token, (vec_id % {heads})::int as q_head, list_transform(embedding, lambda v: v::double) as q from embeddings where vec_id < {2 * heads})"
+    return f"qs as (select (vec_id // {_ASK} // {heads})::int as q_token, (vec_id // {_ASK} % {heads})::int as q_head, list_transform(embedding, lambda v: v::double) as q from embeddings where vec_id % {_ASK} = 0)"
 
 
 _STORE_SQL = ",\n".join(
@@ -300,7 +450,7 @@ _STORE_SQL = ",\n".join(
 
 def kv_flat_view(spark, d):
     captured = kv.capture(_kv_tokens(spark, d).withColumn("session", F.lit(0)), 64).where(~F.col("is_recent"))
-    return kv.flat_view(kv.compress(captured, KV), KV).select("kv_head", "token_idx", "key_codes", "key_signs", "value_codes")
+    return kv.flat_view(kv.compress(captured, KV)).select("kv_head", "token_idx", "key_codes", "key_signs", "value_codes")
 
 
 def _kv_flat_sql() -> str:
@@ -315,23 +465,29 @@ def kv_memory(spark, d):
     return kv.memory_bytes(captured, KV)
 
 
-def _attention(history: int, recent: int, heads: int = QUERY_HEADS, scale: float = 0.0):
+def _attention(split: str, heads: int = QUERY_HEADS, scale: float = 0.0, min_history: int = 16):
+    """Every query over all tokens. split: which of them are compressed, as SQL over token_idx and their number n."""
+    spec = replace(KV, min_history=min_history)
+
     def query(spark, d):
         tokens = _kv_tokens(spark, d)
-        store = kv.compress(tokens.where(F.col("token_idx") < history), KV)
-        late = tokens.where((F.col("token_idx") >= history) & (F.col("token_idx") < history + recent))
-        out = attention.hybrid_attention(_q_tokens(spark, d, heads), store, late, KV, heads, scale)
+        n = tokens.select("token_idx").distinct().count()
+        compressed = F.expr(split.replace("{n}", str(n)))
+        store = kv.compress(tokens.where(compressed), spec)
+        out = attention.hybrid_attention(_q_tokens(spark, d, heads), store, tokens.where(~compressed), spec, heads, scale)
         return out.select("q_token", "q_head", "pos", _r("value").alias("value"))
 
-    used = history if history >= KV.min_history else 0
     s = scale if scale > 0 else DIM**-0.5
+    old = split.replace("{n}", "nt.n").replace(" div ", " // ")
     sql = f"""with {_STORE_SQL},
 {_q_sql(heads)},
-hist as (select * from store where token_idx < {used}),
+nt as (select count(distinct token_idx) as n from tk),
+used as (select count(distinct token_idx) >= {min_history} as attended from tk, nt where {old}),
+hist as (select store.* from store, nt, used where attended and ({old})),
 {o.prod_dequantize("hist", "hk", KV.key, "kd")},
 {o.value_dequantize("hk", "hv", KV.value, "vd")},
 kvs as (select kv_head, kd as k, vd as v from hv union all
-        select kv_head, list_transform(key, lambda a: a::double), list_transform(value, lambda a: a::double) from tk where token_idx >= {history} and token_idx < {history + recent}),
+        select kv_head, list_transform(key, lambda a: a::double), list_transform(value, lambda a: a::double) from tk, nt where not ({old})),
 lg as (select q_token, q_head, list_inner_product(q, k) * {s!r} as s, v from qs join kvs on kvs.kv_head = q_head // {heads // HEADS}),
 w as (select *, exp(s - max(s) over (partition by q_token, q_head)) as w from lg),
 sm as (select q_token, q_head, p.pos, sum(w * v[p.pos + 1]) / sum(w) as value from w, (select unnest(range(0, {DIM}))::int as pos) p group by all)
@@ -341,18 +497,29 @@ from (select q_token, q_head, unnest(range(0, {DIM}))::int as pos from qs) a lef
 
 
 def attn_weights_sum(spark, d):
-    tokens = _kv_tokens(spark, d).where(F.col("token_idx") < 50)
-    w = attention.attention_weights(_q_tokens(spark, d, QUERY_HEADS), tokens, QUERY_HEADS, HEADS, DIM)
-    return w.groupBy("q_token", "q_head").agg(F.count("*").alias("n"), _r(F.sum("weight")).alias("total"))
+    """Per query: tokens, the sum of their weights and of the squared weights."""
+    w = attention.attention_weights(_q_tokens(spark, d, QUERY_HEADS), _kv_tokens(spark, d), QUERY_HEADS, HEADS, DIM)
+    return w.groupBy("q_token", "q_head").agg(F.count("*").alias("n"), _r(F.sum("weight")).alias("total"), F.round(F.sum(F.col("weight") * F.col("weight")), 8).alias("squares"))
+
+
+def _weights_sql() -> str:
+    return f"""with {_TOKENS_SQL},
+{_q_sql(QUERY_HEADS)},
+lg as (select q_token, q_head, list_inner_product(q, list_transform(key, lambda a: a::double)) * {DIM**-0.5!r} as s from qs join tk on kv_head = q_head // {QUERY_HEADS // HEADS}),
+e as (select *, exp(s - max(s) over (partition by q_token, q_head)) as e from lg),
+w as (select *, e / sum(e) over (partition by q_token, q_head) as w from e)
+select q_token, q_head, count(*) as n, round(sum(w), 6) as total, round(sum(w * w), 8) as squares from w group by all"""
 
 
 def udf_matches_expr(spark, d):
     """Codes of the Arrow kernels against those of the expressions, for every codec."""
     out = None
     for name, spec in (("mse", MseSpec(DIM, 4, SEED)), ("prod", ProdSpec(DIM, 3, SEED)), ("value", ValueSpec(DIM, 4, GROUP))):
-        both = codecs.code_text(codecs.encode(codecs.encode(_vectors(spark, d), "x", spec, "arrow"), "x", spec), spec)
-        field = {"mse": "indices", "prod": "mse_indices", "value": "data"}[name]
-        part = both.agg(F.count("*").alias("n_rows"), F.count_if(F.hex(F.col("code")[field]) != F.col("codes")).alias("n_mismatch")).withColumn("codec", F.lit(name))
+        coded = codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec).withColumnRenamed("codes", "arrow_codes").drop("signs")
+        both = codecs.code_text(codecs.encode(codecs.decode(coded, spec), "x", spec, "jvm"), spec, "jvm")
+        both = x.fence(codecs.decode(both, spec, "jvm", to="again"))
+        apart = F.array_max(F.zip_with("decoded", "again", lambda a, b: F.abs(a - b))) > 1e-5
+        part = both.agg(F.count("*").alias("n_rows"), F.count_if((F.col("arrow_codes") != F.col("codes")) | apart).alias("n_mismatch")).withColumn("codec", F.lit(name))
         out = part if out is None else out.union(part)
     return out
 
@@ -378,7 +545,18 @@ def _catalogue() -> dict:
         "kv_chunks": (kv_chunks, _with(_SESSIONS_SQL, _COUNTS_SQL) + f"select s.session, token_idx // {CAPACITY} as chunk_id, count(*) as n_chunk_tokens from s join c on s.session = c.session where token_idx < compressed group by all"),
         "kv_flat_view": (kv_flat_view, _kv_flat_sql()),
         "kv_memory": (kv_memory, f"with n as (select count(*) as n, count(distinct vec_id // {HEADS}) as t from embeddings) select 0 as session, (select count(*) from embeddings where vec_id // {HEADS} < 64 * ((t - 1) // 64)) as n_rows, (select count(*) from embeddings where vec_id // {HEADS} < 64 * ((t - 1) // 64)) * 96 as bytes from n"),
-        "attn_weights_sum": (attn_weights_sum, f"select (v // {QUERY_HEADS})::int as q_token, (v % {QUERY_HEADS})::int as q_head, 50::bigint as n, 1.0::double as total from (select unnest(range(0, {2 * QUERY_HEADS})) as v)"),
+        "attn_weights_sum": (attn_weights_sum, _weights_sql()),
+        "score_within_label": (score_within_label, _scores_sql() + "select a.label, q_id, k_id, round(score, 6) as score from scores join embeddings a on a.vec_id = q_id join embeddings b on b.vec_id = k_id and a.label = b.label"),
+        "sql_functions": (sql_functions, _sql_functions_sql()),
+        "external_matrix": (external_matrix, _external_matrix_sql()),
+        "kv_stored_codes": (kv_stored_codes, f"with {_STORE_SQL} select kv_head, token_idx, token_idx % 2 as chunk_id, {o.hex_text('idx', DIM, KV.key.bits - 1)} as key_codes, {o.hex_text('sign', DIM, 1)} as key_signs, {o.hex_text('vidx', DIM, KV.val_bits)} as value_codes from store"),
+        "stream_history": (stream_history, _with(_SESSIONS_SQL, _COUNTS_SQL) + f"select s.session, token_idx // {CAPACITY} as chunk_id, count(*) as n_tokens, count(*) as n_same from s join c on s.session = c.session where token_idx < compressed group by all"),
+        "stream_history_counters": (stream_history_counters, _with(_SESSIONS_SQL, _COUNTS_SQL) + f"select session, compressed as num_tokens, compressed // {CAPACITY} as num_chunks, compressed * 96 as bytes from c where compressed > 0"),
+        "stream_control_counts": (
+            stream_control_counts,
+            _with(_SESSIONS_SQL, f"n as (select session, count(*) as n, greatest(least(session % 40, count(*)) - {CAPACITY}, 0) as lead from s group by session)", f"c as (select session, n, lead + {CAPACITY} * ((n - lead - 1) // {CAPACITY}) as c from n)")
+            + "select session, (session % 5 = 0)::bigint as epoch, case when session % 5 = 0 then 0 else n end as total, case when session % 5 = 0 then 0 when session % 2 = 1 then n else c end as compressed, case when session % 5 = 0 or session % 2 = 1 then 0 else n - c end as buffered from c",
+        ),
         "udf_matches_expr": (udf_matches_expr, "select codec, count(*) as n_rows, 0::bigint as n_mismatch from embeddings, (values ('mse'), ('prod'), ('value')) as t(codec) group by codec"),
     }
     for b in (1, 2, 3, 4):
@@ -387,7 +565,13 @@ def _catalogue() -> dict:
         found[f"prod_quantize_b{b}"], found[f"prod_dequantize_error_b{b}"] = _prod_quantize(b), _prod_error(b)
     for b in (2, 4, 8):
         found[f"value_quantize_{b}"], found[f"value_dequantize_error_{b}"] = _value_quantize(b), _value_error(b)
-    for name, args in {"zero": (15, 0), "recent_only": (0, 8), "short_history": (5, 6), "compressed_only": (20, 0), "hybrid": (20, 6), "gqa": (18, 4, 8), "scaled": (22, 0, 4, 0.25)}.items():
+    # a drain leaves the tokens since the last multiple of 64; {n} is the number of tokens
+    drained = "token_idx < 64 * (({n} - 1) div 64)"
+    attended = {
+        "zero": ("true", QUERY_HEADS, 0.0, 1 << 30), "recent_only": ("false",), "short_history": ("token_idx < 15",), "compressed_only": ("true",),
+        "hybrid": (drained,), "gqa": (drained, 8), "scaled": (drained, QUERY_HEADS, 0.25),
+    }
+    for name, args in attended.items():
         found[f"attn_{name}"] = _attention(*args)
     return found
 

@@ -22,13 +22,19 @@ def mse_state(spec: MseSpec, name: str = "st") -> str:
     return f"{name} as (select {mat(spec.pi)} as pi, {mat(spec.pi.T)} as pit, {vec(book.boundaries)} as bd, {vec(book.centroids)} as ce)"
 
 
-def mse_quantize(source: str, out: str, state: str = "st", x: str = "x") -> str:
-    """CTEs that add xd, norm and idx to source."""
+def _stored(*names: str) -> str:
+    """Numbers as a code stores them, in single precision."""
+    return ", ".join(f"{n}::float::double as {n}" for n in names)
+
+
+def mse_quantize(source: str, out: str, state: str = "st", x: str = "x", stored: bool = True) -> str:
+    """CTEs that add xd, norm and idx to source; the norm as the code stores it, or as it is worked with."""
+    norm = _stored("norm") if stored else "norm"
     return f"""{out}_1 as (select *, list_transform({x}, lambda v: v::double) as xd from {source}),
 {out}_2 as (select *, sqrt(list_inner_product(xd, xd)) as norm from {out}_1),
 {out}_3 as (select *, list_transform(xd, lambda v: v * (1 / (norm + 1e-10))) as u from {out}_2),
 {out}_4 as (select {out}_3.*, {_apply("pi", "u")} as y from {out}_3, {state}),
-{out} as (select {out}_4.* exclude (u, y), list_transform(y, lambda v: len(list_filter(bd, lambda b: b < v))) as idx from {out}_4, {state})"""
+{out} as (select {out}_4.* exclude (u, y, norm), {norm}, list_transform(y, lambda v: len(list_filter(bd, lambda b: b < v))) as idx from {out}_4, {state})"""
 
 
 def mse_dequantize(source: str, out: str, state: str = "st", to: str = "xhat") -> str:
@@ -42,11 +48,11 @@ def prod_state(spec: ProdSpec) -> str:
 
 
 def prod_quantize(source: str, out: str, x: str = "x") -> str:
-    return f"""{mse_quantize(source, out + "_a", x=x)},
+    return f"""{mse_quantize(source, out + "_a", x=x, stored=False)},
 {mse_dequantize(out + "_a", out + "_b", to="xm")},
 {out}_c as (select *, list_transform(range(1, len(xd) + 1), lambda i: xd[i] - xm[i]) as r from {out}_b),
 {out}_d as (select {out}_c.*, sqrt(list_inner_product(r, r)) as residual_norm, {_apply("s", "r")} as p from {out}_c, sk),
-{out} as (select * exclude (r, p, xm), list_transform(p, lambda v: case when v > 0 then 1 else 0 end) as sign from {out}_d)"""
+{out} as (select * exclude (r, p, xm, norm, residual_norm), {_stored("norm", "residual_norm")}, list_transform(p, lambda v: case when v > 0 then 1 else 0 end) as sign from {out}_d)"""
 
 
 def prod_dequantize(source: str, out: str, spec: ProdSpec, to: str = "xhat") -> str:
@@ -60,7 +66,7 @@ def value_quantize(source: str, out: str, spec: ValueSpec, v: str = "v") -> str:
     g = spec.group_size
     return f"""{out}_1 as (select *, list_transform(range(0, {spec.dim // g}), lambda k: list_transform({v}[k * {g} + 1:(k + 1) * {g}], lambda a: a::double)) as g from {source}),
 {out}_2 as (select *, list_transform(g, lambda a: list_min(a)) as zeros, list_transform(g, lambda a: greatest((list_max(a) - list_min(a)) * {1.0 / spec.levels!r}, 1e-10)) as scales from {out}_1),
-{out} as (select * exclude (g), flatten(list_transform(range(1, len(g) + 1), lambda k: list_transform(g[k], lambda a: least(greatest(round_even((a - zeros[k]) * (1 / scales[k]), 0), 0), {spec.levels})::int))) as vidx from {out}_2)"""
+{out} as (select * exclude (g, zeros, scales), {", ".join(f"list_transform({c}, lambda v: v::float::double) as {c}" for c in ("zeros", "scales"))}, flatten(list_transform(range(1, len(g) + 1), lambda k: list_transform(g[k], lambda a: least(greatest(round_even((a - zeros[k]) * (1 / scales[k]), 0), 0), {spec.levels})::int))) as vidx from {out}_2)"""
 
 
 def value_dequantize(source: str, out: str, spec: ValueSpec, to: str = "vhat") -> str:
@@ -76,4 +82,6 @@ def hex_text(indices: str, dim: int, bits: int) -> str:
 
 
 def squared_error(a: str, b: str) -> str:
-    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+    """b is a decoded vector, in single precision."""
+    b = f"list_transform({b}, lambda v: v::float::double)"
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"

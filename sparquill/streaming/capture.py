@@ -1,132 +1,220 @@
-"""The capture engine as keyed streaming state: a buffer per session that drains into a compressed history.
+"""The capture engine as keyed streaming state: a buffer of recent tokens per session that drains into a stored history.
 
-Events are rows (session, seq, kind, batch_id, batch_size); kind is decode, prefill, flush or reset. A prefill batch is
-handled when all of its rows have come. Within a micro-batch rows follow seq; across micro-batches they follow arrival.
-Output rows: kind "token" for each drained token (session, chunk_id, seq), and kind "count" with the session's totals.
+Events are rows (session, seq, kind, batch_id, batch_size, key, value); kind is decode, prefill, flush or reset, key and
+value hold the vectors of all heads one after the other (null for flush and reset). A prefill batch is handled when all
+of its rows have come. Rows follow seq within an Arrow batch, and arrival across Arrow batches and micro-batches; a batch
+is worked off before the next is taken, so a session's events are never held all at once. A source limit
+(maxFilesPerTrigger) bounds what a micro-batch brings.
+
+Output rows: out "token" for each drained token (session, epoch, chunk_id, seq, key, value), and one "count" per session
+and micro-batch with the session's totals. A reset begins a new epoch, whose chunks are numbered from 0 again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-OUTPUT = "session long, out string, chunk_id long, seq long, total long, compressed long, buffered long"
+from ..errors import BufferTooSmall, InvalidDim
+from ..operators.history import History
+from ..specs import KvSpec
+
+EVENTS = "session long, seq long, kind string, batch_id long, batch_size long, key array<float>, value array<float>"
+OUTPUT = (
+    "session long, out string, epoch long, chunk_id long, seq long, key array<float>, value array<float>, total long, compressed long, buffered long"
+)
+
+
+class Ring:
+    """A buffer of up to `capacity` tokens in order of arrival, emptied as a whole."""
+
+    def __init__(self, capacity: int, tokens=()):
+        if capacity < 1:
+            raise InvalidDim("the capacity must be positive")
+        self.capacity, self.contents, self.total_written = capacity, list(tokens), 0
+
+    def __len__(self) -> int:
+        return len(self.contents)
+
+    @property
+    def space_left(self) -> int:
+        return self.capacity - len(self.contents)
+
+    @property
+    def is_full(self) -> bool:
+        return not self.space_left
+
+    def write(self, tokens: list) -> None:
+        """All of the tokens, or none if there is no room for all."""
+        if len(tokens) > self.space_left:
+            raise BufferTooSmall(f"{len(tokens)} tokens do not fit into {self.space_left} places")
+        self.contents += tokens
+        self.total_written += len(tokens)
+
+    def drain(self) -> list:
+        out, self.contents = self.contents, []
+        return out
+
+    def reset(self) -> None:
+        self.contents, self.total_written = [], 0
 
 
 class Engine:
-    """The buffer's rules over sequence numbers; `drained` takes (chunk_id, seq)."""
+    """The rules of the buffer over tokens of any kind; `drained` takes (chunk_id, token)."""
+
+    def __init__(self, capacity: int, ring=(), total: int = 0, compressed: int = 0, chunks: int = 0, epoch: int = 0):
+        self.buffer, self.total, self.compressed, self.chunks, self.epoch = Ring(capacity, ring), total, compressed, chunks, epoch
+        self.drained: list[tuple] = []
 
-    def __init__(self, capacity: int, ring=(), total: int = 0, compressed: int = 0, chunks: int = 0):
-        self.capacity, self.ring, self.total, self.compressed, self.chunks = capacity, list(ring), total, compressed, chunks
-        self.drained: list[tuple[int, int]] = []
+    @property
+    def ring(self) -> list:
+        return self.buffer.contents
 
-    def _out(self, seqs: list[int]) -> None:
-        if seqs:
-            self.drained += [(self.chunks, s) for s in seqs]
+    def _out(self, tokens: list) -> None:
+        if tokens:
+            self.drained += [(self.chunks, t) for t in tokens]
             self.chunks += 1
-            self.compressed += len(seqs)
+            self.compressed += len(tokens)
 
     def drain(self) -> None:
-        self._out(self.ring)
-        self.ring = []
+        self._out(self.buffer.drain())
 
-    def decode(self, seqs: list[int]) -> None:
-        for s in seqs:
-            if len(self.ring) == self.capacity:
+    def decode(self, tokens: list) -> None:
+        """One after the other: a full buffer drains only when another token comes."""
+        at = 0
+        while at < len(tokens):
+            if self.buffer.is_full:
                 self.drain()
-            self.ring.append(s)
-        self.total += len(seqs)
-
-    def prefill(self, seqs: list[int]) -> None:
-        if len(seqs) <= self.capacity:
-            if len(self.ring) + len(seqs) > self.capacity:
-                self.drain()
-            self.ring += seqs
-        else:
+            part = tokens[at : at + self.buffer.space_left]
+            self.buffer.write(part)
+            at += len(part)
+        self.total += len(tokens)
+
+    def prefill(self, tokens: list) -> None:
+        """All at once: the buffer drains first if they do not fit, and what is beyond its capacity goes past it."""
+        lead = max(0, len(tokens) - self.buffer.capacity)
+        if len(tokens) > self.buffer.space_left:
             self.drain()
-            self._out(seqs[: -self.capacity])
-            self.ring = seqs[-self.capacity :]
-        self.total += len(seqs)
+        self._out(tokens[:lead])
+        self.buffer.write(tokens[lead:])
+        self.total += len(tokens)
 
     def reset(self) -> None:
-        self.ring, self.total, self.compressed, self.chunks = [], 0, 0, 0
+        self.buffer.reset()
+        self.total, self.compressed, self.chunks, self.epoch = 0, 0, 0, self.epoch + 1
 
 
 class CaptureProcessor(StatefulProcessor):
-    """Keeps ring, counters and unfinished prefill batches of each session."""
+    """Keeps buffer, counters and unfinished prefill batches of each session."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
 
     def init(self, handle) -> None:
-        self.ring = handle.getListState("ring", "seq long")
-        self.counters = handle.getValueState("counters", "total long, compressed long, chunks long")
-        self.waiting = handle.getListState("waiting", "batch_id long, batch_size long, seq long")
+        self.ring = handle.getListState("ring", "seq long, key array<float>, value array<float>")
+        self.counters = handle.getValueState("counters", "total long, compressed long, chunks long, epoch long")
+        self.waiting = handle.getListState("waiting", "batch_id long, batch_size long, seq long, key array<float>, value array<float>")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        engine = Engine(self.capacity, [r[0] for r in self.ring.get()], *(self.counters.get() or (0, 0, 0)))
-        waiting = [tuple(r) for r in self.waiting.get()]
-        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for seq, kind, batch, size in zip(events["seq"], events["kind"], events["batch_id"], events["batch_size"]):
-            if kind == "decode":
-                engine.decode([int(seq)])
-            elif kind == "prefill":
-                waiting.append((int(batch), int(size), int(seq)))
-                mine = [w for w in waiting if w[0] == batch]
-                if len(mine) == size:
-                    waiting = [w for w in waiting if w[0] != batch]
-                    engine.prefill(sorted(w[2] for w in mine))
-            elif kind == "flush":
-                engine.drain()
-            elif kind == "reset":
-                engine.reset()
-        self.ring.clear()
-        if engine.ring:
-            self.ring.put([(s,) for s in engine.ring])
-        self.waiting.clear()
-        if waiting:
-            self.waiting.put(waiting)
-        self.counters.update((engine.total, engine.compressed, engine.chunks))
-        out = [(int(key[0]), "token", c, s, None, None, None) for c, s in engine.drained]
-        out.append((int(key[0]), "count", None, None, engine.total, engine.compressed, len(engine.ring)))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")]).astype(
-            {c: "Int64" for c in ("chunk_id", "seq", "total", "compressed", "buffered")}
-        )
+        session = int(key[0])
+        engine = Engine(self.capacity, [tuple(r) for r in self.ring.get()], *(self.counters.get() or (0, 0, 0, 0)))
+        before, waiting = list(engine.ring), [tuple(r) for r in self.waiting.get()]
+        kept = list(waiting)
+        for batch in rows:
+            batch = batch.sort_values("seq", kind="stable")
+            # runs of one kind, and within prefill of one batch
+            run = ((batch["kind"] != batch["kind"].shift()) | (batch["batch_id"] != batch["batch_id"].shift())).cumsum()
+            for _, part in batch.groupby(run, sort=True):
+                kind = part["kind"].iloc[0]
+                if kind == "decode":
+                    engine.decode(_tokens(part))
+                elif kind == "prefill":
+                    number, size = int(part["batch_id"].iloc[0]), int(part["batch_size"].iloc[0])
+                    waiting += [(number, size, *t) for t in _tokens(part)]
+                    mine = [w[2:] for w in waiting if w[0] == number]
+                    if len(mine) >= size:
+                        waiting = [w for w in waiting if w[0] != number]
+                        engine.prefill(sorted(mine, key=lambda t: t[0]))
+                else:
+                    for _ in range(len(part)):
+                        engine.drain() if kind == "flush" else engine.reset()
+                yield from _drained(session, engine)
+        if engine.ring != before:
+            self.ring.clear()
+            if engine.ring:
+                self.ring.put(engine.ring)
+        if waiting != kept:
+            self.waiting.clear()
+            if waiting:
+                self.waiting.put(waiting)
+        self.counters.update((engine.total, engine.compressed, engine.chunks, engine.epoch))
+        yield _frame([(session, "count", engine.epoch, None, None, None, None, engine.total, engine.compressed, len(engine.ring))])
 
     def close(self) -> None:
         pass
 
 
+def _tokens(part) -> list:
+    def vectors(column):
+        return [None if v is None else [float(x) for x in v] for v in part[column]]
+
+    return list(zip(part["seq"].astype(int).tolist(), vectors("key"), vectors("value")))
+
+
+def _drained(session: int, engine: Engine):
+    if engine.drained:
+        yield _frame([(session, "token", engine.epoch, chunk, seq, key, value, None, None, None) for chunk, (seq, key, value) in engine.drained])
+        engine.drained = []
+
+
+def _frame(rows: list):
+    import pandas as pd
+
+    names = [x.split()[0] for x in OUTPUT.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("epoch", "chunk_id", "seq", "total", "compressed", "buffered")})
+
+
 def capture_stream(events: DataFrame, capacity: int) -> DataFrame:
-    """Streaming DataFrame of OUTPUT rows. Needs the RocksDB state store provider."""
+    """Streaming DataFrame of OUTPUT rows from a stream of EVENTS. Needs the RocksDB state store provider."""
     return events.groupBy("session").transformWithStateInPandas(
         statefulProcessor=CaptureProcessor(capacity), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
 
 
+def by_head(drained: DataFrame, spec: KvSpec) -> DataFrame:
+    """(session, epoch, chunk_id, token_idx, kv_head, key, value) of "token" rows: a row for each head."""
+    d = spec.head_dim
+    heads = drained.where("out = 'token'").withColumn("kv_head", F.explode(F.sequence(F.lit(0), F.lit(spec.num_kv_heads - 1))))
+    part = lambda c: F.slice(c, F.col("kv_head") * d + 1, d).alias(c)
+    return heads.select("session", "epoch", "chunk_id", F.col("seq").alias("token_idx"), "kv_head", part("key"), part("value"))
+
+
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def run_available(spark, events_dir: str, to: str, checkpoint: str, capacity: int) -> DataFrame:
-    """Runs the engine over the events Parquet files that are there now, and reads its output back.
+def run_available(events: DataFrame, history: History, counts_to: str, checkpoint: str) -> DataFrame:
+    """Runs the engine over a stream of EVENTS until what is there now is worked off.
 
-    Input rows are (user_id, event_id, ...): every event is a decoded token of its user's session.
+    Drained tokens are quantized and appended to history, a micro-batch at a time and again under the same number when a
+    micro-batch is repeated; each session's totals go to counts_to. Returns the last totals of each session (session,
+    epoch, total, compressed, buffered).
     """
-    from pyspark.sql import functions as F
+    spark, spec = events.sparkSession, history.spec
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        history.append(by_head(batch, spec), f"stream-{number}")
+        counts = batch.where("out = 'count'").select("session", F.lit(number).alias("micro_batch"), "epoch", "total", "compressed", "buffered")
+        counts.write.mode("overwrite").parquet(f"{counts_to.rstrip('/')}/batch={number}")
+        batch.unpersist()
 
     before = spark.conf.get(STATE_STORE[0], None)
     spark.conf.set(*STATE_STORE)
     try:
-        schema = spark.read.parquet(events_dir).schema
-        source = spark.readStream.schema(schema).parquet(events_dir)
-        events = source.select(
-            F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.lit("decode").alias("kind"),
-            F.lit(0).cast("long").alias("batch_id"), F.lit(0).cast("long").alias("batch_size"),
-        )
-        query = capture_stream(events, capacity).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(to)
-        query.awaitTermination()
+        stream = capture_stream(events, spec.ring_capacity).writeStream.foreachBatch(each)
+        stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
-    return spark.read.schema(OUTPUT).parquet(to)
+    last = F.max(F.struct("micro_batch", "epoch", "total", "compressed", "buffered")).alias("c")
+    return spark.read.parquet(counts_to).groupBy("session").agg(last).select("session", "c.epoch", "c.total", "c.compressed", "c.buffered")

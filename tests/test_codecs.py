@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparquill.errors import CodebookCorrupt, CodebookMissing, InvalidBits, InvalidDim, InvalidSeed, ShapeMismatch
+from sparquill.errors import CodebookCorrupt, CodebookMissing, InvalidArgument, InvalidBits, InvalidDim, InvalidSeed, ShapeMismatch
 from sparquill.functions import expressions as x
 from sparquill.functions import kernels as k
 from sparquill.functions import udfs
@@ -124,8 +124,33 @@ def test_arrow_round_trip_nulls_and_modes(spark):
     odd = spark.createDataFrame([(0, [1.0] * 7), (1, [float("nan")] * 8), (2, [1.0] * 8), (3, [None] + [1.0] * 7)], "id long, x array<float>")
     kept = {r["id"]: r["c"] for r in odd.select("id", udfs.encoder(MseSpec(8, 4), "permissive")("x").alias("c")).collect()}
     assert kept[0] is None and kept[1] is None and kept[3] is None and kept[2] is not None
-    with pytest.raises(Exception, match="8 elements"):
-        odd.select(udfs.encoder(MseSpec(8, 4))("x")).collect()
+    for bad, says in ((0, "8 elements"), (1, "not finite"), (3, "not finite")):  # one bad row at a time: any task may fail first
+        with pytest.raises(Exception, match=says):
+            odd.where(f"id = {bad}").select(udfs.encoder(MseSpec(8, 4))("x")).collect()
+    with pytest.raises(InvalidArgument):
+        codecs.encode(odd, "x", MseSpec(8, 4), "fast")
+
+
+def test_slices_and_widths_of_codes():
+    import pyarrow as pa
+
+    rows = np.arange(24, dtype=np.uint8).reshape(6, 4)
+    column = udfs._binary(rows)
+    assert column.to_pylist() == [r.tobytes() for r in rows]
+    assert (udfs._bytes(column.slice(2, 3), 4) == rows[2:5]).all()
+    assert (udfs._bytes(pa.array([b"abcd"], pa.large_binary()), 4) == [[97, 98, 99, 100]]).all()
+    with pytest.raises(ValueError, match="5 bytes"):
+        udfs._bytes(column, 5)
+
+
+def test_engines_agree_in_many_dimensions(spark):
+    rng = np.random.default_rng(4)
+    for dim in (3, 5, 16, 33):
+        df = spark.createDataFrame([(i, rng.normal(size=dim).astype(np.float32).tolist()) for i in range(50)], "id long, x array<float>")
+        for spec in (MseSpec(dim, 1), MseSpec(dim, 3), *([ProdSpec(dim, 2), ProdSpec(dim, 4)] if dim < 33 else [])):
+            a = {r["id"]: r["codes"] for r in codecs.code_text(codecs.encode(df, "x", spec), spec).collect()}
+            b = {r["id"]: r["codes"] for r in codecs.code_text(codecs.encode(df, "x", spec, "jvm"), spec, "jvm").collect()}
+            assert a == b
 
 
 def test_sql_functions(spark):
@@ -157,5 +182,6 @@ def test_codebook_json(spark, tmp_path):
 
 def test_plan_has_no_shuffle_and_prunes(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("x"))
-    plan = codecs.encode(df, "x", MseSpec(64, 3))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "label" not in plan and "Python" not in plan
+    for engine in codecs.ENGINES:
+        plan = codecs.encode(df, "x", MseSpec(64, 3), engine)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "label" not in plan and ("Python" in plan) == (engine == "arrow")

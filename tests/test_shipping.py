@@ -1,0 +1,42 @@
+"""Workers have no copy of the package: what they need travels with the functions."""
+
+import os
+import subprocess
+import sys
+import textwrap
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def run_away(tmp_path, body):
+    """Runs body in a process that alone has the repository on its path, with a session `spark` in another folder."""
+    start = f"""
+        import sys, tempfile
+        sys.path.insert(0, {ROOT!r})
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2")
+                 .config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate())
+    """
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    found = subprocess.run([sys.executable, "-c", textwrap.dedent(start) + textwrap.dedent(body)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert found.returncode == 0, found.stderr[-3000:]
+
+
+def test_codecs_and_attention_run_on_bare_workers(tmp_path):
+    run_away(
+        tmp_path,
+        """
+        from pyspark.sql import functions as F
+        from sparquill.operators import attention, codecs, kv, score
+        from sparquill.specs import KvSpec, MseSpec, ProdSpec, ValueSpec
+        df = spark.range(40).select("id", F.array(*[F.sin(F.col("id") + i).cast("float") for i in range(8)]).alias("x"))
+        for spec in (MseSpec(8, 3), ProdSpec(8, 3), ValueSpec(8, 4, 4)):
+            assert codecs.decode(codecs.encode(df, "x", spec), spec).where("decoded is null").count() == 0
+        asked = df.where("id < 2").selectExpr("id as q_id", "x as q")
+        assert score.attention_score(asked, codecs.encode(df, "x", ProdSpec(8, 3)).drop("x"), ProdSpec(8, 3)).count() == 80
+        tokens = df.selectExpr("0 as kv_head", "id as token_idx", "x as key", "x as value")
+        spec = KvSpec(8, 1, 3, 4, 4)
+        out = attention.hybrid_attention(asked.selectExpr("cast(q_id as int) as q_token", "0 as q_head", "q"), kv.compress(tokens, spec), tokens, spec, 1)
+        assert out.count() == 16
+        """,
+    )
