@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each written to the shared folder and read again by the next."""
+"""From raw documents to packed sequences: five stages, each written to the shared folder and read again by the next.
+
+Defined cases, for every stage: a null or empty text is no reason to fail (quality rules reject it); repeated rows and
+equal or null doc_ids are handled as the stage's operator says; an empty table gives an empty one; columns other than
+doc_id and text are carried through all but the last stage, whatever their names, apart from n_chars, which follows the
+text.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document or line has; pure copies go."""
+    """Documents without the lines that an earlier document or line has; a document left without a word goes, as a copy."""
     out = linededup.dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
