@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import gc
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +32,49 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+_scopes = threading.local()
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives a lost executor, is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sparquill-{uuid.uuid4().hex}"
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(f):
+    """Decorator of a function that returns a DataFrame: the result is stashed, what f stashed on the way is deleted."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        if not hasattr(_scopes, "open"):
+            _scopes.open = []
+        spark = SparkSession.active()
+        mine: list[str] = []
+        _scopes.open.append(mine)
+        try:
+            out = f(*args, **kwargs)
+            _scopes.open.pop()
+            return stash(out)
+        finally:
+            if _scopes.open and _scopes.open[-1] is mine:
+                _scopes.open.pop()
+            out = None
+            for path in mine:
+                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            # shuffle files go when the driver finds that nothing refers to them, which else may take half an hour
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+
+    return run
+
+
 #: Bytes up to which a table is sent to every task.
-BROADCAST_BYTES = 48 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -54,8 +90,7 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
             return F.greatest(F.size(c), F.lit(0)) * 24 + 24
         return F.lit(8 * len(kind.fields) + 16 if isinstance(kind, T.StructType) else 8)
 
-    # a hashed row takes a header, and twice the room while the relation is built
-    row = sum((width(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(32)) * 2
+    row = sum((width(F.col(f.name), f.dataType) for f in df.schema.fields), F.lit(32))  # with what hashing adds
     held = df.agg(F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()[0]
     return F.broadcast(df) if held <= limit else df
 

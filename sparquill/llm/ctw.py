@@ -19,21 +19,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stash, table
+from ._common import stash, table, tidy
 from ._tokens import slices, worker_store
 
 DEPTH = 5
 SHALLOW = 2
 CONTEXT_BITS = tuple(8 * d for d in range(DEPTH + 1))  # bits of context at each depth
 #: Codes that are weighted at once, or more where they share a subtree.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: At most so many codes have their values sent to every task.
 FREQUENT_CODES = 1 << 20
 #: Weighted logarithms are summed in these steps, so that the sums are exact in any order.
 STEPS = 1 << 20
 #: At most so many words have their counts sent to every task.
 FREQUENT = 1 << 17
-CHUNK = 1 << 19  # bytes of text handled at once
+CHUNK = 1 << 18  # bytes of text handled at once
+HELD_WORDS = 300_000  # words that a worker keeps
 
 
 def _classes():
@@ -102,9 +103,9 @@ def counts(training: DataFrame) -> DataFrame:
             for text in texts:
                 words.update(text.lower().split())
             codes.append(np.unique(_codes(texts, classes)[0], return_counts=True))
-            if len(codes) == 16:
+            if len(codes) == 8:
                 codes = [_merged(codes)]
-            if len(words) > 1_000_000:
+            if len(words) > HELD_WORDS:
                 yield rows(0, [_word_key(w) for w in words], list(words.values()))
                 words.clear()
         if texts_seen:
@@ -171,6 +172,12 @@ class ContextTree:
                 below = (keys, whole)
             self.whole.append(below)
 
+    @classmethod
+    def of(cls, nodes: dict) -> ContextTree:
+        tree = cls.__new__(cls)
+        tree.nodes = nodes
+        return tree
+
     def mix(self, codes, j, p):
         """P(bit j is 1) of each code at the least depth, from that below the greatest."""
         import numpy as np
@@ -259,8 +266,8 @@ def shallow_tree(codes: DataFrame) -> ContextTree:
 
 
 def code_values(codes: DataFrame, top) -> DataFrame:
-    """(key, value): log10 P of the wanted ones of codes (key, n, wanted); top: broadcast of the shallow tree."""
-    return _deep(codes, "key long, value double", lambda tree, keys: (keys, top.value.log10(keys, tree)))
+    """(key, value): log10 P of the wanted ones of codes (key, n, wanted); top: broadcast of the shallow tree's nodes."""
+    return _deep(codes, "key long, value double", lambda tree, keys: (keys, ContextTree.of(top.value).log10(keys, tree)))
 
 
 class _Known:
@@ -323,7 +330,7 @@ class _Values(dict):
     def __missing__(self, word):
         import numpy as np
 
-        if len(self) > 1_000_000:
+        if len(self) > HELD_WORDS:
             self.clear()
         key = _word_key(word)
         at = int(np.searchsorted(self.keys_, key))
@@ -332,6 +339,7 @@ class _Values(dict):
         return value
 
 
+@tidy
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     import numpy as np
@@ -349,7 +357,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     least = _least(found.where(is_word), step, FREQUENT)
     frequent = _by_key(found.where(is_word & (step >= least)).select("key", "n"))
     trained = found.where("kind = 1").select("key", "n")
-    top = spark.sparkContext.broadcast(shallow_tree(trained))
+    top = spark.sparkContext.broadcast(shallow_tree(trained).nodes)
     common = _by_key(code_values(trained.withColumn("wanted", step >= _least(trained, step, FREQUENT_CODES)), top))
     shared = spark.sparkContext.broadcast(
         (common["key"].astype(np.uint64), common["value"], frequent["key"], np.log10(frequent["n"] + 1.0))

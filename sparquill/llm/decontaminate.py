@@ -4,12 +4,13 @@ Shingles are five lower-cased words (an item of fewer words is one shingle). A w
 they share a shingle, so windows are laid where a document has a shingle of the benchmark: of the item's length, placed
 as the shingle stands in the item, moved inside the text at its ends. Windows and items get 64-bit SimHash
 fingerprints; these are cut into RADIUS + 1 blocks, of which two fingerprints within RADIUS agree in one at least, so
-the join on blocks finds every pair within the radius. Few shingles make fingerprints of similar texts stand further
-apart than that, so the pairs of a window and an item for which it was laid are candidates at any distance. Each
-candidate pair is verified once by the exact weighted Jaccard similarity of the shingle multisets; a shingle's weight
-falls with the number of items that have it.
+the join on blocks finds every pair within the radius. With four blocks of 16 bits, two unlike fingerprints meet once in
+16,000 pairs, so the join stays far below windows x items. Few shingles make fingerprints of similar texts stand further
+apart than the radius, so a window's own items, those it was laid for, are candidates at any distance: no similar pair is
+missed, as similarity needs a shared shingle. Each candidate pair is verified once by the exact weighted Jaccard
+similarity of the shingle multisets; a shingle's weight falls with the number of items that have it.
 
-Built-in expressions and joins only. The benchmark travels to every task only below a checked number of rows.
+Built-in expressions and joins only. The benchmark travels to every task only below a checked number of bytes.
 
 Defined cases: null and empty texts and items match nothing; a text shorter than an item is one window; repeated rows
 are found once per (doc_id, item_id); equal doc_ids with different texts count as one document, a null doc_id as
@@ -23,13 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fence, lower_ascii, stash, table, words
+from ._common import fence, lower_ascii, small, stash, table, tidy, words
 
 N_GRAM = 5
 SIMILARITY = 0.8
-RADIUS = 15
-#: Above so many shingles the benchmark is joined by a shuffle and not sent to every task.
-BROADCAST_ROWS = 1 << 20
+RADIUS = 3
 
 
 def _grams(hashes: str, k: int) -> Column:
@@ -45,10 +44,6 @@ def _hashed(df: DataFrame, *keep) -> DataFrame:
     return fence(df.select(*keep, F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("_h")))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def items(benchmark: DataFrame, n: int = N_GRAM) -> DataFrame:
     """(item_id, n_words, k, off, gram) of every item with a word; k words make its shingles."""
     base = _hashed(benchmark, "item_id").withColumn("n_words", F.size("_h")).where("n_words > 0")
@@ -82,14 +77,14 @@ def _blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.select("*", F.inline(F.array(*parts)))
 
 
+@tidy
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, n_windows) of every contaminated document: its best window."""
     item_grams = stash(items(benchmark, n).groupBy("item_id", "n_words", "k", "gram").agg(F.count("*").alias("c"), F.collect_list("off").alias("offs")))
-    n_grams = item_grams.count()
     n_items = item_grams.select("item_id").distinct().count()
     # whole-number weights keep the sums exact in any order: 16 for a shingle of every item, more for rarer ones
     most = round(16 * (1 + math.log(1 + n_items)))
-    weights = item_grams.groupBy("gram").agg(F.round(16 * (1 + F.log(F.lit(1.0 + n_items) / (1 + F.count("*"))))).cast("long").alias("w"))
+    weights = stash(item_grams.groupBy("gram").agg(F.round(16 * (1 + F.log(F.lit(1.0 + n_items) / (1 + F.count("*"))))).cast("long").alias("w")))
     ks = sorted(r["k"] for r in item_grams.select("k").distinct().collect())  # n of them at most
     key = ["doc_id", "text_hash"]
     if not ks:
@@ -104,7 +99,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
     for k in ks:
         part = hashed.select(*key, "n_doc", F.posexplode_outer(f"g{k}").alias("pos", "gram"))
         placed = part if placed is None else placed.union(part)
-    anchors = placed.join(_small(item_grams.select("item_id", "gram", "k", "n_words", "offs"), n_grams), "gram")
+    anchors = placed.join(small(item_grams.select("item_id", "gram", "k", "n_words", "offs")), "gram")
     at = F.explode(F.transform("offs", lambda o: F.col("pos") - o)).alias("start")
     spots = anchors.select(*key, "item_id", "k", "n_doc", F.least("n_words", "n_doc").alias("len"), at)
     laid = stash(
@@ -113,10 +108,9 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
     windows = laid.select(*key, "k", "len", "start").distinct()
     named = stash(windows.withColumn("wid", F.monotonically_increasing_id()))
     windows = named.drop("wid")
-    n_windows = named.count()
     # a window's shingles, from the few documents that have windows
-    found = windows.select(*key).distinct()
-    chosen = texts.join(_small(found, n_windows), key_null_safe(texts, found, key), "left_semi")
+    found = stash(windows.select(*key).distinct())
+    chosen = texts.join(small(found), key_null_safe(texts, found, key), "left_semi")
     shingles = doc_grams(chosen).dropDuplicates(key)
     pieces = F.expr("case k " + " ".join(f"when {k} then slice(g{k}, start + 1, greatest(len - {k - 1}, 0))" for k in ks) + " end")
     w = named.alias("w")
@@ -124,13 +118,13 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
     in_windows = (
         w.join(s, F.expr("w.doc_id <=> s.doc_id and w.text_hash = s.text_hash"))
         .select("wid", F.explode(pieces).alias("gram")).groupBy("wid", "gram").agg(F.count("*").alias("c"))
-        .join(_small(weights, n_grams), "gram", "left").withColumn("w", F.coalesce("w", F.lit(most)))
+        .join(small(weights), "gram", "left").withColumn("w", F.coalesce("w", F.lit(most)))
     )
     in_windows = stash(in_windows)
-    of_items = item_grams.select("item_id", "k", "gram", "c").join(weights, "gram")
+    of_items = stash(item_grams.select("item_id", "k", "gram", "c").join(weights, "gram"))
     window_fp = stash(_fingerprint(in_windows, "wid"))
-    item_fp = _fingerprint(of_items, "item_id")
-    a, b = _blocks(window_fp, radius).alias("a"), _small(_blocks(item_fp, radius), n_items * (radius + 1)).alias("b")
+    item_fp = stash(_fingerprint(of_items, "item_id"))
+    a, b = _blocks(window_fp, radius).alias("a"), small(_blocks(item_fp, radius)).alias("b")
     near = (
         a.join(b, F.expr(f"a.block = b.block and a.value = b.value and bit_count(a.fp ^ b.fp) <= {radius}"))
         .select("wid", "item_id", F.col("a.weight").alias("wa"), F.col("b.weight").alias("wb"))
@@ -140,12 +134,12 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
     of_item = item_fp.select(F.col("item_id").alias("of"), F.col("weight").alias("wb"))
     anchored = (
         pairs.join(window_fp.select("wid", F.col("weight").alias("wa")), "wid")
-        .join(_small(of_item, n_items), F.expr("item_id <=> of")).select("wid", "item_id", "wa", "wb")
+        .join(small(of_item), F.expr("item_id <=> of")).select("wid", "item_id", "wa", "wb")
     )
     candidates = stash(near.union(anchored).distinct())
     shared = (
         candidates.join(in_windows, "wid").alias("x")
-        .join(_small(of_items.select(F.col("item_id").alias("of"), F.col("gram").alias("g"), F.col("c").alias("ci")), n_grams), F.expr("item_id <=> of and gram = g"))
+        .join(small(of_items.select(F.col("item_id").alias("of"), F.col("gram").alias("g"), F.col("c").alias("ci"))), F.expr("item_id <=> of and gram = g"))
         .groupBy("wid", "item_id", "wa", "wb").agg(F.sum(F.least("c", "ci") * F.col("w")).alias("both"))
         .withColumn("similarity", F.col("both") / (F.col("wa") + F.col("wb") - F.col("both")))
         .where(F.col("similarity") >= similarity)

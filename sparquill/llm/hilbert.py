@@ -6,7 +6,8 @@ dimension, so a shard or a file within it spans a small box and a filter on any
 
 Defined cases: a null in a dimension has the lowest cell; a null text has size 1 and the checksum 0; ties of the curve
 are cut by doc_id, size and checksum, and rows that agree in all of them are interchangeable; an empty table gives no
-row; a dimension with one value only adds nothing; columns of the input with the names of the result are not read.
+row; a dimension with one value only adds nothing; columns of the input with the names of the result are not read, and in
+the files of `write` a column `shard` of the input gives way to that of the result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import global_rank, stash, table
+from ._common import global_rank, stash, table, tidy
 
 BITS = 8
 SHARDS = 16
@@ -89,6 +90,7 @@ def curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
     return df.withColumn("curve", index(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)])))
 
 
+@tidy
 def shard(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "size"), shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, the dimensions, curve, shard and slot of every row of docs."""
     own = [d for d in dimensions if d != "size"]
@@ -99,7 +101,8 @@ def shard(docs: DataFrame, dimensions: tuple[str, ...] = ("lang", "source", "siz
         )
     )
     n = facts.count()
-    ranked = global_rank(curve(facts, list(dimensions), bits), "curve", "doc_id", "size", "text_crc32")
+    placed = stash(curve(facts, list(dimensions), bits))  # range bounds and the sort itself both read it
+    ranked = global_rank(placed, "curve", "doc_id", "size", "text_crc32")
     # whole numbers only: the least rank of a shard is the least r with r * shards >= shard * n
     at = F.expr(f"(rank * {shards}) div {max(n, 1)}")
     first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
@@ -114,9 +117,10 @@ def write(docs: DataFrame, to: str, files_per_shard: int = 4, **options) -> str:
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), *key).alias("d")
     rows = rows.join(placed.alias("p"), F.expr("d._id <=> p._of and d.size = p.size and d.text_crc32 = p.text_crc32"))
     n = files_per_shard * options.get("shards", SHARDS)
+    slot = "_" * (1 + max(map(len, docs.columns))) + "slot"  # longer than any name of the input
     (
-        rows.select("_row.*", F.col("at.shard").alias("shard"), F.col("at.slot").alias("_slot"))
-        .repartitionByRange(n, "shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot")
+        rows.select(*[F.col("d._row").getField(c).alias(c) for c in docs.columns if c != "shard"], F.col("p.at.shard").alias("shard"), F.col("p.at.slot").alias(slot))
+        .repartitionByRange(n, "shard", slot).sortWithinPartitions("shard", slot).drop(slot)
         .write.partitionBy("shard").parquet(to)
     )
     return to

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, small, stash, table
+from ._common import components, small, stash, table, tidy
 from ._tokens import slices, worker_store
 
 N_GRAM = 4
@@ -191,6 +191,7 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, threshold: int) ->
     return (100 * n1 >= threshold * n2) & (100 * n2 >= threshold * n1) & (F.least(n1 - p1, n2 - p2) >= need)
 
 
+@tidy
 def join(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketch: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (smallest doc_id with an equal set) of every row of docs."""
     found = stash(prefixes(docs, n, threshold, sketch))
@@ -246,3 +247,28 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+with recursive d as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+  from documents
+), s as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < {N_GRAM} then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - {N_GRAM - 2}), lambda i: array_to_string(w[i:i + {N_GRAM - 1}], ' ')) end)) as s
+  from d
+), c as (
+  select s, min(doc_id) as rep, any_value(len(s)) as n from s where len(s) > 0 group by s
+), p as (
+  select rep, n, unnest(s) as g from c
+), e as (
+  select a.rep as a, b.rep as b from p a join p b on a.g = b.g and a.rep < b.rep
+  group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= {THRESHOLD} * (a.n + b.n - count(*))
+), r as (
+  select rep as node, rep as reach from c
+  union
+  select r.node, x.b as reach from r join (select a, b from e union all select b, a from e) x on r.reach = x.a
+)
+select s.doc_id, len(s.s)::bigint as n_shingles, coalesce(m.least, s.doc_id) as component_id, c.rep as class_id
+from s left join c on s.s = c.s left join (select node, min(reach) as least from r group by node) m on m.node = c.rep
+"""

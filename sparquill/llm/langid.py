@@ -1,9 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network labels every byte of a text; a document's probabilities are the mean over its bytes. Texts are read whole,
-in windows of WINDOW bytes whose states start at zero, so that thousands of windows advance together. Weights are
-trained in numpy by backpropagation through time on windows of a bounded sample of labelled documents: about
-TRAIN_DOCS per language, at most TRAIN_CHARS characters from a place drawn by hash in each.
+The network labels every byte of a text; a document's probabilities are the mean over its bytes. Both directions run
+through the whole text with their state carried along; texts of like length advance together. Weights are trained in numpy
+by backpropagation through time on windows from anywhere in the whole texts of a bounded sample of labelled documents,
+TRAIN_DOCS per language as an expected number; the states at a window's ends come from running over the bytes beyond them.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a null lang is never learned from; without
 any training document everything is `und`; repeated rows and equal doc_ids keep a row each; a null doc_id hashes as the
@@ -16,16 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import table
-from ._tokens import worker_store
 
 HIDDEN = 8
-WINDOW = 128
 TRAIN_DOCS = 600
-TRAIN_CHARS = 400
 STEPS = 240
 BATCH = 192
 TRAIN_WINDOW = 48
-LANES = 4096  # windows that advance together
+WARM_UP = 48  # bytes beyond each end of a training window that the states are run over
+STEP = 128  # bytes of each text worked on between two products with the label weights
+SLAB = 4 << 20  # bytes of texts that advance together
+HELD = 24 << 20  # bytes of texts sorted by length at a time
 SEED = 7
 
 
@@ -34,7 +34,7 @@ def _fold(doc_id: str = "doc_id"):
 
 
 def sample(training: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """(lang, part of a text) of about per_language documents of each language, drawn by hash."""
+    """(lang, text) of about per_language documents of each language, drawn by hash; texts are whole."""
     usable = training.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     # a row per language
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -42,10 +42,8 @@ def sample(training: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[st
         return []
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])
-    at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1)
-    rows = usable.where(draw < share).select("doc_id", "lang", F.substring(F.col("text"), at.cast("int"), F.lit(TRAIN_CHARS)).alias("t"))
-    rows = rows.limit(2 * per_language * len(counts)).collect()  # never reached but by chance; bounds what the driver holds
-    return [(r["lang"], r["t"]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["lang"], r["t"]))]
+    rows = usable.where(draw < share).select("doc_id", "lang", "text").collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))]
 
 
 class Network:
@@ -63,12 +61,19 @@ class Network:
             np.zeros(n_labels, np.float32),
         ]
 
-    def _run(self, x, mask, table_, u, keep=None):
-        """States (T, B, H) over x (T, B) in the order given; keep gathers what backpropagation needs."""
+    @classmethod
+    def of(cls, weights: list) -> Network:
+        net = cls.__new__(cls)
+        net.w, net.h = weights, weights[1].shape[0]
+        return net
+
+    def _run(self, x, mask, table_, u, keep=None, state=None):
+        """States (T, B, H) over x (T, B) in the order given, from `state` or zeros; keep gathers what backpropagation
+        needs. A mask (T, B) of zeros and ones holds a state at zero."""
         import numpy as np
 
         h = self.h
-        state = np.zeros((x.shape[1], h), np.float32)
+        state = np.zeros((x.shape[1], h), np.float32) if state is None else state
         states = np.empty((*x.shape, h), np.float32)
         for t in range(len(x)):
             inp, rec = table_[x[t]], state @ u
@@ -85,29 +90,71 @@ class Network:
             states[t] = state
         return states
 
-    def positions(self, x, mask=None):
-        """Label probabilities (T, B, L) of every byte of x (T, B)."""
+    def probabilities(self, texts: list[bytes]):
+        """Mean label probabilities (texts, L) over all bytes of each text; none of them empty."""
         import numpy as np
 
-        tf, uf, tb, ub, v, c = self.w
-        fwd = self._run(x, mask, tf, uf)
-        bwd = self._run(x[::-1], None if mask is None else mask[::-1], tb, ub)[::-1]
-        out = fwd.reshape(-1, self.h) @ v[: self.h] + bwd.reshape(-1, self.h) @ v[self.h :] + c
-        out -= out.max(1, keepdims=True)
-        np.exp(out, out=out)
-        out /= out.sum(1, keepdims=True)
-        return out.reshape(*x.shape, -1)
+        out = np.empty((len(texts), len(self.w[5])))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-lengths, kind="stable")
+        most = max(1, min(SLAB, (64 << 20) // (4 * len(self.w[5]))))
+        at = 0
+        while at < len(order):
+            longest = int(lengths[order[at]])
+            lanes = int(min(max(1, most // longest), np.searchsorted(-lengths[order[at:]], -0.75 * longest, "right")))
+            mine = order[at : at + lanes]
+            out[mine] = self._slab([texts[i] for i in mine], lengths[mine])
+            at += lanes
+        return out
+
+    def _slab(self, texts: list[bytes], lengths):
+        """`probabilities` of texts of falling length."""
+        import numpy as np
 
-    def gradients(self, x, labels):
-        """(loss, gradients) of the mean cross-entropy over all bytes of x (T, B); labels (B)."""
+        h, (tf, uf, tb, ub, v, c) = self.h, self.w
+        t, n = int(lengths[0]), len(texts)
+        x, y = np.zeros((t, n), np.uint8), np.zeros((t, n), np.uint8)  # the texts, and from their ends
+        for i, text in enumerate(texts):
+            bytes_ = np.frombuffer(text, np.uint8)
+            x[: len(bytes_), i], y[: len(bytes_), i] = bytes_, bytes_[::-1]
+        late = np.empty((t, n, len(c)), np.float32)  # what the backward states say, from each text's end
+        state, sums = np.zeros((n, h), np.float32), np.zeros((n, len(c)))
+        for at in range(0, t, STEP):
+            k = int(np.searchsorted(-lengths, -at, "left"))  # texts that are still going on
+            states = self._run(y[at : at + STEP, :k], None, tb, ub, state=state[:k])
+            late[at : at + STEP, :k] = (states.reshape(-1, h) @ v[h:] + c).reshape(len(states), k, -1)
+            state = states[-1]
+        state = np.zeros((n, h), np.float32)
+        for at in range(0, t, STEP):
+            k = int(np.searchsorted(-lengths, -at, "left"))
+            states = self._run(x[at : at + STEP, :k], None, tf, uf, state=state[:k])
+            state = states[-1]
+            from_end = lengths[None, :k] - 1 - np.arange(at, at + len(states))[:, None]
+            inside = from_end >= 0
+            p = (states.reshape(-1, h) @ v[:h]).reshape(len(states), k, -1)
+            p += late[np.maximum(from_end, 0), np.arange(k)[None, :]]
+            p -= p.max(2, keepdims=True)
+            np.exp(p, out=p)
+            p *= (inside / p.sum(2))[:, :, None]
+            sums[:k] += p.sum(0)
+        return sums / lengths[:, None]
+
+    def ends(self, before, after):
+        """States of both directions at the ends of windows, after running over the bytes beyond them: (bytes, inside) of
+        shape (T, B) each, in text order, with zeros in `inside` where there is no byte."""
+        tf, uf, tb, ub = self.w[:4]
+        return self._run(*before, tf, uf)[-1], self._run(after[0][::-1], after[1][::-1], tb, ub)[-1]
+
+    def gradients(self, x, labels, ends=(None, None)):
+        """(loss, gradients) of the mean cross-entropy over all bytes of x (T, B); labels (B); ends: where states start."""
         import numpy as np
 
         h, (tf, uf, tb, ub, v, c) = self.h, self.w
         n, size = x.size, x.shape
         kept_f: list = []
         kept_b: list = []
-        fwd = self._run(x, None, tf, uf, kept_f)
-        bwd = self._run(x[::-1], None, tb, ub, kept_b)
+        fwd = self._run(x, None, tf, uf, kept_f, ends[0])
+        bwd = self._run(x[::-1], None, tb, ub, kept_b, ends[1])
         both = np.concatenate((fwd, bwd[::-1]), 2).reshape(n, 2 * h)
         out = both @ v + c
         out -= out.max(1, keepdims=True)
@@ -152,12 +199,17 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED):
     for step in range(1, steps + 1):
         labels = rng.integers(0, len(languages), BATCH)
         x = np.full((BATCH, TRAIN_WINDOW), 32, np.uint8)
-        for row, label in zip(x, labels):
+        before, after = ([np.zeros((BATCH, WARM_UP), np.uint8), np.zeros((BATCH, WARM_UP), np.float32)] for _ in range(2))
+        for row, label in enumerate(labels):
             text = by[label][rng.integers(len(by[label]))]
-            at = int(rng.integers(max(1, len(text) - TRAIN_WINDOW)))
-            part = text[at : at + TRAIN_WINDOW]
-            row[: len(part)] = part
-        _, grads = net.gradients(np.ascontiguousarray(x.T), labels)
+            at = int(rng.integers(max(1, len(text) - TRAIN_WINDOW + 1)))
+            part, lead, rest = text[at : at + TRAIN_WINDOW], text[max(0, at - WARM_UP) : at], text[at + TRAIN_WINDOW :][:WARM_UP]
+            x[row, : len(part)] = part
+            if len(lead):
+                before[0][row, -len(lead) :], before[1][row, -len(lead) :] = lead, 1
+            after[0][row, : len(rest)], after[1][row, : len(rest)] = rest, 1
+        turned = lambda pair: [np.ascontiguousarray(a.T) for a in pair]
+        _, grads = net.gradients(np.ascontiguousarray(x.T), labels, net.ends(turned(before), turned(after)))
         rate = 0.02 * (1 - step / (steps + 1)) + 0.001
         for i, g in enumerate(grads):
             g = np.clip(g, -1, 1)
@@ -167,30 +219,10 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED):
     return languages, net
 
 
-def _pooled(net: Network, texts: list[bytes]):
-    """Mean label probabilities (texts, L) over all bytes of each text; none of them empty."""
-    import numpy as np
-
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    windows = -(-lengths // WINDOW)
-    first = np.cumsum(windows) - windows
-    flat = np.zeros(int(windows.sum()) * WINDOW, np.uint8)
-    inside = np.zeros(len(flat), np.float32)
-    for text, n, at in zip(texts, lengths.tolist(), (first * WINDOW).tolist()):
-        flat[at : at + n] = np.frombuffer(text, np.uint8)
-        inside[at : at + n] = 1
-    flat, inside = flat.reshape(-1, WINDOW), inside.reshape(-1, WINDOW)
-    sums = np.empty((len(flat), net.w[5].size))
-    for at in range(0, len(flat), LANES):
-        mask = np.ascontiguousarray(inside[at : at + LANES].T)
-        p = net.positions(np.ascontiguousarray(flat[at : at + LANES].T), mask)
-        sums[at : at + LANES] = (p * mask[:, :, None]).sum(0)
-    return np.add.reduceat(sums, first) / lengths[:, None]
-
-
 def predict(docs: DataFrame, languages: list[str], net: Network | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast((languages, net))
+    # plain arrays, so that workers need no copy of this package; their size depends on the network alone
+    shared = docs.sparkSession.sparkContext.broadcast((languages, net.w if net else None))
 
     def label(batches):
         import os
@@ -199,27 +231,34 @@ def predict(docs: DataFrame, languages: list[str], net: Network | None) -> DataF
         import numpy as np
         import pyarrow as pa
 
-        languages, net = shared.value
-        for batch in batches:
-            ids, held = batch.column(0), batch.column(1)
-            texts, letters = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        languages, weights = shared.value
+        net = Network.of(weights) if weights else None
+
+        def rows(ids, held, texts):
             langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            some = [i for i, ok in enumerate(letters) if ok and languages]
-            at = 0
-            while at < len(some):
-                part, size = [], 0
-                while at < len(some) and size < LANES * WINDOW:
-                    part.append(some[at])
-                    size += len(texts[some[at]])
-                    at += 1
-                p = _pooled(net, [texts[i] for i in part]) if net else np.ones((len(part), 1))
-                for i, k, q in zip(part, p.argmax(1).tolist(), p.max(1).tolist()):
+            some = [i for i, text in enumerate(texts) if text is not None and languages]
+            if some:
+                p = net.probabilities([texts[i] for i in some]) if net else np.ones((len(some), 1))
+                for i, k, q in zip(some, p.argmax(1).tolist(), p.max(1).tolist()):
                     langs[i], scores[i] = languages[k], min(1.0, q)
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(langs), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held), pa.array(langs), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+        parts, size = ([], [], []), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                columns = [c.slice(at, 256).to_pylist() for c in batch.columns]
+                for column, part in zip(columns, parts):
+                    part.extend(column)
+                size += sum(len(t) for t in columns[2] if t is not None)
+                if size > HELD:
+                    yield rows(*parts)
+                    parts, size = ([], [], []), 0
+        if parts[0]:
+            yield rows(*parts)
 
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (_fold() == 0).alias("held_out"), F.col("text").cast("binary").alias("text"),
-        F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"),
+        F.col("doc_id").cast("long").alias("doc_id"), (_fold() == 0).alias("held_out"),
+        F.when(F.col("text").rlike("\\p{L}"), F.col("text").cast("binary")).alias("text"),
     ).mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

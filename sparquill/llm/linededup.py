@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fence, small, stash, table
+from ._common import fence, small, stash, table, tidy
 
 N_GRAM = 5
 THRESHOLD = 80  # per cent
@@ -133,6 +133,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * same >= threshold * (F.size("x") + F.size("y") - same)).select("a", "b", "ord")
 
 
+@tidy
 def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, tk, line_no, first, is_copy): the lines that go, an earlier line that they match, as (doc_id, tk, line_no),
     and whether an earlier line has the same tokens (`first` is then the earliest of these or an earlier similar one)."""
@@ -169,8 +170,10 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
     found = stash(_verified(first, sets, threshold))
 
-    open_ = stash(placed.join(found.select(F.col("b").alias("key")).distinct(), "key", "left_anti"))
-    y, x = open_.alias("y"), placed.alias("x")
+    # a pair one of which leads a token has met there already; at the first token they share, no other filter hides it
+    rest = stash(placed.join(leaders.select("token", "key"), ["token", "key"], "left_anti"))
+    open_ = rest.join(found.select(F.col("b").alias("key")).distinct(), "key", "left_anti")
+    y, x = open_.alias("y"), rest.alias("x")
     second = (
         y.join(x, F.col("x.token") == F.col("y.token")).where((F.col("x.ord") < F.col("y.ord")) & _may_match("x", "y", threshold))
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.ord").alias("ord")).distinct()
@@ -203,3 +206,26 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "is_copy")
+
+
+ORACLE = f"""
+with d as (
+  select doc_id, string_split(text, chr(10)) as ls from documents where text is not null
+), l as (
+  select doc_id, unnest(range(0, len(ls))) as line_no, list_filter(string_split_regex(unnest(ls), '[\\x20\\x09\\x0B-\\x0D]+'), lambda w: w <> '') as w from d
+), t as (
+  select doc_id, line_no, doc_id * 100000000 + line_no as pos, list_sort(list_distinct(case when len(w) < {N_GRAM} then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - {N_GRAM - 2}), lambda i: array_to_string(w[i:i + {N_GRAM - 1}], ' ')) end)) as s
+  from l where len(w) > 0
+), c as (
+  select s, min(pos) as first, any_value(len(s)) as n from t group by s
+), p as (
+  select first, n, unnest(s) as g from c
+), m as (
+  select distinct b from (
+    select b.first as b from p a join p b on a.g = b.g and a.first < b.first
+    group by a.first, b.first, a.n, b.n having 100 * count(*) >= {THRESHOLD} * (a.n + b.n - count(*)))
+)
+select t.doc_id, t.line_no::bigint as line_no, t.pos > c.first as is_copy
+from t join c on t.s = c.s left join m on m.b = c.first where t.pos > c.first or m.b is not null
+"""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import global_rank, stash, table
+from ._common import global_rank, stash, table, tidy
 from ._tokens import default_path, encoder, slices
 
 SEQ_LEN = 2048
@@ -81,6 +81,7 @@ def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, i
     return rows
 
 
+@tidy
 def pack(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN) -> DataFrame:
     """The pieces of docs with sequence_id and offset."""
     spark = docs.sparkSession

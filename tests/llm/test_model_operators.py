@@ -137,8 +137,42 @@ def check_shards(rows, docs):
 def test_shards(spark, sf_dir, odd_docs, no_docs):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check_shards(queries.queries()["op4_hilbert_shards"](spark, sf_dir).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
-    check_shards(hilbert.shard(odd_docs.drop("size")).collect(), [(r["doc_id"], r["text"]) for r in odd_docs.collect()])
-    assert hilbert.shard(no_docs.drop("size")).count() == 0
+    check_shards(hilbert.shard(odd_docs).collect(), [(r["doc_id"], r["text"]) for r in odd_docs.collect()])
+    assert hilbert.shard(no_docs).count() == 0
+
+
+def test_shards_equal_a_plain_sort(spark, sf_dir):
+    """Shard and slot of every row against quantising, ordering and cutting in plain Python."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in queries.queries()["op4_hilbert_shards"](spark, sf_dir).collect()}
+    size = lambda r: len((r["text"] or "").encode()) + 1
+
+    def number(values):
+        shared = 0
+        known = [v.encode() for v in values if v is not None]
+        lo, hi = min(known), max(known)
+        while shared < min(len(lo), len(hi)) and lo[shared] == hi[shared]:
+            shared += 1
+        return lambda v: None if v is None else float(int.from_bytes(v.encode()[shared : shared + 6].ljust(6, b"\0"), "big"))
+
+    scales = [number([r["lang"] for r in rows]), number([r["source"] for r in rows]), lambda v: math.log2(v + 1)]
+    facts = [[f(v) for f, v in zip(scales, (r["lang"], r["source"], size(r)))] for r in rows]
+    spans = [(min(x for x in c if x is not None), max(x for x in c if x is not None)) for c in zip(*facts)]
+    top = (1 << hilbert.BITS) - 1
+    cells = [[0 if x is None else 1 + math.floor((x - lo) / ((hi - lo) or 1.0) * (top - 1)) for x, (lo, hi) in zip(f, spans)] for f in facts]
+    curve = hilbert.hilbert_index(np.array(cells), hilbert.BITS)
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], rows[i]["doc_id"]))
+    begins = {}
+    for rank, i in enumerate(order):
+        shard = rank * 16 // len(rows)
+        begins.setdefault(shard, rank)
+        assert got[rows[i]["doc_id"]] == (shard, rank - begins[shard])
+
+
+def test_shard_files_of_clashing_columns(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "'mine' as shard", "1 as _slot", "2 as _row", "3 as slot")
+    out = spark.read.parquet(hilbert.write(docs, str(tmp_path / "clash")))
+    assert out.count() == docs.count() and set(out.columns) == set(docs.columns) and out.where("shard between 0 and 15").count() == out.count()
 
 
 def test_shard_files_prune(spark, sf_dir, tmp_path):
@@ -153,23 +187,39 @@ def test_shard_files_prune(spark, sf_dir, tmp_path):
 def test_preference_odd_rows(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "good answer"), (2, 0, "user", "hi"), (2, 1, "assistant", "bad"), (2, 2, "user", None),
-        (3, 0, None, None), (None, 0, "user", "x"), (None, 1, "assistant", "y"),
+        (3, 0, None, None), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 0, "user", "x"), (4, 0, "user", "hi"), (4, 1, "assistant", "a"),
+        (4, 2, "user", "u"), (4, 3, "assistant", "a"), (4, 4, "assistant", "b"), (4, 5, "user", "u"), (5, 0, "assistant", "only"),
     ]
-    turns = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
-    out = preference.format_pairs(preference.pair_by_opening(preference.conversations(turns))).collect()
-    assert len(out) == 2
-    two = turns.where("conv_id in (1, 2)")
-    pair = preference.format_pairs(preference.pair_by_opening(preference.conversations(two))).first()
-    assert (pair["chosen_id"], pair["rejected_id"]) == (1, 2)
+    turns = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, source string")
+    made = lambda t: preference.format_pairs(preference.pair_up(preference.conversations(t)))
+    out = made(turns).collect()
+    assert sorted(((r["source"], r["chosen_id"], r["rejected_id"]) for r in out), key=str) == sorted(
+        [("opening", 1, 2), ("opening", None, None), ("alone", None, None), ("alone", 3, None), ("replies", 4, 4), ("alone", 5, None)], key=str
+    )
+    pair = next(r for r in out if r["chosen_id"] == 1)
     assert pair["prompt"] == "<|user|>\nhi\n" and pair["n_prompt_turns"] == 1
     assert pair["chosen"] == "<|assistant|>\ngood answer\n"
     assert [pair["chosen"][s["start"] : s["end"]] for s in pair["chosen_spans"]] == ["good answer"]
     assert [pair["rejected"][s["start"] : s["end"]] for s in pair["rejected_spans"]] == ["bad"]
-    assert preference.format_pairs(preference.pair_by_opening(preference.conversations(turns.limit(0)))).count() == 0
-    alone = preference.format_pairs(preference.pair_by_opening(preference.conversations(turns.where("conv_id = 1")))).first()
+    cut = next(r for r in out if r["chosen_id"] == 4)
+    assert cut["n_prompt_turns"] == 4 and cut["chosen"] == "<|assistant|>\nb\n" and cut["rejected"] == "<|assistant|>\na\n"
+    assert made(turns.limit(0)).count() == 0
+    alone = made(turns.where("conv_id = 1")).first()
     assert alone["rejected_id"] is None and alone["rejected"] is None and alone["n_prompt_turns"] == 0
 
 
+def test_preference_pairs_of_a_common_opening(spark, sf_dir):
+    """A conversation more changes no pair of another opening; a common opening pairs all of its conversations."""
+    rows = [(i, 0, "user", "hello" if i % 3 else f"own {i}") for i in range(90)] + [(i, 1, "assistant", f"answer {i}") for i in range(90)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = lambda t: {(r["chosen_id"], r["rejected_id"]) for r in preference.pair_up(preference.conversations(t)).collect() if r["source"] == "opening"}
+    common = [i for i in range(90) if i % 3]
+    assert made(turns) == set(zip(common[::2], common[1::2]))
+    assert made(turns.union(turns.where("conv_id = 0").selectExpr("-5L", "turn", "role", "text"))) == made(turns) | {(-5, 0)}
+    out = queries.queries()["op5_preference_pairs"](spark, sf_dir).collect()
+    assert sum(r["n_prompt_turns"] > 0 for r in out) > len(out) / 2
+
+
 def test_gru_gradients():
     rng = np.random.default_rng(0)
     net = langid.Network(3, 4)
@@ -190,6 +240,38 @@ def test_gru_gradients():
             assert abs((up - down) / 2e-3 - g[at]) < 2e-3
 
 
+def test_language_of_whole_texts_equals_a_plain_loop(spark):
+    """Predictions against the network run byte by byte through each whole text, one direction after the other."""
+    rng = np.random.default_rng(3)
+    net = langid.Network(3, 5, seed=1)
+    net.w[5] = np.array([0.1, -0.2, 0.0], np.float32)
+    texts = ["".join(rng.choice(list("abc de\u00e9\u4e2d"), n)) for n in (1, 2, 130, 257, 700, 900, 5000)]
+
+    def sigmoid(a):
+        return 1 / (1 + np.exp(-a))
+
+    def states(data, table, u):
+        h, out = np.zeros(5), []
+        for b in data:
+            rec = h @ u
+            z, r = sigmoid(table[b][:5] + rec[:5]), sigmoid(table[b][5:10] + rec[5:10])
+            h = z * h + (1 - z) * np.tanh(table[b][10:] + r * rec[10:])
+            out.append(h)
+        return np.array(out)
+
+    tf, uf, tb, ub, v, c = (w.astype(np.float64) for w in net.w)
+    want = []
+    for text in texts:
+        data = text.encode()
+        both = np.concatenate((states(data, tf, uf), states(data[::-1], tb, ub)[::-1]), 1)
+        e = np.exp(both @ v + c)
+        want.append((e / e.sum(1, keepdims=True)).mean(0))
+    assert np.abs(net.probabilities([t.encode() for t in texts]) - np.array(want)).max() < 1e-5
+    rows = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["a", "b", "c"], net).collect()
+    for r in rows:
+        assert r["lang_pred"] == "abc"[int(want[r["doc_id"]].argmax())] and abs(r["score"] - want[r["doc_id"]].max()) < 1e-5
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.queries()["op6_language_id"](spark, sf_dir).collect()
