@@ -341,7 +341,8 @@ class _Values(dict):
 
 @tidy
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (with the end) and bits_per_byte (the
+    code length) of every row of docs."""
     import numpy as np
 
     spark = docs.sparkSession
@@ -363,7 +364,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         (common["key"].astype(np.uint64), common["value"], frequent["key"], np.log10(frequent["n"] + 1.0))
     )
     end_known, end_value = size["texts"] > 0, float(np.log10(size["texts"] + 1))
-    schema = "row long, kind int, key long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, value double, score double"
+    schema = "row long, kind int, key long, times long, doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, value double, score double"
 
     def measure(batches):
         import pyarrow as pa
@@ -374,7 +375,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             store.ctw_of, store.ctw = shared, (_Known(*shared.value[:2]), _Values(*shared.value[2:]))
         known_codes, values = store.ctw
         classes = _classes()
-        kinds = [pa.int64(), pa.int32()] + [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2 + [pa.float64()] * 2
+        kinds = [pa.int64(), pa.int32()] + [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 3 + [pa.float64()] * 2
         names = [x.split()[0] for x in schema.split(", ")]
         for rows, texts in _chunks(batches, 1, 2, 3):
             codes, begins = _codes(texts, classes)
@@ -389,7 +390,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 value = np.fromiter(map(values.__getitem__, words), np.float64, len(words))
                 rare = np.nonzero(np.isnan(value))[0]
                 known = len(words) - len(rare) + end_known
-                for column, x in zip(out, (row, None, None, None, doc, held_out, len(words) + 1, known, float(np.nansum(value)) + end_value, total)):
+                for column, x in zip(out, (row, None, None, None, doc, held_out, len(words) + 1, known, len(text) + 1, float(np.nansum(value)) + end_value, total)):
                     column.append(x)
                 if len(rare):
                     keys, times = np.unique(np.array([_word_key(words[i]) for i in rare], np.int64), return_counts=True)
@@ -431,8 +432,9 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
             F.lit(n_train).cast("long").alias("train_tokens"),
             (F.col("value") + F.coalesce("_value", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
+            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), "n_bytes",
         )
+        .withColumn("bits_per_byte", -F.col("score") * F.log2(F.lit(10.0)) / F.col("n_bytes"))
     )
 
 

@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger: every rule is evaluated once, policies are applied to the stored bits.
 
-`ledger` gives each document its measurements and `fail_mask`, where bit i is set when RULES[i] failed. A policy is a
-mask of rules; `apply_policy` and `ablate` read only the ledger, so a new policy or an ablation never reads a text again.
+`ledger` gives each document its measurements and `fail_mask`, where bit i is set when RULES[i] failed; `stored` writes it.
+A policy is a mask of rules; `apply_policy` and `ablate` read only the ledger, so over a stored one a new policy or an
+ablation never reads a text again.
 
 Defined cases: a null text has no words and counts as empty; an empty text fails `few_words`; repeated rows and equal
 doc_ids each keep a row of their own; an empty table gives an empty ledger; columns of the input whose names clash with
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEPARATOR_CHARS, fence, words
+from ._common import SEPARATOR_CHARS, fence, stash, table, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -96,6 +97,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return fence(measured.withColumn("fail_mask", mask))  # so that filters on the ledger stay above it
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder."""
+    return stash(ledger(docs))
+
+
 def apply_policy(led: DataFrame, policy: str = "v1") -> DataFrame:
     """Adds base_failed and kept under the named policy."""
     return led.withColumn("base_failed", F.col("fail_mask").bitwiseAND(F.lit(BASE)) != 0).withColumn(
@@ -131,15 +137,22 @@ def _with_row(key: DataFrame, policy: str) -> DataFrame:
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from ._common import table
-
     return apply_policy(ledger(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask"
     )
 
 
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """Every rule of every policy, from one stored ledger."""
+    led, out = stored(table(spark, sf_dir, "documents")), None
+    for policy in POLICIES:
+        part = ablate(led, policy).withColumn("policy", F.lit(policy))
+        out = part if out is None else out.union(part)
+    return out
+
+
 _WORDS = "[\\x20\\x09-\\x0D]+"
-ORACLE = f"""
+_LEDGER = f"""
 with d as (
   select doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '{_WORDS}'), lambda w: w <> '') as w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l
@@ -160,6 +173,16 @@ with d as (
 ), f as (
   select *, ({" + ".join(f"(case when {rule} then {1 << i} else 0 end)" for i, (_, rule) in enumerate(RULES))})::bigint as fail_mask from m
 )
+"""
+ORACLE = _LEDGER + f"""
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_mask & {BASE}) <> 0 as base_failed,
        (fail_mask & {POLICIES["v1"] | BASE}) = 0 as kept, fail_mask from f
 """
+ABLATION = _LEDGER + f"""
+, policies as (select * from (values {", ".join(f"('{n}', {m})" for n, m in POLICIES.items())}) as t(policy, mask)
+), rules as (select * from (values {", ".join(f"('{n}', {b})" for n, b in BIT.items())}) as t(rule, bit)
+)
+select policy, rule, count(*) filter ((fail_mask & bit) <> 0) as n_failed, count(*) filter ((fail_mask & mask) = bit) as n_only,
+       count(*) filter ((fail_mask & mask & ~bit) = 0) as n_kept_without
+from f, policies, rules where (mask & bit) <> 0 group by policy, rule
+"""

@@ -16,6 +16,8 @@ _MODULES = {
     "op9_ctw": "ctw",
     "op10_line_dedup": "linededup",
 }
+#: More queries of the operators' modules, with the names of their SQL.
+_MORE = {"quality_ablation": ("quality", "ABLATION")}
 
 
 def _query(module: str, name: str):
@@ -23,7 +25,7 @@ def _query(module: str, name: str):
 
 
 def queries() -> dict:
-    return {name: _query(module, name) for name, module in _MODULES.items()}
+    return {name: _query(module, name) for name, module in _MODULES.items()} | {name: _query(module, name) for name, (module, _) in _MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -32,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
         sql = getattr(import_module(f"{__package__}.{module}"), "ORACLE", None)
         if sql:
             found[name] = sql
-    return found
+    return found | {name: _query(module, sql) for name, (module, sql) in _MORE.items()}

@@ -7,7 +7,8 @@ once. Ids of more than 60 bits are escapes: selector 15 points into the segment'
 `write` stores the segments, in order, as rows of a Parquet folder, so that Spark's committer gives each of them
 exactly once even when a task is run again; `read` decodes them.
 
-Defined cases: a null or empty text is the end id alone; repeated rows and equal doc_ids keep a place each (ties by text);
+Defined cases: a null or empty text is the end id alone; repeated rows and equal doc_ids keep a place each (ties by the
+text's first characters, then its hash, and then as the rows come, so that many rows of one doc_id are spread over tasks);
 a null doc_id comes first; an empty table writes no segment; other columns of the input are not read.
 """
 
@@ -176,13 +177,15 @@ def write(docs: DataFrame, to: str, path: str | None = None) -> str:
         if doc_ids:
             yield flush()[0]
 
+    order = ("doc_id", "head", "hash", "row")
+    ordered = docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.substring("text", 1, 64).alias("head"),
+        F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"),
+    )
     (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(encode, _SEGMENTS)
-        .write.parquet(to)
-    )
+        ordered.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+        .mapInArrow(encode, _SEGMENTS).write.parquet(to)
+    )
     return to
 
 
