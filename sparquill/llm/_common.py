@@ -42,7 +42,20 @@ def stash(df: DataFrame) -> DataFrame:
     if getattr(_scopes, "open", None):
         _scopes.open[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what `stash` or `tidy` wrote for df; does nothing to any other DataFrame."""
+    if path := getattr(df, "_stashed_at", None):
+        _delete(df.sparkSession, path)
 
 
 def tidy(f):
@@ -64,8 +77,7 @@ def tidy(f):
                 _scopes.open.pop()
             out = None
             for path in mine:
-                hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+                _delete(spark, path)
             # shuffle files go when the driver finds that nothing refers to them, which else may take half an hour
             gc.collect()
             spark.sparkContext._jvm.System.gc()

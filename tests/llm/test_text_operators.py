@@ -242,3 +242,20 @@ def test_components_of_chains(spark):
 def test_global_rank(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("same"))
     assert all(r["v"] == r["rank"] for r in global_rank(df, "same", "v").collect())
+
+
+def test_tidy_leaves_its_result_only(spark):
+    import os
+
+    from sparquill.llm._common import discard, shared_dir, stash, tidy
+
+    held = lambda: {x for x in os.listdir(shared_dir(spark)) if x.startswith("sparquill-")}
+    before = held()
+    out = tidy(lambda: stash(stash(spark.range(5)).where("id > 1")).where("id > 2"))()
+    assert out.count() == 2 and len(held() - before) == 1
+    discard(out)
+    discard(spark.range(3))
+    assert held() == before
+    with pytest.raises(ZeroDivisionError):
+        tidy(lambda: [stash(spark.range(5)), 1 / 0])()
+    assert held() == before
