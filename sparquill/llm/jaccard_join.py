@@ -201,10 +201,11 @@ def join(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketch: i
     )
     tokens = classes.select("rep", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     met = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = stash(tokens.join(met, "token"))  # shingles that stand in two prefixes at least
+    # tables that grow with the corpus are joined by a shuffle at every size
+    shared = stash(tokens.join(met.hint("merge"), "token"))  # shingles that stand in two prefixes at least
 
     leader = shared.groupBy("token").agg(F.min(F.struct("pos", "rep", "n")).alias("l"))
-    led = shared.join(leader, "token").where((F.col("rep") != F.col("l.rep")) & _may_link(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), threshold))
+    led = shared.join(leader.hint("merge"), "token").where((F.col("rep") != F.col("l.rep")) & _may_link(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), threshold))
     first = stash(led.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct())
     keys = classes.select("rep", "set_id", "doc_id")
     sets = stash(_shingle_sets(docs, stash(keys.join(_ends(first), "rep")), n))
@@ -217,7 +218,7 @@ def join(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketch: i
     # a pair with a token's leader has met there already; at the first token they share, no filter hides it
     lead = F.min(F.struct("pos", "rep", "n"))["rep"].alias("lead")
     apart = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), lead).where("lo != hi").select("token", "lead")
-    open_ = stash(placed.join(apart, "token").where("rep != lead").drop("lead"))
+    open_ = stash(placed.join(apart.hint("merge"), "token").where("rep != lead").drop("lead"))
     x, y = open_.alias("x"), open_.alias("y")
     second = stash(
         x.join(y, F.col("x.token") == F.col("y.token"))
