@@ -24,8 +24,8 @@ BATCH = 192
 TRAIN_WINDOW = 48
 WARM_UP = 48  # bytes beyond each end of a training window that the states are run over
 STEP = 128  # bytes of each text worked on between two products with the label weights
-SLAB = 4 << 20  # bytes of texts that advance together
-HELD = 24 << 20  # bytes of texts sorted by length at a time
+SLAB = 8 << 20  # places of texts that advance together
+HELD = 48 << 20  # bytes of texts sorted by length at a time
 SEED = 7
 
 
@@ -97,11 +97,11 @@ class Network:
         out = np.empty((len(texts), len(self.w[5])))
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-lengths, kind="stable")
-        most = max(1, min(SLAB, (64 << 20) // (4 * len(self.w[5]))))
+        most = max(1, min(SLAB, (128 << 20) // (4 * len(self.w[5]))))
         at = 0
         while at < len(order):
             longest = int(lengths[order[at]])
-            lanes = int(min(max(1, most // longest), np.searchsorted(-lengths[order[at:]], -0.75 * longest, "right")))
+            lanes = max(1, most // longest)  # texts that have ended cost room, not time
             mine = order[at : at + lanes]
             out[mine] = self._slab([texts[i] for i in mine], lengths[mine])
             at += lanes
