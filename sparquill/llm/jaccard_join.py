@@ -245,7 +245,8 @@ def join(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketch: i
 def keep_one(docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs that are the only one or, by doc_id, the first of their group of near copies."""
     ids = join(docs, n, threshold).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    # as above; the texts are shuffled once, as they are anyway where the ids are too many to be sent to the tasks
+    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
