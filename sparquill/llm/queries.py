@@ -15,6 +15,9 @@ _MODULES = {
     "op8_simple8b": "simple8b",
     "op9_ctw": "ctw",
     "op10_line_dedup": "linededup",
+    "op11_periodic": "periodic",
+    "op12_bpe": "bpe",
+    "op13_repair": "repair",
 }
 #: More queries of the operators' modules, with the names of their SQL.
 _MORE = {"quality_ablation": ("quality", "ABLATION")}
