@@ -1,7 +1,8 @@
 """Inner products estimated on the codes. Queries are rotated and sketched once; keys are never rotated back.
 
-Queries travel to the tasks in blocks of at most BLOCK_BYTES; each block is one pass over the keys, so any number of
-queries is answered and no task holds more than a block of them.
+Queries of up to BLOCK_BYTES travel to every task, one pass over the keys. More of them, and queries that only meet the keys of
+their own group, are met in blocks on executors (`blocks.block_pairs`): the driver then sees no query, a task holds one block
+of either side, and only pairs that are asked for are scored.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from pyspark.sql import types as T
 from ..functions.kernels import prod_query, scores
 from ..functions.udfs import code_parts, constants, vectors
 from ..specs import ProdSpec
+from .blocks import block_pairs, from_bytes, to_bytes
 
 #: Bytes of query vectors (as doubles, rotated and sketched) that travel to every task at once.
 BLOCK_BYTES = 32 << 20
 #: Score rows that a task makes at once.
 ROWS = 1 << 16
+#: Queries and keys of a block.
+BLOCK_QUERIES, BLOCK_KEYS = 512, 4096
 
 
 def query_blocks(queries: DataFrame, q: str, dim: int, width: int = 2) -> Iterator:
@@ -44,80 +48,96 @@ def _query_parts(table, q: str, dim: int):
     return table.drop_columns([q]).filter(pa.array(ok)).combine_chunks(), x
 
 
-def attention_score(queries: DataFrame, keys: DataFrame, spec: ProdSpec, q: str = "q", code: str = "code", group: str | None = None, top: int | None = None) -> DataFrame:
+def attention_score(
+    queries: DataFrame, keys: DataFrame, spec: ProdSpec, q: str = "q", code: str = "code", group: str | None = None, top: int | None = None, slack: float = 0.0
+) -> DataFrame:
     """The rows of queries x keys (within a group, if a column of both is named) with their score.
 
     keys hold a code column made by `encode` for a ProdSpec, queries a vector column q; the other columns are kept. A null
-    vector or code has no scores. With `top`, a task gives only the `top` best of its keys for each query.
+    vector, code or group has no scores. With `top`, only the `top` best keys of what a task sees at once are given for each
+    query, and those that are worse than them by up to `slack`, for a rank by rounded scores.
     """
-    spark = keys.sparkSession
-    held = constants(spec)
     named = [f for f in queries.schema.fields if f.name not in (q, group)]
     kept = [f for f in keys.schema.fields if f.name != code]
     schema = T.StructType([*kept, *named, T.StructField("score", T.DoubleType())])
-    ordered = keys.select(code, *[f.name for f in kept])
-    out = None
-    for block in query_blocks(queries, q, spec.dim):
-        table, x = _query_parts(block, q, spec.dim)
-        groups = table[group].to_numpy(zero_copy_only=False) if group else None
-        sink = _ipc(table.select([f.name for f in named]))
-        shared = spark.sparkContext.broadcast((sink, groups, *prod_query(x, spec)))
-        part = ordered.mapInArrow(_scores(held, shared, group, [f.name for f in kept], top), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _ipc(table) -> bytes:
-    import pyarrow as pa
+    queries, keys = queries.select(*[f.name for f in named], q, *([group] if group else [])), keys.select(code, *[f.name for f in kept])
+    held, by = constants(spec), [group] if group else []
+    limit = BLOCK_BYTES // (2 * 8 * spec.dim)
+    if not group and queries.limit(limit + 1).count() <= limit:
+        table, x = _query_parts(queries.toArrow(), q, spec.dim)
+        shared = keys.sparkSession.sparkContext.broadcast((to_bytes(table), *prod_query(x, spec)))
+
+        def blocks(batches):
+            sink, *prepared = shared.value
+            names = from_bytes(sink)
+            for batch in batches:
+                yield names, prepared, batch
+
+        return keys.mapInArrow(_scores(blocks, held, [f.name for f in kept], [], top, slack), schema)
+
+    def blocks(batches):
+        import pyarrow as pa
+
+        local, last, asked = held(), None, None
+        for batch in batches:
+            groups = [batch.column(c) for c in by]
+            for i, (left, right) in enumerate(zip(batch.column("left"), batch.column("right"))):
+                if last is None or not left.equals(last):
+                    table, x = _query_parts(from_bytes(left.as_buffer()), q, local.dim)
+                    last, asked = left, (table, prod_query(x, local))
+                key = from_bytes(right.as_buffer())
+                for c, values in zip(by, groups):  # the group is no part of the block
+                    key = key.append_column(c, values.take(pa.array([i] * key.num_rows)))
+                for part in key.to_batches():
+                    yield *asked, part
 
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+    pairs = block_pairs(queries, keys, by, BLOCK_QUERIES, BLOCK_KEYS)
+    return pairs.mapInArrow(_scores(blocks, held, [f.name for f in kept], by, top, slack), schema)
 
 
-def _scores(constants, shared, group: str | None, kept: list[str], top: int | None):
+def _scores(blocks, constants, kept: list[str], by: list[str], top: int | None, slack: float):
+    """Rows of scores of (names of queries, prepared queries, batch of keys), ROWS at a time."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         local = constants()
-        sink, groups, turned, sketched = shared.value
-        names = pa.ipc.open_stream(sink).read_all().combine_chunks()
         best: list = []
-
-        def rows(batch, at_q, at_k, score):
-            """Rows of the pairs (query, key) at these places."""
-            columns = [batch.column(c).take(pa.array(at_k)) for c in kept]
-            columns += [names.column(i).combine_chunks().take(pa.array(at_q)) if names.num_rows else names.column(i).combine_chunks() for i in range(names.num_columns)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*kept, *names.schema.names, "score"])
-
-        for whole in batches:
+        seen = None
+        for names, prepared, whole in blocks(batches):
+            n_queries = len(prepared[0])
+            if seen is not names and best:
+                yield _kept(best, top, slack)[2]
+                best = []
+            seen = names
             valid = whole.filter(whole.column(0).is_valid())
-            step = max(1, ROWS // max(1, len(turned)))
-            for at in range(0, valid.num_rows if len(turned) else 0, step):
+            step = max(1, ROWS // max(1, n_queries))
+            for at in range(0, valid.num_rows if n_queries else 0, step):
                 batch = valid.slice(at, step)
-                found = scores((turned, sketched), *code_parts(batch.column(0), local), local)
-                keep = np.ones(found.shape, bool) if group is None else groups[:, None] == batch.column(group).to_numpy(zero_copy_only=False)[None, :]
+                found = scores(prepared, *code_parts(batch.column(0), local), local)
+                keep = np.ones(found.shape, bool)
                 if top is not None and found.shape[1] > top:
-                    floor = -np.partition(-np.where(keep, found, -np.inf), top - 1, axis=1)[:, top - 1 : top]
-                    keep &= found >= floor  # ties stay, the final rank decides
+                    keep = found >= -np.partition(-found, top - 1, axis=1)[:, top - 1 : top] - slack  # ties stay, the final rank decides
                 at_q, at_k = np.nonzero(keep)
-                out = rows(batch, at_q, at_k, found[at_q, at_k])
+                columns = [batch.column(c).take(pa.array(at_k)) for c in kept]
+                columns += [names.column(i).combine_chunks().take(pa.array(at_q)) for i in range(names.num_columns)]
+                score = found[at_q, at_k]
+                out = pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*kept, *names.schema.names, "score"])
                 if top is None:
                     yield out
                 else:
-                    best.append((at_q, found[at_q, at_k], out))
-                    if sum(len(a) for a, _, _ in best) > 8 * ROWS + 4 * top * len(turned):
-                        best = [_kept(best, top)]
+                    best.append((at_q, score, out))
+                    if sum(len(a) for a, _, _ in best) > 8 * ROWS + 4 * top * n_queries:
+                        best = [_kept(best, top, slack)]
         if best:
-            yield _kept(best, top)[2]
+            yield _kept(best, top, slack)[2]
 
     return run
 
 
-def _kept(best: list, top: int):
-    """The rows among the `top` best of their query, ties included."""
+def _kept(best: list, top: int, slack: float):
+    """The rows among the `top` best of their query, ties and what is worse by up to slack included."""
     import numpy as np
     import pyarrow as pa
 
@@ -126,7 +146,7 @@ def _kept(best: list, top: int):
     order = np.lexsort((-score, at_q))
     first = np.searchsorted(at_q[order], at_q[order], "left")
     last = np.minimum(first + top - 1, np.searchsorted(at_q[order], at_q[order], "right") - 1)
-    keep = np.sort(order[score[order] >= score[order][last]])
+    keep = np.sort(order[score[order] >= score[order][last] - slack])
     return at_q[keep], score[keep], rows[0].take(pa.array(keep))
 
 

@@ -225,7 +225,7 @@ def score_vs_exact(spark, d):
 
 
 def score_topk(spark, d):
-    s = score.attention_score(_asked(spark, d), _keys(spark, d), _SCORE, top=10).select("q_id", "k_id", _r("score").alias("score"))
+    s = score.attention_score(_asked(spark, d), _keys(spark, d), _SCORE, top=10, slack=1e-6).select("q_id", "k_id", _r("score").alias("score"))
     return score.top_k(s, 10).select("q_id", F.col("rank").cast("int").alias("rank"), "k_id")
 
 
@@ -275,7 +275,7 @@ def external_matrix(spark, d):
     spec = MseSpec(DIM, 2, SEED, matrix=np.eye(DIM)[[i ^ 1 for i in range(DIM)]])
     book = lloyd_max(DIM, 2)
     text = {"d": DIM, "bits": 2, "centroids": list(book.centroids), "boundaries": [-1.0, *book.boundaries, 1.0], "mse_per_coord": book.mse_per_coord}
-    folder = f"{_shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    folder = _shared_folder(spark, "books")
     spark.createDataFrame([(json.dumps(text),)], "value string").coalesce(1).write.text(folder)
     found = codebooks.find(codebooks.read_json(spark, folder), DIM, 2)
     if found.centroids != book.centroids:
@@ -290,12 +290,15 @@ def _external_matrix_sql() -> str:
     return _with(o.mse_state(spec), VECTORS, o.mse_quantize("vectors", "q")) + f"select vec_id, round(norm, 6) as norm, {o.hex_text('idx', DIM, 2)} as codes from q"
 
 
-def _shared_folder(spark) -> str:
-    """The folder that driver and executors share. There is no fallback to a folder of one machine."""
+def _shared_folder(spark, kind: str) -> str:
+    """A new folder where driver and executors share one, gone with the session. There is no fallback to a folder of one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/")
+    at = f"{named.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return at
 
 
 # --- capture -----------------------------------------------------------------------------------------------------------
@@ -344,12 +347,12 @@ def _event_vectors(spark, d):
     return events
 
 
-def _streamed(spark, d, events, slices: int = 4):
+def _streamed(spark, d, events, slices: int = 4, state: str | None = None):
     """(last totals per session, history) of a stream of files that arrive one after the other."""
     from ..operators.history import History
     from ..streaming import capture
 
-    at = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    at = _shared_folder(spark, "stream")
     span = events.agg(F.max("seq").alias("hi")).first()["hi"]
     names = [x.split()[0] for x in capture.EVENTS.split(", ")]
     for i in range(slices):
@@ -358,7 +361,7 @@ def _streamed(spark, d, events, slices: int = 4):
         part.repartition(1 if i % 2 else 2, "session").sortWithinPartitions("session", "seq").write.mode("append").parquet(f"{at}/events")
     source = spark.readStream.schema(capture.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{at}/events")
     history = History(spark, f"{at}/history", _STREAM)
-    return capture.run_available(source, history, f"{at}/counts", f"{at}/state"), history
+    return capture.run_available(source, history, f"{at}/counts", state or f"{at}/state"), history
 
 
 def _decoded(spark, d):
@@ -384,7 +387,64 @@ def stream_history_counters(spark, d):
     return history.counters()
 
 
-def stream_control_counts(spark, d):
+def stream_recent(spark, d):
+    """What the buffers of all sessions hold after the stream, read from its state."""
+    from ..streaming import capture
+
+    state = _shared_folder(spark, "state")
+    _streamed(spark, d, _decoded(spark, d), state=state)
+    ring = capture.recent(spark, state, _STREAM)
+    total = lambda c: _r(F.aggregate(c, F.lit(0.0), lambda a, v: a + v.cast("double")))
+    return ring.select("session", "token_idx", total("key").alias("key_sum"), total("value").alias("value_sum"))
+
+
+def _stream_recent_sql() -> str:
+    total = lambda t: f"round(list_sum(list_transform({t}.embedding, lambda v: v::double)), 6)"
+    return _with(_EVENT_PLACES_SQL) + (
+        f"select session, p.event_id as token_idx, {total('k')} as key_sum, {total('v')} as value_sum from p join embeddings k on k.vec_id = p.event_id % p.ne "
+        "join embeddings v on v.vec_id = (p.event_id + 7) % p.ne where not old"
+    )
+
+
+#: Events in the order of their session, whether they have been compressed, and the number of vectors.
+_EVENT_PLACES_SQL = (
+    "ne as (select count(*) as ne from embeddings), p0 as (select user_id as session, event_id, row_number() over (partition by user_id order by event_id) - 1 as place, "
+    f"count(*) over (partition by user_id) as n from events), p as (select session, event_id, place < {CAPACITY} * ((n - 1) // {CAPACITY}) as old, ne from p0, ne)"
+)
+
+
+def attn_sessions(spark, d):
+    """Every 50th event asks, with two heads, over its session's stored history and the buffer of the stream's state."""
+    from ..streaming import capture
+
+    state = _shared_folder(spark, "state")
+    _, history = _streamed(spark, d, _decoded(spark, d), state=state)
+    e = embeddings(spark, d)
+    n = e.count()
+    asked = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_id") % _ASK == 0).withColumn("q_head", F.explode(F.array(F.lit(0), F.lit(1))))
+    asked = asked.select(F.col("user_id").alias("session"), F.col("event_id").cast("int").alias("q_token"), "q_head", ((F.col("event_id") + 3 + 11 * F.col("q_head")) % n).alias("_v"))
+    asked = asked.join(e.select(F.col("vec_id").alias("_v"), F.col("x").alias("q")), "_v").drop("_v")
+    out = attention.session_attention(asked, history.latest(), capture.recent(spark, state, _STREAM), _STREAM, 2)
+    return out.select("session", "q_token", "q_head", "pos", _r("value").alias("value"))
+
+
+def _attn_sessions_sql() -> str:
+    doubles = lambda c: f"list_transform({c}, lambda a: a::double)"
+    return f"""with {o.prod_state(_STREAM.key)}, em as (select vec_id, embedding as x from embeddings), {_EVENT_PLACES_SQL},
+{o.prod_quantize("em", "pk")},
+{o.prod_dequantize("pk", "pd", _STREAM.key, "kd")},
+{o.value_quantize("pd", "vq", _STREAM.value, "x")},
+{o.value_dequantize("vq", "dv", _STREAM.value, "vd")},
+kvs as (select session, case when old then k.kd else {doubles("k.x")} end as k, case when old then v.vd else {doubles("v.x")} end as v
+        from p join dv k on k.vec_id = event_id % ne join dv v on v.vec_id = (event_id + 7) % ne),
+qs as (select user_id as session, event_id::int as q_token, h::int as q_head, {doubles("embedding")} as q
+       from events, ne, (values (0), (1)) as t(h) join embeddings on vec_id = (event_id + 3 + 11 * h) % ne where event_id % {_ASK} = 0),
+lg as (select qs.session, q_token, q_head, list_inner_product(q, k) * {DIM**-0.5!r} as s, v from qs join kvs on qs.session = kvs.session),
+w as (select *, exp(s - max(s) over (partition by session, q_token, q_head)) as w from lg)
+select session, q_token, q_head, p.pos, round(sum(w * v[p.pos + 1]) / sum(w), 6) as value from w, (select unnest(range(0, {DIM}))::int as pos) p group by all"""
+
+
+def _controls(spark, d):
     """Sessions begin with a prefill of session mod 40 tokens; odd ones end with a flush, every fifth with a reset."""
     tokens = _decoded(spark, d)
     places = kv.placed(tokens.select("session", "seq"), "session", ["seq"], F.floor(F.col("seq") / 1000))
@@ -399,15 +459,76 @@ def stream_control_counts(spark, d):
     none = [F.lit(0).cast("long").alias(c) for c in ("batch_id", "batch_size")] + [F.lit(None).cast("array<float>").alias(c) for c in ("key", "value")]
     last = rows.groupBy("session").agg((F.max("seq") + 1).alias("seq"))
     ends = last.withColumn("kind", F.when(F.col("session") % 5 == 0, "reset").when(F.col("session") % 2 == 1, "flush")).where("kind is not null")
-    counts, _ = _streamed(spark, d, rows.unionByName(ends.select("session", "seq", "kind", *none)))
+    return rows.unionByName(ends.select("session", "seq", "kind", *none))
+
+
+def stream_control_counts(spark, d):
+    counts, _ = _streamed(spark, d, _controls(spark, d))
     return counts
 
 
+def stream_control_history(spark, d):
+    """What the history holds of each session after the controls: of a session that was reset, nothing."""
+    _, history = _streamed(spark, d, _controls(spark, d))
+    return history.counters()
+
+
+def _control_history_sql() -> str:
+    return _with(
+        f"n as (select user_id as session, count(*) as n, greatest(least(user_id % 40, count(*)) - {CAPACITY}, 0) as lead from events group by user_id)",
+        f"c as (select *, (n - lead - 1) // {CAPACITY} as drains, session % 5 = 0 as reset, session % 2 = 1 as flushed from n)",
+        f"h as (select session, reset, case when reset then 0 when flushed then n else lead + {CAPACITY} * drains end as num_tokens, "
+        "case when reset then 0 else (lead > 0)::int + drains + flushed::int end as num_chunks from c)",
+    ) + "select session, num_tokens, num_chunks, num_tokens * 96 as bytes from h where reset or num_tokens > 0"
+
+
+def kv_history_view(spark, d):
+    """Codes of every token, appended in six batches with a view that is brought up to date after each."""
+    from ..operators.history import History
+
+    history = History(spark, _shared_folder(spark, "history"), KV)
+    tokens = _kv_tokens(spark, d).select(F.lit(0).cast("long").alias("session"), F.lit(0).cast("long").alias("epoch"), (F.col("token_idx") % 6).alias("chunk_id"), "token_idx", "kv_head", "key", "value")
+    for chunk in range(6):
+        history.append(tokens.where(F.col("chunk_id") == chunk))
+        history.refresh()
+    return kv.flat_view(history.view()).select("kv_head", "token_idx", "chunk_id", "key_codes", "key_signs", "value_codes")
+
+
+def stream_ordered(spark, d):
+    """Events that arrive up to three days late are still worked off by time: the chunks of each session."""
+    from ..operators.history import History
+    from ..streaming import capture
+
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = _decoded(spark, d).join(events, "seq").withColumn("arrives", F.unix_timestamp("ts") + F.pmod(F.xxhash64("seq"), F.lit(3 * 86400)))
+    lo, hi = rows.agg(F.min("arrives"), F.max("arrives")).first()
+    at, slices, names = _shared_folder(spark, "stream"), 5, [x.split()[0] for x in capture.EVENTS.split(", ")]
+    step = ((hi or 0) - (lo or 0)) // slices + 1
+    for i in range(slices):
+        part = rows.where(F.floor((F.col("arrives") - F.lit(lo)) / step) == i)
+        part.select(*names, "ts").orderBy(F.xxhash64("seq", F.lit(1))).coalesce(2).write.mode("append").parquet(f"{at}/events")
+    # an event of no session ends the time of all
+    late = spark.range(1).select(F.lit(-1).cast("long").alias("session"), F.lit(-1).cast("long").alias("seq"), F.lit("tick").alias("kind"), *[F.lit(0).cast("long").alias(c) for c in ("batch_id", "batch_size")], *[F.lit(None).cast("array<float>").alias(c) for c in ("key", "value")], F.timestamp_seconds(F.lit((hi or 0) + 10 * 86400)).alias("ts"))
+    late.write.mode("append").parquet(f"{at}/events")
+    source = spark.readStream.schema(f"{capture.EVENTS}, ts timestamp").option("maxFilesPerTrigger", 2).parquet(f"{at}/events").withWatermark("ts", "4 days")
+    history = History(spark, f"{at}/history", _STREAM)
+    capture.run_available(source, history, f"{at}/counts", f"{at}/state", bucket_ms=3_600_000)
+    return history.latest().groupBy("session", "chunk_id").agg(F.count("*").alias("n_tokens"), F.sum("token_idx").alias("events"), F.min("token_idx").alias("least"), F.max("token_idx").alias("most"))
+
+
+def _stream_ordered_sql() -> str:
+    return (
+        "with p as (select user_id as session, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as place, count(*) over (partition by user_id) as n from events) "
+        f"select session, place // {CAPACITY} as chunk_id, count(*) as n_tokens, sum(event_id)::bigint as events, min(event_id) as least, max(event_id) as most from p "
+        f"where place < {CAPACITY} * ((n - 1) // {CAPACITY}) group by all"
+    )
+
+
 def kv_stored_codes(spark, d):
     """Codes of every token, appended to a stored history in two chunks and read back in order."""
     from ..operators.history import History
 
-    history = History(spark, f"{_shared_folder(spark)}/history-{uuid.uuid4().hex}", KV)
+    history = History(spark, _shared_folder(spark, "history"), KV)
     tokens = _kv_tokens(spark, d).select(F.lit(0).cast("long").alias("session"), F.lit(0).cast("long").alias("epoch"), (F.col("token_idx") % 2).alias("chunk_id"), "token_idx", "kv_head", "key", "value")
     for chunk in (0, 1):
         history.append(tokens.where(F.col("chunk_id") == chunk))
@@ -557,6 +678,11 @@ def _catalogue() -> dict:
             _with(_SESSIONS_SQL, f"n as (select session, count(*) as n, greatest(least(session % 40, count(*)) - {CAPACITY}, 0) as lead from s group by session)", f"c as (select session, n, lead + {CAPACITY} * ((n - lead - 1) // {CAPACITY}) as c from n)")
             + "select session, (session % 5 = 0)::bigint as epoch, case when session % 5 = 0 then 0 else n end as total, case when session % 5 = 0 then 0 when session % 2 = 1 then n else c end as compressed, case when session % 5 = 0 or session % 2 = 1 then 0 else n - c end as buffered from c",
         ),
+        "stream_recent": (stream_recent, _stream_recent_sql()),
+        "attn_sessions": (attn_sessions, _attn_sessions_sql()),
+        "stream_control_history": (stream_control_history, _control_history_sql()),
+        "stream_ordered": (stream_ordered, _stream_ordered_sql()),
+        "kv_history_view": (kv_history_view, f"with {_STORE_SQL} select kv_head, token_idx, token_idx % 6 as chunk_id, {o.hex_text('idx', DIM, KV.key.bits - 1)} as key_codes, {o.hex_text('sign', DIM, 1)} as key_signs, {o.hex_text('vidx', DIM, KV.val_bits)} as value_codes from store"),
         "udf_matches_expr": (udf_matches_expr, "select codec, count(*) as n_rows, 0::bigint as n_mismatch from embeddings, (values ('mse'), ('prod'), ('value')) as t(codec) group by codec"),
     }
     for b in (1, 2, 3, 4):

@@ -6,17 +6,18 @@ of its rows have come. Rows follow seq within an Arrow batch, and arrival across
 is worked off before the next is taken, so a session's events are never held all at once. A source limit
 (maxFilesPerTrigger) bounds what a micro-batch brings.
 
-Output rows: out "token" for each drained token (session, epoch, chunk_id, seq, key, value), and one "count" per session
-and micro-batch with the session's totals. A reset begins a new epoch, whose chunks are numbered from 0 again.
+Output rows: out "token" for each drained token (session, epoch, chunk_id, seq, key, value), "reset" for a reset with the epoch
+that it begins, whose chunks are numbered from 0 again, and one "count" per session and micro-batch with the session's totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..errors import BufferTooSmall, InvalidDim
+from ..operators.blocks import from_bytes, to_bytes
 from ..operators.history import History
 from ..specs import KvSpec
 
@@ -106,23 +107,55 @@ class Engine:
 
 
 class CaptureProcessor(StatefulProcessor):
-    """Keeps buffer, counters and unfinished prefill batches of each session."""
+    """Keeps buffer, counters, unfinished prefill batches and, with an order by time, what has come too early, of each session.
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    Vectors are bytes in the state and on their way through it. The buffer's state grows by what is new unless it has drained;
+    parts of unfinished batches and of what waits for its time are written once, as they come.
+    """
+
+    def __init__(self, capacity: int, bucket_ms: int = 0):
+        self.capacity, self.bucket_ms = capacity, bucket_ms
 
     def init(self, handle) -> None:
-        self.ring = handle.getListState("ring", "seq long, key array<float>, value array<float>")
-        self.counters = handle.getValueState("counters", "total long, compressed long, chunks long, epoch long")
-        self.waiting = handle.getListState("waiting", "batch_id long, batch_size long, seq long, key array<float>, value array<float>")
+        self.handle = handle
+        self.ring = handle.getListState("ring", "seq long, key binary, value binary")
+        self.counters = handle.getValueState("counters", "total long, compressed long, chunks long, epoch long, parts long")
+        self.open = handle.getMapState("open", "batch_id long", "rows long, parts string")
+        self.waiting = handle.getMapState("waiting", "part long", "tokens binary")
+        if self.bucket_ms:
+            self.early = handle.getMapState("early", "part long", "bucket long, events binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        session = int(key[0])
-        engine = Engine(self.capacity, [tuple(r) for r in self.ring.get()], *(self.counters.get() or (0, 0, 0, 0)))
-        before, waiting = list(engine.ring), [tuple(r) for r in self.waiting.get()]
-        kept = list(waiting)
+        if not self.bucket_ms:
+            yield from self._work(key, (b.sort_values("seq", kind="stable") for b in rows))
+            return
+        _, _, _, _, parts = self.counters.get() or (0,) * 5
         for batch in rows:
-            batch = batch.sort_values("seq", kind="stable")
+            until = -(-(_milliseconds(batch["ts"]) + 1) // self.bucket_ms) * self.bucket_ms
+            for bucket, part in batch.groupby(until):
+                self.early.updateValue((parts,), (int(bucket), _pack_events(part)))
+                parts += 1
+                self.handle.registerTimer(int(bucket))  # of equal timers there is one
+        self.counters.update((*(self.counters.get() or (0,) * 5)[:4], parts))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = [(k, v) for k, v in self.early.iterator() if v[0] <= now]
+        if not due:
+            return
+        events = pd.concat([_unpack_events(v[1]) for _, v in due]).sort_values(["ts", "seq"], kind="stable")
+        for k, _ in due:
+            self.early.removeKey(k)
+        yield from self._work(key, [events])
+
+    def _work(self, key, batches):
+        session = int(key[0])
+        *state, parts = self.counters.get() or (0,) * 5
+        before = [tuple(r) for r in self.ring.get()]
+        engine = Engine(self.capacity, before, *state)
+        for batch in batches:
             # runs of one kind, and within prefill of one batch
             run = ((batch["kind"] != batch["kind"].shift()) | (batch["batch_id"] != batch["batch_id"].shift())).cumsum()
             for _, part in batch.groupby(run, sort=True):
@@ -130,41 +163,86 @@ class CaptureProcessor(StatefulProcessor):
                 if kind == "decode":
                     engine.decode(_tokens(part))
                 elif kind == "prefill":
-                    number, size = int(part["batch_id"].iloc[0]), int(part["batch_size"].iloc[0])
-                    waiting += [(number, size, *t) for t in _tokens(part)]
-                    mine = [w[2:] for w in waiting if w[0] == number]
-                    if len(mine) >= size:
-                        waiting = [w for w in waiting if w[0] != number]
-                        engine.prefill(sorted(mine, key=lambda t: t[0]))
-                else:
-                    for _ in range(len(part)):
-                        engine.drain() if kind == "flush" else engine.reset()
+                    parts = self._prefill(engine, int(part["batch_id"].iloc[0]), int(part["batch_size"].iloc[0]), _tokens(part), parts)
+                elif kind == "flush":
+                    engine.drain()
+                elif kind == "reset":
+                    engine.epoch += len(part) - 1
+                    engine.reset()
+                    yield _frame([(session, "reset", engine.epoch, *[None] * 7)])
                 yield from _drained(session, engine)
-        if engine.ring != before:
+        after = engine.ring
+        if after[: len(before)] != before:
             self.ring.clear()
-            if engine.ring:
-                self.ring.put(engine.ring)
-        if waiting != kept:
-            self.waiting.clear()
-            if waiting:
-                self.waiting.put(waiting)
-        self.counters.update((engine.total, engine.compressed, engine.chunks, engine.epoch))
-        yield _frame([(session, "count", engine.epoch, None, None, None, None, engine.total, engine.compressed, len(engine.ring))])
+            before = []
+        if len(after) > len(before):
+            self.ring.appendList(after[len(before) :]) if before else self.ring.put(after)
+        self.counters.update((engine.total, engine.compressed, engine.chunks, engine.epoch, parts))
+        yield _frame([(session, "count", engine.epoch, None, None, None, None, engine.total, engine.compressed, len(after))])
+
+    def _prefill(self, engine: Engine, number: int, size: int, tokens: list, parts: int) -> int:
+        """Hands a prefill batch to the engine when its last row has come; until then its parts wait."""
+        there, named = self.open.getValue((number,)) or (0, "")
+        if there + len(tokens) < size:
+            self.waiting.updateValue((parts,), (_pack_tokens(tokens),))
+            self.open.updateValue((number,), (there + len(tokens), f"{named} {parts}"))
+            return parts + 1
+        for p in map(int, named.split()):
+            tokens = _unpack_tokens(self.waiting.getValue((p,))[0]) + tokens
+            self.waiting.removeKey((p,))
+        if there:
+            self.open.removeKey((number,))
+        engine.prefill(sorted(tokens, key=lambda t: t[0]))
+        return parts
 
     def close(self) -> None:
         pass
 
 
+def _milliseconds(times):
+    return times.astype("datetime64[ms]").astype("int64")
+
+
+def _bytes_of(vectors) -> list:
+    """Vectors as little-endian single-precision bytes."""
+    import numpy as np
+
+    return [None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors]
+
+
 def _tokens(part) -> list:
-    def vectors(column):
-        return [None if v is None else [float(x) for x in v] for v in part[column]]
+    return list(zip(part["seq"].astype("int64").tolist(), _bytes_of(part["key"]), _bytes_of(part["value"])))
+
+
+def _pack_tokens(tokens: list) -> bytes:
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return to_bytes(pa.table({n: pa.array(c, t) for n, c, t in zip(("seq", "key", "value"), zip(*tokens), kinds)}))
+
+
+def _unpack_tokens(data: bytes) -> list:
+    return list(zip(*(c.to_pylist() for c in from_bytes(data).columns)))
 
-    return list(zip(part["seq"].astype(int).tolist(), vectors("key"), vectors("value")))
+
+def _pack_events(part) -> bytes:
+    import pyarrow as pa
+
+    columns = {c: part[c].tolist() for c in ("kind",)} | {c: part[c].astype("int64").tolist() for c in ("seq", "batch_id", "batch_size")}
+    vectors = {c: pa.array([None if v is None else v for v in part[c]], pa.list_(pa.float32())) for c in ("key", "value")}
+    return to_bytes(pa.table({"ts": part["ts"].astype("int64").tolist(), **columns, **vectors}))
+
+
+def _unpack_events(data: bytes):
+    return from_bytes(data).to_pandas()
 
 
 def _drained(session: int, engine: Engine):
+    import numpy as np
+
     if engine.drained:
-        yield _frame([(session, "token", engine.epoch, chunk, seq, key, value, None, None, None) for chunk, (seq, key, value) in engine.drained])
+        vector = lambda b: None if b is None else np.frombuffer(b, "<f4")
+        yield _frame([(session, "token", engine.epoch, chunk, seq, vector(key), vector(value), None, None, None) for chunk, (seq, key, value) in engine.drained])
         engine.drained = []
 
 
@@ -175,13 +253,41 @@ def _frame(rows: list):
     return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("epoch", "chunk_id", "seq", "total", "compressed", "buffered")})
 
 
-def capture_stream(events: DataFrame, capacity: int) -> DataFrame:
-    """Streaming DataFrame of OUTPUT rows from a stream of EVENTS. Needs the RocksDB state store provider."""
+def capture_stream(events: DataFrame, capacity: int, bucket_ms: int = 0) -> DataFrame:
+    """Streaming DataFrame of OUTPUT rows from a stream of EVENTS. Needs the RocksDB state store provider.
+
+    With bucket_ms, events also have a time `ts` with a watermark and are worked off by (ts, seq), whatever order they arrive in:
+    they wait in the state until the watermark has passed their time, in steps of bucket_ms. What is later than the watermark
+    is dropped, as Spark does with late rows.
+    """
     return events.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=CaptureProcessor(capacity), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=CaptureProcessor(capacity, bucket_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if bucket_ms else "None"
     )
 
 
+def recent(spark: SparkSession, checkpoint: str, spec: KvSpec) -> DataFrame:
+    """(session, token_idx, kv_head, key, value): the tokens that are in the buffers now, read from the state of a stream's
+    checkpoint."""
+    ring = spark.read.format("statestore").option("stateVarName", "ring").load(checkpoint)
+    d = spec.head_dim
+
+    @F.arrow_udf("array<float>")
+    def vector(column):
+        import numpy as np
+        import pyarrow as pa
+
+        ok = column.is_valid()
+        x = np.frombuffer(b"".join(column.filter(ok).to_pylist()), "<f4")
+        size = len(x) // max(1, len(column) - column.null_count)
+        full = pa.ListArray.from_arrays(pa.array(np.arange(len(x) // max(1, size) + 1, dtype=np.int32) * size), pa.array(x))
+        at = np.where(ok, np.cumsum(ok) - 1, 0)
+        return full.take(pa.array(at, mask=~np.asarray(ok))) if len(full) else pa.nulls(len(column), pa.list_(pa.float32()))
+
+    heads = ring.select("key.session", F.col("list_element.seq").alias("token_idx"), *[vector(F.col(f"list_element.{c}")).alias(c) for c in ("key", "value")])
+    heads = heads.withColumn("kv_head", F.explode(F.sequence(F.lit(0), F.lit(spec.num_kv_heads - 1))))
+    return heads.select("session", "token_idx", "kv_head", *[F.slice(c, F.col("kv_head") * d + 1, d).alias(c) for c in ("key", "value")])
+
+
 def by_head(drained: DataFrame, spec: KvSpec) -> DataFrame:
     """(session, epoch, chunk_id, token_idx, kv_head, key, value) of "token" rows: a row for each head."""
     d = spec.head_dim
@@ -193,18 +299,19 @@ def by_head(drained: DataFrame, spec: KvSpec) -> DataFrame:
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def run_available(events: DataFrame, history: History, counts_to: str, checkpoint: str) -> DataFrame:
+def run_available(events: DataFrame, history: History, counts_to: str, checkpoint: str, bucket_ms: int = 0) -> DataFrame:
     """Runs the engine over a stream of EVENTS until what is there now is worked off.
 
     Drained tokens are quantized and appended to history, a micro-batch at a time and again under the same number when a
-    micro-batch is repeated; each session's totals go to counts_to. Returns the last totals of each session (session,
-    epoch, total, compressed, buffered).
+    micro-batch is repeated; resets are noted there; each session's totals go to counts_to. Returns the last totals of each
+    session (session, epoch, total, compressed, buffered).
     """
     spark, spec = events.sparkSession, history.spec
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         history.append(by_head(batch, spec), f"stream-{number}")
+        history.append_resets(batch.where("out = 'reset'").select("session", "epoch"), f"stream-{number}")
         counts = batch.where("out = 'count'").select("session", F.lit(number).alias("micro_batch"), "epoch", "total", "compressed", "buffered")
         counts.write.mode("overwrite").parquet(f"{counts_to.rstrip('/')}/batch={number}")
         batch.unpersist()
@@ -212,7 +319,7 @@ def run_available(events: DataFrame, history: History, counts_to: str, checkpoin
     before = spark.conf.get(STATE_STORE[0], None)
     spark.conf.set(*STATE_STORE)
     try:
-        stream = capture_stream(events, spec.ring_capacity).writeStream.foreachBatch(each)
+        stream = capture_stream(events, spec.ring_capacity, bucket_ms).writeStream.foreachBatch(each)
         stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])

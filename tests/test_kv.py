@@ -106,6 +106,7 @@ def test_history_appends_resets_and_ignores_what_failed(spark, tmp_path):
     back = {(r["token_idx"], r["kv_head"]): r["value"] for r in kv.decompress(history.read(), spec).collect()}
     assert all(np.abs(np.array(back[r[3], r[4]]) - r[6]).max() < 1.5 for r in rows)
     history.append(tokens.where("token_idx = 0").withColumn("epoch", F.lit(1).cast("long")))
+    history.append_resets(spark.createDataFrame([(1, 1)], "session long, epoch long"))
     assert history.flat().count() == 2  # an earlier epoch is gone
     history.reset()
     assert history.read().count() == 0
