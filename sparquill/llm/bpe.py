@@ -10,7 +10,8 @@ to end, and three steps over that one buffer encode them:
   ever stood at the seam, and whether a merge of the two came before the piece was used up. A row of tokens is the result of
   byte-pair merging if and only if all neighbours are compatible, as the first merge across a seam would happen in the pair
   alone too;
-* merge: words with a seam that fails are merged exactly, by rank and then place.
+* merge: words with a seam that fails are merged exactly, by rank and then place: short ones all together, a merge of each a
+  round, long ones with a heap.
 
 Tables are made on the driver from the vocabulary file and broadcast: their size is that of the vocabulary. A worker keeps the
 ids of up to MAX_WORDS words.
@@ -39,6 +40,8 @@ MAX_WORDS = 400_000
 #: Words of a long text that are looked up at once, and characters of short texts.
 BLOCK = 100_000
 CHARACTERS = 1_000_000
+#: Bytes up to which failing words are merged together, and how many of them.
+SHORT, TOGETHER = 48, 4000
 NEVER = 1 << 40
 
 
@@ -90,19 +93,29 @@ def vocabulary(path: str) -> types.SimpleNamespace:
 
 
 def _trie(spelled: dict[bytes, int]):
-    """(edges, children, accepts): edge node * 256 + byte, sorted, leads to a child; accepts has a node's token or -1."""
+    """(edges, children, accepts): edge node * 256 + byte leads to a child; accepts has a node's token or -1. Nodes with children
+    have the first numbers."""
     import numpy as np
 
-    nodes: dict[bytes, int] = {b"": 0}
-    for t in sorted(spelled, key=len):
-        for k in range(1, len(t) + 1):
-            nodes.setdefault(t[:k], len(nodes))
+    prefixes = {t[:k] for t in spelled for k in range(len(t) + 1)}
+    inner = {p[:-1] for p in prefixes if p}
+    nodes = {p: i for i, p in enumerate(sorted(prefixes, key=lambda p: (p not in inner, len(p), p)))}
     edges = np.fromiter((nodes[p[:-1]] * 256 + p[-1] for p in nodes if p), np.int64, len(nodes) - 1)
-    order = np.argsort(edges)
+    children = np.fromiter((i for p, i in nodes.items() if p), np.int64, len(nodes) - 1)
     accepts = np.full(len(nodes), -1, np.int64)
     for t, i in spelled.items():
         accepts[nodes[t]] = i
-    return edges[order], np.arange(1, len(nodes))[order], accepts
+    return edges, children, accepts
+
+
+def _steps(v):
+    """Table of the trie's steps, by node * 256 + byte: the child, or -1. Made once on a worker."""
+    import numpy as np
+
+    if not hasattr(v, "steps"):
+        v.steps = np.full((int(v.edges.max()) // 256 + 1) * 256, -1, np.int32)
+        v.steps[v.edges] = v.children
+    return v.steps
 
 
 def _find(sorted_keys, wanted):
@@ -158,14 +171,17 @@ def propose(v, data, starts):
     n = len(data)
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     length, token = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    steps = _steps(v)
     live, node, depth = np.arange(n), np.zeros(n, np.int64), 0
     while len(live):
-        at, there = _find(v.edges, node * 256 + data[live + depth])
-        live, node = live[there], v.children[at[there]]
+        to = steps[node * 256 + data[live + depth]]
+        there = to >= 0
+        live, node = live[there], to[there].astype(np.int64)
         depth += 1
-        takes = v.accepts[node] >= 0
-        length[live[takes]], token[live[takes]] = depth, v.accepts[node[takes]]
-        inside = live + depth < ends[live]
+        accepted = v.accepts[node]
+        takes = accepted >= 0
+        length[live[takes]], token[live[takes]] = depth, accepted[takes]
+        inside = (live + depth < ends[live]) & (node * 256 < len(steps))
         live, node = live[inside], node[inside]
     if (length == 0).any():
         raise ValueError("the vocabulary lacks a byte")
@@ -205,6 +221,49 @@ def merge(v, pieces: list[int], ranked: dict) -> list[int]:
     return [p for p in pieces if p >= 0]
 
 
+def merge_together(v, words: list[bytes]) -> list[bytes]:
+    """Exact merging of many words of up to SHORT bytes: a round makes the first merge of every word that still has one."""
+    import numpy as np
+
+    none = np.int32(1 << 30)  # the rank of what does not merge
+    sizes = np.array([len(w) for w in words])
+    width = int(sizes.max())
+    places = np.arange(width)
+    pieces = np.full((len(words), width + 1), -1, np.int32)  # a column more, so that the last pair has a right end
+    pieces[:, :width][places < sizes[:, None]] = v.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+
+    def rank(x, y):
+        at, there = _find(v.keys, x.astype(np.int64) * v.n + y)
+        return np.where(there & (x >= 0) & (y >= 0), v.ranks[at], none)
+
+    ranks = rank(pieces[:, :-1].ravel(), pieces[:, 1:].ravel()).astype(np.int32).reshape(len(words), width)  # of each piece with the next
+    of_rank = np.empty(len(v.keys), np.int32)
+    of_rank[v.ranks] = v.news
+    live = np.arange(len(words))
+    while True:
+        at = ranks[live].argmin(1) if len(live) < len(words) else ranks.argmin(1)  # the first of equal ranks
+        least = ranks[live, at]
+        go_on = least < none
+        live, at, least = live[go_on], at[go_on], least[go_on]
+        if not len(live):
+            break
+        pieces[live, at] = of_rank[least]
+        move = np.minimum(places + (places > at[:, None]), width - 1)  # what is behind the merged pair moves up
+        pieces[live[:, None], places] = pieces[live[:, None], places + (places > at[:, None])]
+        pieces[live, -1] = -1
+        moved = ranks[live[:, None], move]
+        moved[:, -1] = none
+        ranks[live] = moved
+        ranks[live, at] = rank(pieces[live, at], pieces[live, at + 1])
+        some = at > 0
+        rows, before = live[some], at[some] - 1
+        ranks[rows, before] = rank(pieces[rows, before], pieces[rows, before + 1])
+    filled = pieces >= 0
+    ends = 4 * np.cumsum(filled.sum(1))
+    packed = pieces[filled].astype("<u4").tobytes()
+    return [packed[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 def encode_words(v, words: list[bytes]):
     """(ids of each word as little-endian unsigned 32-bit integers, how many words were merged exactly)."""
     import numpy as np
@@ -226,7 +285,13 @@ def encode_words(v, words: list[bytes]):
     if failing.any():
         if not hasattr(v, "ranked"):
             v.ranked = dict(zip(v.keys.tolist(), zip(v.ranks.tolist(), v.news.tolist())))
-        for i in np.nonzero(failing)[0].tolist():
+        together = np.nonzero(failing & (sizes <= SHORT))[0].tolist()
+        together.sort(key=lambda i: len(words[i]))  # words of one length fill their rows
+        for at in range(0, len(together), TOGETHER):
+            some = together[at : at + TOGETHER]
+            for i, ids in zip(some, merge_together(v, [words[i] for i in some])):
+                out[i] = ids
+        for i in np.nonzero(failing & (sizes > SHORT))[0].tolist():
             at = int(starts[i])
             pieces = v.byte_ids[data[at : at + len(words[i])]].tolist()
             out[i] = np.array(merge(v, pieces, v.ranked), "<u4").tobytes()
