@@ -10,6 +10,7 @@ it names, while a module would be looked up on the worker.
 
 from __future__ import annotations
 
+import math
 import types
 from collections.abc import Callable
 
@@ -18,10 +19,16 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..specs import MseSpec, ProdSpec, ValueSpec, packed_bytes
+from .codebook import MAX_DIM, lloyd_max
 from .kernels import (
     mse_dequantize, mse_levels, mse_quantize, prod_dequantize, prod_quantize, prod_query, sign_values, value_dequantize, value_quantize,
 )
 
+from .linalg import SEED_SPAN, rotation, sketch
+
+# the functions below their caches: a cache does not travel to a worker
+make_book, make_rotation, make_sketch = lloyd_max.__wrapped__, rotation.__wrapped__, sketch.__wrapped__
+
 MSE_TYPE = "struct<indices:binary,norm:float>"
 PROD_TYPE = "struct<mse_indices:binary,qjl_signs:binary,residual_norm:float,norm:float>"
 VALUE_TYPE = "struct<data:binary,scales:array<float>,zeros:array<float>>"
@@ -109,47 +116,68 @@ def code_parts(code, spec) -> tuple:
     return _bytes(code.field("indices"), packed_bytes(spec.dim, spec.bits)), number("norm")
 
 
+def encoded(x, local, mode: str = "strict"):
+    """Arrow struct of the codes of a vector column; local: a spec's constants."""
+    import numpy as np
+    import pyarrow as pa
+
+    ok, m = vectors(x, local.dim, mode)
+    f32 = lambda a: pa.array(np.asarray(a, np.float32))
+    if hasattr(local, "group_size"):
+        data, scales, zeros = value_quantize(m, local)
+        parts = {"data": _binary(data), "scales": lists(scales), "zeros": lists(zeros)}
+    elif hasattr(local, "mse"):
+        data, signs, rest, norms = prod_quantize(m, local)
+        parts = {"mse_indices": _binary(data), "qjl_signs": _binary(signs), "residual_norm": f32(rest), "norm": f32(norms)}
+    else:
+        data, norms = mse_quantize(m, local)
+        parts = {"indices": _binary(data), "norm": f32(norms)}
+    return _spread(ok, pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+
+
+def decoded(code, local):
+    """Arrow lists of the vectors of a code column."""
+    import numpy as np
+
+    ok = np.asarray(code.is_valid())
+    decode_parts = value_dequantize if hasattr(local, "group_size") else prod_dequantize if hasattr(local, "mse") else mse_dequantize
+    return _spread(ok, lists(decode_parts(*code_parts(code if ok.all() else code.filter(code.is_valid()), local), local)))
+
+
+def scored(q, code, local):
+    """Arrow doubles: the estimate of the inner product of each query vector with its code."""
+    import numpy as np
+    import pyarrow as pa
+
+    ok, _ = vectors(q, local.dim)
+    ok &= np.asarray(code.is_valid())
+    turned, sketched = prod_query(vectors(q.filter(pa.array(ok)), local.dim)[1], local)
+    data, signs, rest, norms = code_parts(code.filter(pa.array(ok)), local)
+    coarse = (turned * mse_levels(data, local.mse)).sum(1) * norms
+    fine = (sketched * sign_values(signs, local.dim)).sum(1) * rest * local.scale
+    return _spread(ok, pa.array(coarse + fine))
+
+
 def encoder(spec: MseSpec | ProdSpec | ValueSpec, mode: str = "strict") -> Callable:
     """Column function: vector -> code struct of the spec's codec."""
     if mode not in ("strict", "permissive"):
         raise InvalidArgument(mode)
-    kind = type(spec).__name__
     held = constants(spec)
 
     @F.arrow_udf(TYPES[type(spec)])
     def encode(x):
-        import numpy as np
-        import pyarrow as pa
-
-        local = held()
-        ok, m = vectors(x, local.dim, mode)
-        f32 = lambda a: pa.array(np.asarray(a, np.float32))
-        if kind == "MseSpec":
-            data, norms = mse_quantize(m, local)
-            parts = {"indices": _binary(data), "norm": f32(norms)}
-        elif kind == "ProdSpec":
-            data, signs, rest, norms = prod_quantize(m, local)
-            parts = {"mse_indices": _binary(data), "qjl_signs": _binary(signs), "residual_norm": f32(rest), "norm": f32(norms)}
-        else:
-            data, scales, zeros = value_quantize(m, local)
-            parts = {"data": _binary(data), "scales": lists(scales), "zeros": lists(zeros)}
-        return _spread(ok, pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+        return encoded(x, held(), mode)
 
     return encode
 
 
 def decoder(spec: MseSpec | ProdSpec | ValueSpec) -> Callable:
     """Column function: code struct -> vector. A code of the wrong width is an error, a null code a null vector."""
-    decode_parts = {MseSpec: mse_dequantize, ProdSpec: prod_dequantize, ValueSpec: value_dequantize}[type(spec)]
     held = constants(spec)
 
     @F.arrow_udf("array<float>")
     def decode(code):
-        import numpy as np
-
-        local = held()
-        ok = np.asarray(code.is_valid())
-        return _spread(ok, lists(decode_parts(*code_parts(code if ok.all() else code.filter(code.is_valid()), local), local)))
+        return decoded(code, held())
 
     return decode
 
@@ -160,17 +188,7 @@ def scorer(spec: ProdSpec) -> Callable:
 
     @F.arrow_udf("double")
     def score(q, code):
-        import numpy as np
-        import pyarrow as pa
-
-        local = held()
-        ok, _ = vectors(q, local.dim)
-        ok &= np.asarray(code.is_valid())
-        turned, sketched = prod_query(vectors(q.filter(pa.array(ok)), local.dim)[1], local)
-        data, signs, rest, norms = code_parts(code.filter(pa.array(ok)), local)
-        coarse = (turned * mse_levels(data, local.mse)).sum(1) * norms
-        fine = (sketched * sign_values(signs, local.dim)).sum(1) * rest * local.scale
-        return _spread(ok, pa.array(coarse + fine))
+        return scored(q, code, held())
 
     return score
 
@@ -204,3 +222,86 @@ def register(spark: SparkSession, mse: MseSpec, prod: ProdSpec, value: ValueSpec
     for name, f in named.items():
         spark.udf.register(name, f)
     return list(named)
+
+
+#: Constants that a worker keeps for functions with attributes.
+KEPT_SPECS = 64
+
+
+def _made_here(codec: str, dim: int, bits: int, third: int):
+    """A spec's constants, made on the worker from its attributes and kept there for as long as it lives. third: seed, or the size of
+    a group of a value codec."""
+    import sys
+
+    store = sys.modules.setdefault("_sparquill_constants", types.ModuleType("_sparquill_constants")).__dict__
+    key = ("spec", codec, dim, bits, third)
+    if key not in store:
+        if codec == "value":
+            if bits not in (2, 4, 8) or dim < 1 or third < 1 or dim % third:
+                raise ValueError(f"no value codec of {dim} elements, {bits} bits and groups of {third}")
+            made = types.SimpleNamespace(dim=dim, bits=bits, group_size=third, levels=(1 << bits) - 1)
+        else:
+            low = 2 if codec == "prod" else 1
+            if not 3 <= dim <= MAX_DIM or not low <= bits <= 4 or not 0 <= third < SEED_SPAN:
+                raise ValueError(f"no {codec} codec of {dim} elements, {bits} bits and seed {third}")
+            book = make_book(dim, bits - (codec == "prod"))
+            book = types.SimpleNamespace(centroids=book.centroids, boundaries=book.boundaries)
+            made = types.SimpleNamespace(dim=dim, bits=bits - (codec == "prod"), pi=make_rotation(dim, third), codebook=book)
+            if codec == "prod":
+                made = types.SimpleNamespace(dim=dim, bits=bits, mse=made, s=make_sketch(dim, third), scale=math.sqrt(math.pi / 2) / dim)
+        if len(store) > KEPT_SPECS:
+            for old in [k for k in store if isinstance(k, tuple)]:
+                del store[old]
+        store[key] = made
+    return store[key]
+
+
+def _by_attributes(codec: str, f: Callable, columns: list, attributes: list):
+    """f(columns, constants) for the rows of each set of attributes in a batch, of which there is mostly one."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = np.stack([np.asarray(a.fill_null(-1), np.int64) for a in attributes], 1)
+    sets, which = np.unique(known, axis=0, return_inverse=True)
+    if len(sets) == 1:
+        return f(*columns, _made_here(codec, *map(int, sets[0])))
+    parts, places = [], []
+    for i, one in enumerate(sets):
+        at = np.nonzero(which.ravel() == i)[0]
+        parts.append(f(*[c.take(pa.array(at)) for c in columns], _made_here(codec, *map(int, one))))
+        places.append(at)
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(places))))
+
+
+def register_with_attributes(spark: SparkSession) -> list[str]:
+    """Registers the seven functions with their attributes as arguments, so that one statement may use any number of specs:
+    mse_quantize_with(x, dim, bits, seed), mse_dequantize_with(code, dim, bits, seed), the same for prod,
+    attention_score_with(q, code, dim, bits, seed), value_quantize_with(v, dim, bits, group_size) and value_dequantize_with.
+
+    Constants are made on the workers. They are rounded to single precision, which hides that machines differ in the last bits
+    of a factorization; the functions of `register` take the driver's.
+    """
+    named = {}
+    for codec, kind in (("mse", MSE_TYPE), ("prod", PROD_TYPE), ("value", VALUE_TYPE)):
+
+        def encode(x, dim, bits, third, codec=codec):
+            return _by_attributes(codec, encoded, [x], [dim, bits, third])
+
+        def decode(code, dim, bits, third, codec=codec):
+            return _by_attributes(codec, decoded, [code], [dim, bits, third])
+
+        named[f"{codec}_quantize_with"] = F.arrow_udf(_four(encode), kind)
+        named[f"{codec}_dequantize_with"] = F.arrow_udf(_four(decode), "array<float>")
+
+    def score(q, code, dim, bits, seed):
+        return _by_attributes("prod", scored, [q, code], [dim, bits, seed])
+
+    named["attention_score_with"] = F.arrow_udf(score, "double")
+    for name, f in named.items():
+        spark.udf.register(name, f)
+    return list(named)
+
+
+def _four(f: Callable) -> Callable:
+    """f as a function of four arguments, without its default."""
+    return lambda a, b, c, d: f(a, b, c, d)

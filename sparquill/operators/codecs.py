@@ -54,12 +54,5 @@ def squared_error(df: DataFrame, vector: str, decoded: str, to: str = "sq_error"
     return d.withColumn(to, x.dot(F.col("_d"), F.col("_d"))).drop("_d")
 
 
-def storage(dim: int, group_size: int) -> list[tuple[str, int, int, float]]:
-    """(codec, bits, bytes per vector, ratio to float32) of every codec."""
-    specs = [*(MseSpec(dim, b) for b in (1, 2, 3, 4)), *(ProdSpec(dim, b) for b in (2, 3, 4)), *(ValueSpec(dim, b, group_size) for b in (2, 4, 8))]
-    names = {MseSpec: "mse", ProdSpec: "prod", ValueSpec: "value"}
-    return [(names[type(s)], s.bits, s.bytes_per_vector, round(4 * dim / s.bytes_per_vector, 6)) for s in specs]
-
-
 def width(spec) -> int:
     return packed_bytes(spec.dim, spec.bits)

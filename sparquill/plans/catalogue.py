@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as x
@@ -41,10 +41,22 @@ def _with(*parts: str) -> str:
 # --- codebooks and rotations -------------------------------------------------------------------------------------------
 
 
+def _book_vectors(spark, d, dim: int) -> DataFrame:
+    """The embeddings as vectors of that dimension: laid end to end with themselves."""
+    return embeddings(spark, d).select(F.flatten(F.array(*["x"] * (dim // DIM))).alias("x"))
+
+
 def codebook_rows(spark, d):
-    """Levels, the share of the density in their cells, and the codebook's error."""
+    """Levels, the codebook's error, and how many coordinates of the rotated embeddings lie in each level's cell."""
     books = to_table(spark, [lloyd_max(*b) for b in BOOKS])
-    return books.select("dim", "bits", "mse_total", F.posexplode("centroids").alias("pos", "c")).select("dim", "bits", "pos", F.round("c", 4).alias("centroid"), F.round("mse_total", 4).alias("mse_total"))
+    rows = books.select("dim", "bits", "mse_total", F.posexplode("centroids").alias("pos", "c"))
+    met = None
+    for dim, bits in BOOKS:
+        cells = codecs.encode(_book_vectors(spark, d, dim), "x", MseSpec(dim, bits, SEED), "jvm").select(F.explode("idx").alias("pos"))
+        part = cells.groupBy("pos").agg(F.count("*").alias("n")).select(F.lit(dim).alias("dim"), F.lit(bits).alias("bits"), F.col("pos").cast("int").alias("pos"), "n")
+        met = part if met is None else met.unionByName(part)
+    rows = rows.join(met, ["dim", "bits", "pos"], "left")
+    return rows.select("dim", "bits", "pos", F.round("c", 4).alias("centroid"), F.round("mse_total", 4).alias("mse_total"), F.coalesce("n", F.lit(0)).alias("n_coordinates"))
 
 
 def _codebook_rows_sql() -> str:
@@ -54,7 +66,14 @@ def _codebook_rows_sql() -> str:
     values = ", ".join(f"({d}, {b}, {p}, {c!r}::double)" for d, b in BOOKS for p, c in enumerate(lloyd_max(d, b).centroids))
     half = 200
     f = "exp(lgamma(dim / 2.0) - lgamma((dim - 1) / 2.0) - 0.5 * ln(pi())) * pow(greatest(1 - x * x, 0), (dim - 3) / 2.0)"
-    return f"""with c as (select * from (values {values}) as t(dim, bits, pos, c)),
+    cells = []
+    for d, b in BOOKS:
+        whole = ", ".join(["embedding"] * (d // DIM))
+        cells += [f"em{d}_{b} as (select flatten([{whole}]) as x from embeddings)", o.mse_state(MseSpec(d, b, SEED), f"st{d}_{b}"), o.mse_quantize(f"em{d}_{b}", f"mq{d}_{b}", f"st{d}_{b}")]
+    counts = " union all ".join(f"select {d} as dim, {b} as bits, unnest(idx)::int as pos from mq{d}_{b}" for d, b in BOOKS)
+    cells = ",\n".join([*cells, f"met as (select dim, bits, pos, count(*) as n from ({counts}) group by all)"])
+    return f"""with {cells},
+c as (select * from (values {values}) as t(dim, bits, pos, c)),
 e as (select *, coalesce((lag(c) over w + c) / 2, -1) as lo, coalesce((lead(c) over w + c) / 2, 1) as hi from c window w as (partition by dim, bits order by pos)),
 g as (select e.*, i, greatest(lo, -0.9999999) + (least(hi, 0.9999999) - greatest(lo, -0.9999999)) * i / {2 * half} as x from e, (select unnest(range(0, {2 * half + 1})) as i)),
 s as (select dim, bits, pos, any_value(c) as c, any_value(hi - lo) as width,
@@ -63,7 +82,8 @@ s as (select dim, bits, pos, any_value(c) as c, any_value(hi - lo) as width,
         sum(case when i in (0, {2 * half}) then 1 when i % 2 = 1 then 4 else 2 end * (x - c) * (x - c) * {f}) / {6 * half} as m2
       from g group by dim, bits, pos),
 t as (select dim, bits, dim * sum(m2 * width) as mse_total from s group by dim, bits)
-select dim::int as dim, bits::int as bits, pos::int as pos, round(m1 / m0, 4) as centroid, round(mse_total, 4) as mse_total from s join t using (dim, bits)"""
+select dim::int as dim, bits::int as bits, pos::int as pos, round(m1 / m0, 4) as centroid, round(mse_total, 4) as mse_total,
+coalesce(met.n, 0) as n_coordinates from s join t using (dim, bits) left join met using (dim, bits, pos)"""
 
 
 def rotation_norm_preserved(spark, d):
@@ -179,13 +199,30 @@ def _value_error(bits):
     return query, sql + f"select vec_id, round({worst}, 6) as max_error, {worst} <= 0.5001 * list_max(scales) + 1e-6 as within_bound from r"
 
 
+#: Every codec, with the bytes that its code takes of a vector, worked out by hand.
+_CODECS = {
+    ("mse", 1): 12, ("mse", 2): 20, ("mse", 3): 36, ("mse", 4): 36, ("prod", 2): 24, ("prod", 3): 32, ("prod", 4): 48, ("value", 2): 32, ("value", 4): 48, ("value", 8): 80,
+}
+
+
 def storage_bytes(spark, d):
-    return spark.createDataFrame(codecs.storage(DIM, GROUP), "codec string, bits int, bytes int, ratio double")
+    """The bytes that the codes of all embeddings take, by codec, and what share they are of the vectors' own."""
+    out = None
+    for codec, bits in _CODECS:
+        spec = {"mse": MseSpec, "prod": ProdSpec}[codec](DIM, bits, SEED) if codec != "value" else ValueSpec(DIM, bits, GROUP)
+        coded = codecs.encode(_vectors(spark, d), "x", spec)
+        parts = {"mse": ["indices"], "prod": ["mse_indices", "qjl_signs"], "value": ["data"]}[codec]
+        numbers = {"mse": F.lit(1), "prod": F.lit(2), "value": F.size("code.scales") + F.size("code.zeros")}[codec]
+        held = sum((F.octet_length(F.col("code")[p]) for p in parts), 4 * numbers)
+        part = coded.agg(F.count("*").alias("n_vectors"), F.sum(held).alias("bytes"), _r(F.sum(4 * F.size("x")) / F.sum(held)).alias("ratio"))
+        part = part.select(F.lit(codec).alias("codec"), F.lit(bits).alias("bits"), "n_vectors", "bytes", "ratio")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _storage_sql() -> str:
-    v = "(select codec, bits, case codec when 'mse' then 64 * sb / 8 + 4 when 'prod' then 64 * sb / 8 + 64 / 8 + 8 else 64 * sb / 8 + 8 * 2 end as bytes from (values ('mse', 1, 1), ('mse', 2, 2), ('mse', 3, 4), ('mse', 4, 4), ('prod', 2, 1), ('prod', 3, 2), ('prod', 4, 4), ('value', 2, 2), ('value', 4, 4), ('value', 8, 8)) as t(codec, bits, sb))"
-    return f"select codec, bits::int as bits, bytes::int as bytes, round(256.0::double / bytes, 6) as ratio from {v}"
+    rows = ", ".join(f"('{c}', {b}, {n})" for (c, b), n in _CODECS.items())
+    return f"select codec, bits, count(*) as n_vectors, (count(*) * size)::bigint as bytes, round({4 * DIM}.0::double / size, 6) as ratio from embeddings, (values {rows}) as t(codec, bits, size) group by codec, bits, size"
 
 
 # --- scores ------------------------------------------------------------------------------------------------------------
@@ -264,6 +301,87 @@ def _sql_functions_sql() -> str:
     )
 
 
+def sql_attributes(spark, d):
+    """Two dimensions and two seeds in one statement: each half of a vector, and the whole, by functions with attributes."""
+    from ..functions import udfs
+
+    udfs.register_with_attributes(spark)
+    _vectors(spark, d).createOrReplaceTempView("sparquill_vectors")
+    half = DIM // 2
+    coded = spark.sql(
+        f"select vec_id, x, slice(x, 1, {half}) as h, mse_dequantize_with(mse_quantize_with(slice(x, 1, {half}), {half}, 2, 7), {half}, 2, 7) as a, "
+        f"mse_dequantize_with(mse_quantize_with(x, {DIM}, 3, {SEED}), {DIM}, 3, {SEED}) as b, "
+        f"attention_score_with(x, prod_quantize_with(x, {DIM}, 3, if(vec_id % 2 = 0, {SEED}, 9)), {DIM}, 3, if(vec_id % 2 = 0, {SEED}, 9)) as s, "
+        f"value_dequantize_with(value_quantize_with(x, {DIM}, 4, {GROUP}), {DIM}, 4, {GROUP}) as v from sparquill_vectors"
+    )
+    for c, of in (("a", "h"), ("b", "x"), ("v", "x")):
+        coded = codecs.squared_error(coded, of, c, f"{c}_error")
+    return coded.select("vec_id", _r("a_error").alias("half_error"), _r("b_error").alias("whole_error"), _r("v_error").alias("value_error"), _r("s").alias("self_score"))
+
+
+def _sql_attributes_sql() -> str:
+    half, whole, value = MseSpec(DIM // 2, 2, 7), MseSpec(DIM, 3, SEED), ValueSpec(DIM, 4, GROUP)
+    scores = []
+    for name, seed in (("p", SEED), ("r", 9)):
+        spec = ProdSpec(DIM, 3, seed)
+        state = o.prod_state(spec).replace("st as", f"st{name} as", 1).replace("sk as", f"sk{name} as", 1)
+        quantize = o.prod_quantize("vectors", f"{name}q").replace(", st)", f", st{name})").replace(", sk)", f", sk{name})")
+        decode = o.prod_dequantize(f"{name}q", f"{name}d", spec).replace(", st)", f", st{name})").replace(", sk)", f", sk{name})")
+        scores += [state, quantize, decode]
+    return _with(
+        VECTORS, f"halves as (select vec_id, x[1:{DIM // 2}] as x from vectors)", o.mse_state(half, "sth"), o.mse_state(whole, "stw"),
+        o.mse_quantize("halves", "hq", "sth"), o.mse_dequantize("hq", "hd", "sth"), o.mse_quantize("vectors", "wq", "stw"), o.mse_dequantize("wq", "wd", "stw"),
+        o.value_quantize("vectors", "vq", value, "x"), o.value_dequantize("vq", "vd", value), *scores,
+    ) + (
+        f"select hd.vec_id, round({o.squared_error('hd.xd', 'hd.xhat')}, 6) as half_error, round({o.squared_error('wd.xd', 'wd.xhat')}, 6) as whole_error, "
+        f"round({o.squared_error('wd.xd', 'vd.vhat')}, 6) as value_error, "
+        "round(case when hd.vec_id % 2 = 0 then list_inner_product(pd.xd, pd.xhat) else list_inner_product(rd.xd, rd.xhat) end, 6) as self_score "
+        "from hd join wd on hd.vec_id = wd.vec_id join vd on hd.vec_id = vd.vec_id join pd on hd.vec_id = pd.vec_id join rd on hd.vec_id = rd.vec_id"
+    )
+
+
+def attn_sql_aggregate(spark, d):
+    """Every session's first event asks over the session's tokens, in SQL: partials of 32 tokens, then their merge."""
+    from ..functions.aggregates import register_aggregates
+
+    register_aggregates(spark)
+    _event_vectors(spark, d).createOrReplaceTempView("sparquill_tokens")
+    embeddings(spark, d).createOrReplaceTempView("sparquill_embeddings")
+    return spark.sql(
+        f"""with f as (select session, min(seq) % (select count(*) from sparquill_embeddings) as v from sparquill_tokens group by session),
+        q as (select session, x as q from f join sparquill_embeddings on vec_id = v),
+        p as (select t.session, attention_part(q, key, value, {DIM**-0.5!r}D) as part from sparquill_tokens t join q on t.session = q.session group by t.session, t.seq div 1000),
+        m as (select session, attention_merge(part) as out from p group by session)
+        select session, pos, round(value, 6) as value from m lateral view posexplode(out) e as pos, value"""
+    )
+
+
+def _attn_sql_aggregate_sql() -> str:
+    doubles = lambda c: f"list_transform({c}, lambda a: a::double)"
+    return f"""with ne as (select count(*) as ne from embeddings), f as (select user_id as session, min(event_id) as first from events group by user_id),
+lg as (select f.session, list_inner_product({doubles("q.embedding")}, {doubles("k.embedding")}) * {DIM**-0.5!r} as s, {doubles("v.embedding")} as v
+       from f, ne join embeddings q on q.vec_id = first % ne join events e on e.user_id = f.session join embeddings k on k.vec_id = event_id % ne join embeddings v on v.vec_id = (event_id + 7) % ne),
+w as (select *, exp(s - max(s) over (partition by session)) as w from lg)
+select session, p.pos, round(sum(w * v[p.pos + 1]) / sum(w), 6) as value from w, (select unnest(range(0, {DIM}))::int as pos) p group by all"""
+
+
+def generated_scores(spark, d):
+    """Queries from the embeddings against 20,000 generated keys for each: counts, and whether mean and spread of the scores are those
+    of Gaussian keys within five standard errors (and what coding adds)."""
+    from ..sources import generated
+
+    generated.register(spark)
+    rows = 20_000
+    keys = spark.read.format("gaussian_vectors").option("rows", rows).option("dim", DIM).option("seed", SEED).load()
+    coded = codecs.encode(keys.withColumnRenamed("vec_id", "k_id"), "x", _SCORE).select("k_id", "code")
+    asked = _asked(spark, d).withColumn("size", x.norm(x.doubles(F.col("q"))))
+    s = score.attention_score(asked.withColumn("v", F.col("q")), coded, _SCORE).groupBy("q_id").agg(
+        F.count("*").alias("n_keys"), F.countDistinct("k_id").alias("n_ids"), F.avg("score").alias("m"), F.stddev("score").alias("sd"), F.first("size").alias("size")
+    )
+    near = F.abs("m") < 5 * F.col("sd") / rows**0.5
+    return s.select("q_id", "n_keys", "n_ids", near.alias("mean_is_zero"), (F.abs(F.col("sd") / F.col("size") - 1) < 0.25).alias("spread_is_size"))
+
+
 def external_matrix(spark, d):
     """A rotation that the caller supplies, here one that swaps neighbours, and a codebook from a JSON folder."""
     import json
@@ -448,7 +566,8 @@ def _controls(spark, d):
     """Sessions begin with a prefill of session mod 40 tokens; odd ones end with a flush, every fifth with a reset."""
     tokens = _decoded(spark, d)
     places = kv.placed(tokens.select("session", "seq"), "session", ["seq"], F.floor(F.col("seq") / 1000))
-    size = F.least(F.col("session") % 40, F.count("*").over(Window.partitionBy("session")))
+    places = places.join(places.groupBy("session").agg(F.count("*").alias("n")), "session")
+    size = F.least(F.col("session") % 40, F.col("n"))
     places = places.select(F.col("session").alias("_s"), F.col("seq").alias("_q"), "token_idx", size.alias("_p"))
     rows = tokens.join(places, (F.col("session") == F.col("_s")) & (F.col("seq") == F.col("_q")))
     early = F.col("token_idx") < F.col("_p")
@@ -467,6 +586,48 @@ def stream_control_counts(spark, d):
     return counts
 
 
+def kv_event_chunks(spark, d):
+    """Prefills, decodes, flushes and resets in any order, worked off in batch by a prefix scan: the chunks they end up in."""
+    e = _event_kinds(spark, d)
+    found = kv.capture_events(e, CAPACITY, 64).withColumn("chunk_id", F.coalesce("chunk_id", F.lit(-1).cast("long")))  # -1: recent
+    return found.groupBy("session", "epoch", "chunk_id").agg(F.count("*").alias("n_tokens"), F.min("place").alias("first"), F.max("place").alias("last"))
+
+
+def _event_kinds(spark, d) -> DataFrame:
+    """(session, place, kind, batch_id, batch_size): a session's events are decodes, but for prefills of 20 and 40 at its places 10 and
+    60 (as far as there are events), a flush at 9, and a reset at 5 in every third session."""
+    e = kv.placed(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session"), "event_id"), "session", ["event_id"], F.floor(F.col("event_id") / 1000))
+    place = F.col("token_idx")
+    kind = F.when((place == 5) & (F.col("session") % 3 == 0), "reset").when(place == 9, "flush").when(place.between(10, 29) | place.between(60, 99), "prefill").otherwise("decode")
+    return e.select("session", place.alias("place"), kind.alias("kind"), F.when(place < 60, 1).otherwise(2).cast("long").alias("batch_id"), F.lit(0).cast("long").alias("batch_size"))
+
+
+def _event_chunks_sql() -> str:
+    """The engine, event by event, as a recursion over the places of all sessions at once."""
+    cap = CAPACITY
+    return f"""with recursive e as (select user_id as session, row_number() over (partition by user_id order by event_id) - 1 as place from events),
+k as (select session, place, case when place = 5 and session % 3 = 0 then 'reset' when place = 9 then 'flush' when place between 10 and 29 or place between 60 and 99 then 'prefill' else 'decode' end as kind,
+      case when place < 60 then 10 else 60 end as begins from e),
+sz as (select *, sum((kind = 'prefill')::int) over (partition by session, begins) as size from k),
+steps as (select session, row_number() over (partition by session order by place) as i, place, kind, case when kind = 'prefill' then size else 1 end::bigint as size
+          from sz where kind <> 'prefill' or place = begins),
+r as (select session, 0::bigint as i, 0::bigint as fill, 0::bigint as chunks, 0::bigint as epoch, -1::bigint as place, '' as kind, 0::bigint as size, 0::bigint as of_epoch from (select distinct session from e)
+      union all
+      select r.session, s.i,
+        case s.kind when 'decode' then case when fill = {cap} then 1 else fill + 1 end
+                    when 'prefill' then case when fill + s.size > {cap} then 0 else fill end + least(s.size, {cap}) else 0 end,
+        case s.kind when 'decode' then chunks + (fill = {cap})::int when 'prefill' then chunks + (fill > 0 and fill + s.size > {cap})::int + (s.size > {cap})::int
+                    when 'flush' then chunks + (fill > 0)::int else 0 end,
+        epoch + (s.kind = 'reset')::int, s.place, s.kind, s.size, epoch
+      from r join steps s on s.session = r.session and s.i = r.i + 1),
+fin as (select session, max_by(chunks, i) as now, max(epoch) as now_epoch from r group by session),
+tok as (select session, of_epoch as epoch, place, chunks as chunk from r where kind = 'decode'
+        union all
+        select session, of_epoch, place + j, case when j < size - {cap} then chunks - 1 else chunks end from (select *, unnest(range(0, size)) as j from r where kind = 'prefill'))
+select t.session, t.epoch, case when t.chunk = now and t.epoch = now_epoch then -1 else t.chunk end as chunk_id, count(*) as n_tokens, min(place) as first, max(place) as last
+from tok t join fin using (session) group by all"""
+
+
 def stream_control_history(spark, d):
     """What the history holds of each session after the controls: of a session that was reset, nothing."""
     _, history = _streamed(spark, d, _controls(spark, d))
@@ -678,6 +839,10 @@ def _catalogue() -> dict:
             _with(_SESSIONS_SQL, f"n as (select session, count(*) as n, greatest(least(session % 40, count(*)) - {CAPACITY}, 0) as lead from s group by session)", f"c as (select session, n, lead + {CAPACITY} * ((n - lead - 1) // {CAPACITY}) as c from n)")
             + "select session, (session % 5 = 0)::bigint as epoch, case when session % 5 = 0 then 0 else n end as total, case when session % 5 = 0 then 0 when session % 2 = 1 then n else c end as compressed, case when session % 5 = 0 or session % 2 = 1 then 0 else n - c end as buffered from c",
         ),
+        "sql_attributes": (sql_attributes, _sql_attributes_sql()),
+        "attn_sql_aggregate": (attn_sql_aggregate, _attn_sql_aggregate_sql()),
+        "generated_scores": (generated_scores, f"select vec_id as q_id, 20000::bigint as n_keys, 20000::bigint as n_ids, true as mean_is_zero, true as spread_is_size from embeddings where vec_id % {_ASK} = 0"),
+        "kv_event_chunks": (kv_event_chunks, _event_chunks_sql()),
         "stream_recent": (stream_recent, _stream_recent_sql()),
         "attn_sessions": (attn_sessions, _attn_sessions_sql()),
         "stream_control_history": (stream_control_history, _control_history_sql()),
