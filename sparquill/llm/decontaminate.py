@@ -10,6 +10,10 @@ apart than the radius, so a window's own items, those it was laid for, are candi
 missed, as similarity needs a shared shingle. Each candidate pair is verified once by the exact weighted Jaccard
 similarity of the shingle multisets; a shingle's weight falls with the number of items that have it.
 
+`ways` says which candidates are verified: "fingerprints" those within the radius, "anchors" a window's own items, "both". A
+similarity of 0.8 turns about a seventh of a fingerprint's bits whatever the length of the item, which no radius with selective
+blocks reaches, so fingerprints alone find exact and very near copies; `recall` counts what each way finds, by the item's length.
+
 Built-in expressions and joins only. The benchmark travels to every task only below a checked number of bytes.
 
 Defined cases: null and empty texts and items match nothing; a text shorter than an item is one window; repeated rows
@@ -78,8 +82,10 @@ def _blocks(df: DataFrame, radius: int) -> DataFrame:
 
 
 @tidy
-def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, radius: int = RADIUS, ways: str = "both") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, n_windows) of every contaminated document: its best window."""
+    if ways not in ("both", "fingerprints", "anchors"):
+        raise ValueError(f"no way {ways!r}")
     item_grams = stash(items(benchmark, n).groupBy("item_id", "n_words", "k", "gram").agg(F.count("*").alias("c"), F.collect_list("off").alias("offs")))
     n_items = item_grams.select("item_id").distinct().count()
     # whole-number weights keep the sums exact in any order: 16 for a shingle of every item, more for rarer ones
@@ -136,7 +142,7 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
         pairs.join(window_fp.select("wid", F.col("weight").alias("wa")), "wid")
         .join(small(of_item), F.expr("item_id <=> of")).select("wid", "item_id", "wa", "wb")
     )
-    candidates = stash(near.union(anchored).distinct())
+    candidates = stash({"fingerprints": near, "anchors": anchored, "both": near.union(anchored)}[ways].distinct())
     shared = (
         candidates.join(in_windows, "wid").alias("x")
         .join(small(of_items.select(F.col("item_id").alias("of"), F.col("gram").alias("g"), F.col("c").alias("ci"))), F.expr("item_id <=> of and gram = g"))
@@ -165,5 +171,62 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
+@tidy
+def recall(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(n_words, n_pairs, n_by_fingerprints): contaminated pairs by the number of the item's words, and how many of them the
+    fingerprints alone find."""
+    key = ["doc_id", "item_id"]
+    every, near = stash(find(docs, benchmark, **options).select(*key)), stash(find(docs, benchmark, ways="fingerprints", **options).select(*key))
+    sizes = benchmark.select("item_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).dropDuplicates(["item_id"])
+    e, f, z = every.alias("e"), near.withColumn("met", F.lit(1)).alias("f"), sizes.alias("z")
+    both = e.join(f, F.expr("e.doc_id <=> f.doc_id and e.item_id <=> f.item_id"), "left").join(z, F.expr("e.item_id <=> z.item_id"))
+    return both.groupBy("z.n_words").agg(F.count("*").alias("n_pairs"), F.count("met").alias("n_by_fingerprints"))
+
+
+def decontamination_recall(spark, sf_dir: str) -> DataFrame:
+    return recall(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+ORACLE = f"""
+with it as (
+  select item_id, w, len(w) as n_words, least({N_GRAM}, len(w)) as k from (select item_id, {_SQL_WORDS} as w from benchmark) where len(w) > 0
+), d as (
+  select doc_id, w, len(w) as n_doc from (select doc_id, {_SQL_WORDS} as w from (select distinct doc_id, text from documents)) where len(w) > 0
+), io as (
+  select item_id, n_words, k, off, array_to_string(w[off + 1:off + k], ' ') as gram from (select *, unnest(range(0, n_words - k + 1)) as off from it)
+), ig as (
+  select item_id, n_words, k, gram, count(*) as c from io group by all
+), n as (
+  select count(distinct item_id) as n from it
+), wt as (
+  select k, gram, round(16 * (1 + ln((1.0 + any_value(n)) / (1 + count(*))))) as w from ig, n group by k, gram
+), dg as (
+  select doc_id, n_doc, k, pos, array_to_string(w[pos + 1:pos + k], ' ') as gram
+  from (select *, unnest(range(0, n_doc - k + 1)) as pos from d, (select distinct k from it))
+), laid as (
+  select distinct doc_id, item_id, k, least(n_words, n_doc) as size, greatest(0, least(pos - off, n_doc - least(n_words, n_doc))) as start
+  from dg join io using (k, gram)
+), ww as (
+  select l.doc_id, l.k, l.size, l.start, dg.gram, count(*) as c from (select distinct doc_id, k, size, start from laid) l
+  join dg on dg.doc_id = l.doc_id and dg.k = l.k and dg.pos between l.start and l.start + l.size - l.k group by all
+), wg as (
+  select ww.*, coalesce(wt.w, round(16 * (1 + ln(1.0 + n)))) as w from ww cross join n left join wt using (k, gram)
+), wa as (
+  select doc_id, k, size, start, sum(c * w) as wa from wg group by all
+), wb as (
+  select item_id, sum(c * w) as wb from ig join wt using (k, gram) group by item_id
+), s as (
+  select laid.doc_id, laid.item_id, laid.size, laid.start, sum(least(wg.c, ig.c) * wg.w) as common
+  from laid join wg using (doc_id, k, size, start) join ig on ig.item_id = laid.item_id and ig.k = laid.k and ig.gram = wg.gram group by all
+), m as (
+  select s.doc_id, s.item_id, s.start, s.size, common / (wa + wb - common) as similarity from s join it using (item_id) join wa using (doc_id, k, size, start) join wb using (item_id)
+)
+select doc_id, item_id, round(max(similarity), 6) as similarity, min_by(start, (-similarity, start, -size))::bigint as start_word,
+       min_by(size, (-similarity, start, -size))::bigint as n_words, count(*) as n_windows
+from m where similarity >= {SIMILARITY} group by doc_id, item_id
+"""

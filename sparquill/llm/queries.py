@@ -20,7 +20,7 @@ _MODULES = {
     "op13_repair": "repair",
 }
 #: More queries of the operators' modules, with the names of their SQL.
-_MORE = {"quality_ablation": ("quality", "ABLATION")}
+_MORE = {"quality_ablation": ("quality", "ABLATION"), "decontamination_recall": ("decontaminate", None)}
 
 
 def _query(module: str, name: str):
@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
         sql = getattr(import_module(f"{__package__}.{module}"), "ORACLE", None)
         if sql:
             found[name] = sql
-    return found | {name: _query(module, sql) for name, (module, sql) in _MORE.items()}
+    return found | {name: _query(module, sql) for name, (module, sql) in _MORE.items() if sql}
