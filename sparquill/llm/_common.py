@@ -44,9 +44,16 @@ def stash(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
+    _sweep(spark)
     return out
 
 
+def _sweep(spark: SparkSession) -> None:
+    """Lets shuffle files go that nothing refers to any more, which else may stay for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -78,9 +85,7 @@ def tidy(f):
             out = None
             for path in mine:
                 _delete(spark, path)
-            # shuffle files go when the driver finds that nothing refers to them, which else may take half an hour
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
+            _sweep(spark)
 
     return run
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, small, stash, table, tidy
+from ._common import components, discard, small, stash, table, tidy
 from ._tokens import slices, worker_store
 
 N_GRAM = 4
@@ -215,10 +215,12 @@ def join(docs: DataFrame, n: int = N_GRAM, threshold: int = THRESHOLD, sketch: i
     placed = stash(
         shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("part"))
     )
+    discard(shared)
     # a pair with a token's leader has met there already; at the first token they share, no filter hides it
     lead = F.min(F.struct("pos", "rep", "n"))["rep"].alias("lead")
     apart = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), lead).where("lo != hi").select("token", "lead")
     open_ = stash(placed.join(apart.hint("merge"), "token").where("rep != lead").drop("lead"))
+    discard(placed)
     x, y = open_.alias("x"), open_.alias("y")
     second = stash(
         x.join(y, F.col("x.token") == F.col("y.token"))

@@ -10,7 +10,8 @@ Lines with equal tokens are a class, named by two hashes (the tokens, and the se
 all. A class first meets two leaders of each of its tokens, the earliest class and the one where the token stands first;
 only classes without an earlier match then meet the other earlier ones. So a group of near copies costs a pair per member
 and not its square, and no match is lost. Tables are written before a join on a class or token, so that the join stands
-alone in its stage and a hot class or token is split among tasks (adaptive skew join).
+alone in its stage and a hot class or token is split among tasks (adaptive skew join). Tables that grow with the corpus are
+joined by a shuffle at every size, so that what is measured on a small corpus holds for a large one.
 
 Built-in expressions and joins only.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fence, small, stash, table, tidy
+from ._common import discard, fence, stash, table, tidy
 
 N_GRAM = 5
 THRESHOLD = 80  # per cent
@@ -43,7 +44,9 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tk"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    # the fence keeps the hash of the whole text below the explosion, once a text and not once a line
+    split = fence(docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tk"), F.split("text", "\n").alias("lines")))
+    return split.select("doc_id", "tk", F.posexplode_outer("lines").alias("line_no", "line"))
 
 
 def _bin(hashed: Column) -> Column:
@@ -115,8 +118,7 @@ def _bitmap(tokens: Column) -> list[Column]:
 def _sets(docs: DataFrame, firsts: DataFrame, classes: list[int]) -> DataFrame:
     """(key, tokens) of the classes in firsts (key, ord), from their first lines."""
     wanted = firsts.groupBy(F.col("ord.doc_id").alias("of"), F.col("ord.tk").alias("of_tk")).agg(F.collect_list("ord.line_no").alias("nos"))
-    wanted = small(stash(wanted))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tk")).join(wanted, F.expr("doc_id <=> of and tk = of_tk"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tk")).join(wanted.hint("merge"), F.expr("doc_id <=> of and tk = of_tk"))
     split = fence(texts.select("nos", F.split("text", "\n").alias("lines")))
     lines = split.select(F.explode(F.transform("nos", lambda i: F.get("lines", i))).alias("line"))
     # a repeated row gives its lines more than once
@@ -126,7 +128,7 @@ def _sets(docs: DataFrame, firsts: DataFrame, classes: list[int]) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a earlier, b) that are similar."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    mine = stash(sets.join(small(stash(ends)), "key", "left_semi"))
+    mine = stash(sets.join(ends.hint("merge"), "key", "left_semi"))
     x, y = mine.select(F.col("key").alias("a"), F.col("tokens").alias("x")), mine.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
     same = F.size(F.array_intersect("x", "y"))
@@ -149,12 +151,12 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     firsts = stash(lines.groupBy("k1", "k2").agg(F.min(ord_).alias("ord"), F.count("*").alias("copies")).select(key, "ord", "copies"))
     tokens = lines.where("prefix is not null").select("k1", "k2", "n", F.posexplode("prefix").alias("pos", "token"))
     met = tokens.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("token")
-    met = small(stash(met))
-    shared = stash(tokens.join(met, "token").select("token", key, "n", "pos").distinct())  # tokens of two classes at least
+    shared = stash(tokens.join(met.hint("merge"), "token").select("token", key, "n", "pos").distinct())  # tokens of two classes at least
     in_reach = stash(firsts.join(shared.select("key").distinct(), "key", "left_semi").select("key", "ord"))
     sets = stash(_sets(docs, in_reach, classes))
     facts = in_reach.join(sets.select("key", *_bitmap(F.col("tokens"))), "key")
     placed = stash(shared.join(facts, "key"))
+    discard(shared), discard(in_reach)
 
     names = ("ord", "key", "n", "pos", *(f"b{i}" for i in range(BITMAP)))
     leaders = placed.groupBy("token").agg(F.min(F.struct(*names)).alias("early"), F.min(F.struct("pos", *[c for c in names if c != "pos"])).alias("front"))
@@ -172,6 +174,7 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     # a pair one of which leads a token has met there already; at the first token they share, no other filter hides it
     rest = stash(placed.join(leaders.select("token", "key"), ["token", "key"], "left_anti"))
+    discard(placed), discard(leaders)
     open_ = rest.join(found.select(F.col("b").alias("key")).distinct(), "key", "left_anti")
     y, x = open_.alias("y"), rest.alias("x")
     second = (
@@ -196,9 +199,11 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with the matching lines taken out of their texts; documents left without a word by that are dropped."""
     gone = stash(matches(docs, threshold).groupBy(F.col("doc_id").alias("of"), F.col("tk").alias("of_tk")).agg(F.collect_set("line_no").alias("gone")))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("tk"))
-    joined = rows.join(small(gone), F.expr("id <=> of and tk = of_tk"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda l, i: ~F.array_contains("gone", i))
-    cut = fence(joined.select("row", F.when(F.col("gone").isNotNull(), kept).alias("kept")))
+    joined = rows.join(gone.hint("merge"), F.expr("id <=> of and tk = of_tk"), "left")
+    split = fence(joined.select("row", "gone", F.when(F.col("gone").isNotNull(), F.split("text", "\n")).alias("lines")))
+    # the numbers of the lines that stay come from one pass over a hash set, so a text of many lines costs no more than its length
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    cut = fence(split.select("row", F.when(F.col("gone").isNotNull(), F.transform(stay, lambda i: F.get("lines", i))).alias("kept")))
     more = fence(cut.withColumn("more", F.exists("kept", lambda l: F.size(_words(l)) > 0))).where("more is null or more")
     text = F.coalesce(F.array_join("kept", "\n"), F.col("row")["text"])
     return more.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -20,8 +20,7 @@ def test_a_shared_folder_is_asked_for(tmp_path):
         tmp_path,
         """
         from sparquill.llm._common import stash
-        spark.stop()
-        spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "").getOrCreate()
+        assert spark.conf.get("spark.checkpoint.dir", None) is None
         try:
             stash(spark.range(3))
         except ValueError as e:
@@ -29,4 +28,5 @@ def test_a_shared_folder_is_asked_for(tmp_path):
         else:
             raise AssertionError("a local folder was taken")
         """,
+        shared=False,
     )

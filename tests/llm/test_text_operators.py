@@ -172,6 +172,19 @@ def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
     assert linededup.dedup(clash).columns == clash.columns and linededup.dedup(clash).count() == len(rows)
 
 
+def test_line_dedup_of_a_text_of_many_lines(spark):
+    """Half a million lines of which every second one repeats: the cut is linear in them."""
+    import time
+
+    n = 500_000
+    long = "\n".join(f"line number {i} of this text" if i % 2 else "all of these are the same line" for i in range(n))
+    docs = spark.createDataFrame([(1, long), (2, "a text of its own, with a few more words")], "doc_id long, text string")
+    began = time.time()
+    (text,) = [r["text"] for r in linededup.dedup(docs).collect() if r["doc_id"] == 1]
+    assert text.count("\n") == n // 2 and text.count("the same line") == 1
+    assert time.time() - began < 120
+
+
 @pytest.fixture(scope="module")
 def leaks(spark):
     rng = random.Random(9)
@@ -223,6 +236,21 @@ def test_decontamination_finds_short_near_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i, _ in items}
 
 
+def test_decontamination_by_either_way(leaks):
+    """Fingerprints alone find the exact copies and some of the others, anchors all; the counts by length say so."""
+    items, rows, benchmark, docs = leaks
+    pairs = lambda **o: {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, benchmark, **o).collect()}
+    every, near = pairs(), pairs(ways="fingerprints")
+    assert pairs(ways="anchors") == every and near <= every and len(near) >= 0.6 * len(every)
+    assert {(i, i % 5) for i in range(10)} <= near  # exact copies in other case
+    counts = {r["n_words"]: (r["n_pairs"], r["n_by_fingerprints"]) for r in decontaminate.recall(docs, benchmark).collect()}
+    sizes = {i: len(t.split()) for i, t in items}
+    want = {n: (sum(sizes[j] == n for _, j in every), sum(sizes[j] == n for _, j in near)) for n in {sizes[j] for _, j in every}}
+    assert counts == want
+    with pytest.raises(ValueError):
+        decontaminate.find(docs, benchmark, ways="none")
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (4, "one two")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(odd_docs, items).collect()}
