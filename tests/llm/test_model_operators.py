@@ -373,3 +373,26 @@ def test_distributed_tree_equals_one_tree(spark, sf_dir, monkeypatch):
             assert abs(got[i] - tree.log10(ctw._codes([t], classes)[0]).sum()) < 1e-4
     seen = ctw._codes([b"Abcdef", b"abcdef", b"Xbcdef"], classes)[0]
     assert len(np.unique(seen)) == 21 - 2  # only the three ends have equal contexts of five bytes
+
+
+def test_plan_is_shortest_pack_first():
+    """Room left in every pack, against placing single pieces longest first, each into the pack with the most room."""
+    import random
+
+    rng = random.Random(12)
+    for _ in range(60):
+        size = rng.choice([7, 16, 50])
+        histogram = Counter(rng.randrange(1, size + 1) for _ in range(rng.randrange(0, 120)))
+        rooms: list[int] = []
+        for length in sorted(histogram.elements(), reverse=True):
+            best = max(range(len(rooms)), key=rooms.__getitem__, default=None)
+            if best is None or rooms[best] < length:
+                rooms.append(size)
+                best = len(rooms) - 1
+            rooms[best] -= length
+        filled, pieces = Counter(), Counter()
+        for length, lo, hi, sequence, _ in packing.plan(dict(histogram), size):
+            pieces[length] += hi - lo
+            for i in range(hi - lo):
+                filled[sequence + i] += length
+        assert sorted(size - v for v in filled.values()) == sorted(rooms) and pieces == histogram
