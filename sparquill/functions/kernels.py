@@ -73,16 +73,25 @@ def mse_quantize(x, spec: MseSpec):
     return pack(cells, spec.bits), norms
 
 
+def spelled(values, data, dim: int, bits: int):
+    """The values that the codes in data (n, packed_bytes) stand for: a byte at a time, from a table of what each byte spells."""
+    width, data = STORED_BITS[bits], np.asarray(data, np.uint8)
+    by_code = np.full(1 << width, np.nan)  # a code without a value, of a damaged byte
+    by_code[: len(values)] = values
+    table = by_code[np.arange(256)[:, None] >> np.arange(0, 8, width) & (1 << width) - 1]
+    return table.take(data, 0).reshape(len(data), -1)[:, :dim]
+
+
 def mse_levels(data, spec: MseSpec):
     """The levels of the cells, still rotated and of unit scale."""
-    return np.asarray(spec.codebook.centroids)[unpack(data, spec.dim, spec.bits)]
+    return spelled(spec.codebook.centroids, data, spec.dim, spec.bits)
 
 
-def mse_dequantize(data, norms, spec: MseSpec):
-    out = np.empty((len(data), spec.dim))
+def mse_dequantize(data, norms, spec: MseSpec, kind: str = "float64"):
+    """The vectors, as numbers of that kind; worked out in double precision, block by block."""
+    out, norms = np.empty((len(data), spec.dim), kind), np.asarray(norms, np.float64)[:, None]
     for rows in _parts(len(data)):
-        np.matmul(mse_levels(data[rows], spec), spec.pi, out=out[rows])
-    out *= np.asarray(norms)[:, None]
+        out[rows] = (mse_levels(data[rows], spec) @ spec.pi) * norms[rows]
     return out
 
 
@@ -99,14 +108,19 @@ def prod_quantize(x, spec: ProdSpec):
 
 
 def sign_values(signs, dim: int):
-    return unpack(signs, dim, 1) * 2.0 - 1
+    return spelled((-1.0, 1.0), signs, dim, 1)
 
 
-def prod_dequantize(data, signs, residual_norms, norms, spec: ProdSpec):
-    out = mse_dequantize(data, norms, spec.mse)
-    fine = spec.scale * np.asarray(residual_norms)[:, None]
-    for rows in _parts(len(out)):
-        out[rows] += fine[rows] * (sign_values(signs[rows], spec.dim) @ spec.s)
+def prod_dequantize(data, signs, residual_norms, norms, spec: ProdSpec, kind: str = "float64"):
+    out, norms = np.empty((len(data), spec.dim), kind), np.asarray(norms, np.float64)[:, None]
+    fine = spec.scale * np.asarray(residual_norms, np.float64)[:, None]
+    for rows in _parts(len(data)):
+        near = mse_levels(data[rows], spec.mse) @ spec.mse.pi
+        near *= norms[rows]
+        rest = sign_values(signs[rows], spec.dim) @ spec.s
+        rest *= fine[rows]
+        near += rest
+        out[rows] = near
     return out
 
 
@@ -138,9 +152,13 @@ def value_quantize(v, spec: ValueSpec):
     return pack(codes.reshape(len(v), spec.dim).astype(np.uint8), spec.bits), scales, zeros
 
 
-def value_dequantize(data, scales, zeros, spec: ValueSpec):
-    codes = unpack(data, spec.dim, spec.bits).reshape(len(data), spec.dim // spec.group_size, spec.group_size)
-    return (codes * np.asarray(scales)[:, :, None] + np.asarray(zeros)[:, :, None]).reshape(len(data), spec.dim)
+def value_dequantize(data, scales, zeros, spec: ValueSpec, kind: str = "float64"):
+    out = np.empty((len(data), spec.dim // spec.group_size, spec.group_size), kind)
+    scales, zeros = np.asarray(scales)[:, :, None], np.asarray(zeros)[:, :, None]
+    for rows in _parts(len(data)):
+        codes = data[rows] if spec.bits == 8 else spelled(np.arange(1 << spec.bits), data[rows], spec.dim, spec.bits)
+        out[rows] = codes.reshape(-1, *out.shape[1:]) * scales[rows] + zeros[rows]
+    return out.reshape(len(data), spec.dim)
 
 
 class Partial:

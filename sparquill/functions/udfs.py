@@ -141,7 +141,7 @@ def decoded(code, local):
 
     ok = np.asarray(code.is_valid())
     decode_parts = value_dequantize if hasattr(local, "group_size") else prod_dequantize if hasattr(local, "mse") else mse_dequantize
-    return _spread(ok, lists(decode_parts(*code_parts(code if ok.all() else code.filter(code.is_valid()), local), local)))
+    return _spread(ok, lists(decode_parts(*code_parts(code if ok.all() else code.filter(code.is_valid()), local), local, "float32")))
 
 
 def scored(q, code, local):
