@@ -408,6 +408,75 @@ def _external_matrix_sql() -> str:
     return _with(o.mse_state(spec), VECTORS, o.mse_quantize("vectors", "q")) + f"select vec_id, round(norm, 6) as norm, {o.hex_text('idx', DIM, 2)} as codes from q"
 
 
+#: Levels of the codebooks that `codebook_lookup` puts into a folder and a table; their edges lie midway.
+_FOLDER_LEVELS, _TABLE_LEVELS = (-0.2, -0.05, 0.05, 0.2), (-0.15, -0.0625, 0.0625, 0.15)
+
+
+def _midway(levels) -> tuple:
+    return tuple((a + b) / 2 for a, b in zip(levels, levels[1:]))
+
+
+def codebook_lookup(spark, d):
+    """Codes and errors by a codebook found in a table, by one found in a folder of JSON files, and by the computed one where
+    neither has it."""
+    import json
+
+    from ..functions.codebook import Codebook
+    from ..sources import codebooks
+
+    text = {"d": DIM, "bits": 2, "centroids": _FOLDER_LEVELS, "boundaries": (-1.0, *_midway(_FOLDER_LEVELS), 1.0)}
+    folder = _shared_folder(spark, "books")
+    spark.createDataFrame([(json.dumps(text),)], "value string").coalesce(1).write.text(f"{folder}/codebook_d{DIM}_b2.json")
+    books = to_table(spark, [Codebook(DIM, 2, _TABLE_LEVELS, _midway(_TABLE_LEVELS), 0.0)])
+    out = None
+    for way, bits, found in (("table", 2, {"books": books}), ("folder", 2, {"folder": folder}), ("computed", 3, {"books": books, "folder": folder})):
+        spec = codebooks.with_book(spark, MseSpec(DIM, bits, SEED), **found)
+        coded = codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec)
+        part = codecs.squared_error(codecs.decode(coded, spec), "x", "decoded").select(F.lit(way).alias("way"), "vec_id", "codes", _r("sq_error").alias("sq_error"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _codebook_lookup_sql() -> str:
+    spec, parts = MseSpec(DIM, 2, SEED), []
+    for way, bits, levels in (("table", 2, _TABLE_LEVELS), ("folder", 2, _FOLDER_LEVELS), ("computed", 3, None)):
+        own = o.mse_state(MseSpec(DIM, bits, SEED), f"st_{way}")
+        if levels:  # the edges as SQL works them out
+            own = f"st_{way} as (select {o.mat(spec.pi)} as pi, {o.mat(spec.pi.T)} as pit, {o.vec(levels)} as ce, list_transform(range(1, {len(levels)}), lambda i: (ce[i] + ce[i + 1]) / 2) as bd)"
+        parts += [own, o.mse_quantize("vectors", f"q_{way}", f"st_{way}"), o.mse_dequantize(f"q_{way}", f"r_{way}", f"st_{way}")]
+    found = [
+        f"select '{way}' as way, vec_id, {o.hex_text('idx', DIM, bits)} as codes, round({o.squared_error('xd', 'xhat')}, 6) as sq_error from r_{way}"
+        for way, bits in (("table", 2), ("folder", 2), ("computed", 3))
+    ]
+    return _with(VECTORS, *parts) + " union all ".join(found)
+
+
+def _external_sketch_spec() -> ProdSpec:
+    """A rotation that turns the order round, and a sketch of signs alone (those of Sylvester's matrix)."""
+    import numpy as np
+
+    sketch = np.ones((1, 1))
+    while len(sketch) < DIM:
+        sketch = np.block([[sketch, sketch], [sketch, -sketch]])
+    return ProdSpec(DIM, 3, SEED, matrix=np.eye(DIM)[::-1], sketch_matrix=sketch)
+
+
+def external_sketch(spark, d):
+    """Codes and errors with both matrices supplied by the caller."""
+    spec = _external_sketch_spec()
+    coded = codecs.code_text(codecs.encode(_vectors(spark, d), "x", spec), spec)
+    back = codecs.squared_error(codecs.decode(coded, spec), "x", "decoded")
+    return back.select("vec_id", "codes", "signs", _r(F.col("code.residual_norm").cast("double")).alias("residual_norm"), _r("sq_error").alias("sq_error"))
+
+
+def _external_sketch_sql() -> str:
+    spec = _external_sketch_spec()
+    return _with(o.prod_state(spec), VECTORS, o.prod_quantize("vectors", "q"), o.prod_dequantize("q", "r", spec)) + (
+        f"select vec_id, {o.hex_text('idx', DIM, 2)} as codes, {o.hex_text('sign', DIM, 1)} as signs, round(residual_norm, 6) as residual_norm, "
+        f"round({o.squared_error('xd', 'xhat')}, 6) as sq_error from r"
+    )
+
+
 def _shared_folder(spark, kind: str) -> str:
     """A new folder where driver and executors share one, gone with the session. There is no fallback to a folder of one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -831,6 +900,8 @@ def _catalogue() -> dict:
         "score_within_label": (score_within_label, _scores_sql() + "select a.label, q_id, k_id, round(score, 6) as score from scores join embeddings a on a.vec_id = q_id join embeddings b on b.vec_id = k_id and a.label = b.label"),
         "sql_functions": (sql_functions, _sql_functions_sql()),
         "external_matrix": (external_matrix, _external_matrix_sql()),
+        "external_sketch": (external_sketch, _external_sketch_sql()),
+        "codebook_lookup": (codebook_lookup, _codebook_lookup_sql()),
         "kv_stored_codes": (kv_stored_codes, f"with {_STORE_SQL} select kv_head, token_idx, token_idx % 2 as chunk_id, {o.hex_text('idx', DIM, KV.key.bits - 1)} as key_codes, {o.hex_text('sign', DIM, 1)} as key_signs, {o.hex_text('vidx', DIM, KV.val_bits)} as value_codes from store"),
         "stream_history": (stream_history, _with(_SESSIONS_SQL, _COUNTS_SQL) + f"select s.session, token_idx // {CAPACITY} as chunk_id, count(*) as n_tokens, count(*) as n_same from s join c on s.session = c.session where token_idx < compressed group by all"),
         "stream_history_counters": (stream_history_counters, _with(_SESSIONS_SQL, _COUNTS_SQL) + f"select session, compressed as num_tokens, compressed // {CAPACITY} as num_chunks, compressed * 96 as bytes from c where compressed > 0"),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CodebookCorrupt, CodebookMissing, InvalidBits, InvalidDim
 from ..functions.codebook import MAX_DIM, Codebook, lloyd_max
+from ..specs import MseSpec, ProdSpec
 
 SCHEMA = "dim int, bits int, centroids array<double>, boundaries array<double>, mse_per_coord double, mse_total double"
 _JSON = "d int, bits int, centroids array<double>, boundaries array<double>, mse_per_coord double, mse_total double"
@@ -51,8 +53,8 @@ def find(books: DataFrame, dim: int, bits: int) -> Codebook:
     return Codebook(dim, bits, tuple(row["centroids"]), tuple(row["boundaries"]), row["mse_per_coord"])
 
 
-def get(spark: SparkSession, dim: int, bits: int, books: DataFrame | None = None) -> Codebook:
-    """From the table if it is there, else from the configured folder, else computed (and kept)."""
+def get(spark: SparkSession, dim: int, bits: int, books: DataFrame | None = None, folder: str | None = None) -> Codebook:
+    """From the table if it is there, else from the folder given or configured, else computed (and kept)."""
     if not 1 <= dim <= MAX_DIM:
         raise InvalidDim(f"dim must be 1 to {MAX_DIM}, not {dim}")
     if bits not in (1, 2, 3, 4):
@@ -62,7 +64,7 @@ def get(spark: SparkSession, dim: int, bits: int, books: DataFrame | None = None
             return find(books, dim, bits)
         except CodebookMissing:
             pass
-    folder = spark.conf.get(FOLDER_CONF, None)
+    folder = folder or spark.conf.get(FOLDER_CONF, None)
     if folder:
         path = os.path.join(folder, f"codebook_d{dim}_b{bits}.json")
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +73,12 @@ def get(spark: SparkSession, dim: int, bits: int, books: DataFrame | None = None
     return lloyd_max(dim, bits)
 
 
+def with_book(spark: SparkSession, spec: MseSpec | ProdSpec, books: DataFrame | None = None, folder: str | None = None) -> MseSpec | ProdSpec:
+    """spec with the codebook that `get` finds for it. Both engines then code with its levels and edges."""
+    bits = spec.bits if isinstance(spec, MseSpec) else spec.mse.bits
+    return replace(spec, book=get(spark, spec.dim, bits, books, folder))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, x, label) of the embeddings table."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("x"), "label")

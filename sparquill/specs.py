@@ -19,6 +19,11 @@ def packed_bytes(dim: int, bits: int) -> int:
     return -(-dim // per_byte)
 
 
+def _fits(book: Codebook | None, dim: int, bits: int) -> None:
+    if book is not None and (book.dim, book.bits) != (dim, bits):
+        raise ShapeMismatch(f"a codebook for {dim} and {bits} bits is needed, not for {book.dim} and {book.bits}")
+
+
 def _matrix(m, dim: int):
     import numpy as np
 
@@ -36,12 +41,14 @@ class MseSpec:
     bits: int
     seed: int = 42
     matrix: Any = field(default=None, compare=False, repr=False)
+    book: Codebook | None = field(default=None, repr=False)  # else the optimal one
 
     def __post_init__(self):
         if self.bits not in (1, 2, 3, 4):
             raise InvalidBits(f"bits must be 1 to 4, not {self.bits}")
         if not 3 <= self.dim <= MAX_DIM:
             raise InvalidDim(f"dim must be 3 to {MAX_DIM}, not {self.dim}")
+        _fits(self.book, self.dim, self.bits)
         if self.matrix is not None:
             object.__setattr__(self, "matrix", _matrix(self.matrix, self.dim))
         else:
@@ -49,7 +56,7 @@ class MseSpec:
 
     @property
     def codebook(self) -> Codebook:
-        return lloyd_max(self.dim, self.bits)
+        return self.book or lloyd_max(self.dim, self.bits)
 
     @property
     def pi(self):
@@ -69,17 +76,18 @@ class ProdSpec:
     seed: int = 42
     matrix: Any = field(default=None, compare=False, repr=False)
     sketch_matrix: Any = field(default=None, compare=False, repr=False)
+    book: Codebook | None = field(default=None, repr=False)  # of bits - 1 bits
 
     def __post_init__(self):
         if self.bits not in (2, 3, 4):
             raise InvalidBits(f"bits must be 2 to 4, not {self.bits}")
-        MseSpec(self.dim, self.bits - 1, self.seed, self.matrix)
+        MseSpec(self.dim, self.bits - 1, self.seed, self.matrix, self.book)
         if self.sketch_matrix is not None:
             object.__setattr__(self, "sketch_matrix", _matrix(self.sketch_matrix, self.dim))
 
     @property
     def mse(self) -> MseSpec:
-        return MseSpec(self.dim, self.bits - 1, self.seed, self.matrix)
+        return MseSpec(self.dim, self.bits - 1, self.seed, self.matrix, self.book)
 
     @property
     def s(self):

@@ -185,3 +185,26 @@ def test_plan_has_no_shuffle_and_prunes(spark, sf_dir):
     for engine in codecs.ENGINES:
         plan = codecs.encode(df, "x", MseSpec(64, 3), engine)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "label" not in plan and ("Python" in plan) == (engine == "arrow")
+
+
+def test_a_codebook_that_is_handed_in_decides_the_codes():
+    from sparquill.functions.codebook import Codebook
+
+    book = Codebook(8, 1, (-0.5, 0.25), (0.1,), 0.0)
+    spec = MseSpec(8, 1, matrix=np.eye(8), book=book)
+    x = np.array([[0.2, 0.05, -0.3, 0.6, 0.09, 0.11, 0.0, 0.7]])
+    cells = k.unpack(k.mse_quantize(x / np.sqrt((x**2).sum()), spec)[0], 8, 1)
+    assert cells.tolist() == [[int(v > 0.1) for v in (x / np.sqrt((x**2).sum()))[0]]]
+    levels = set(np.round(k.mse_dequantize(*k.mse_quantize(x, spec), spec) / np.sqrt((x**2).sum()), 6).ravel().tolist())
+    assert levels == {-0.5, 0.25}
+    assert ProdSpec(8, 2, book=book).mse.codebook is book
+    for bad in (lambda: MseSpec(8, 2, book=book), lambda: MseSpec(9, 1, book=book), lambda: ProdSpec(8, 3, book=book)):
+        with pytest.raises(ShapeMismatch):
+            bad()
+
+
+@pytest.mark.parametrize(("dim", "bits"), [(8, 1), (9, 1), (9, 2), (7, 3), (7, 4), (5, 8)])
+def test_codes_are_spelled_byte_by_byte(dim, bits):
+    values = np.arange(1 << bits) * 0.5 - 1
+    codes = np.random.default_rng(bits).integers(0, 1 << bits, (50, dim)).astype(np.uint8)
+    assert (k.spelled(values, k.pack(codes, bits), dim, bits) == values[codes]).all()
