@@ -1,9 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network labels every byte of a text; a document's probabilities are the mean over its bytes. Both directions run
-through the whole text with their state carried along; texts of like length advance together. Weights are trained in numpy
-by backpropagation through time on windows from anywhere in the whole texts of a bounded sample of labelled documents,
-TRAIN_DOCS per language as an expected number; the states at a window's ends come from running over the bytes beyond them.
+through the whole text with their state carried along; texts of like length advance together. Of a long text the backward
+states are kept at every PIECE bytes and worked out again within a piece, so that memory does not grow with the labels.
+Weights are trained in numpy by backpropagation through time on windows from a bounded sample of labelled documents,
+TRAIN_DOCS per language as an expected number; WINDOWS places anywhere in a document's whole text are cut out on the
+executors, so the driver sees bytes of the order of TRAIN_DOCS x WINDOWS x (TRAIN_WINDOW + 2 WARM_UP) per language, however long the
+texts are. The states at a window's ends come from running over the bytes beyond them.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a null lang is never learned from; without
 any training document everything is `und`; repeated rows and equal doc_ids keep a row each; a null doc_id hashes as the
@@ -22,9 +25,11 @@ TRAIN_DOCS = 600
 STEPS = 240
 BATCH = 192
 TRAIN_WINDOW = 48
+WINDOWS = 24  # places cut from a document of the sample
 WARM_UP = 48  # bytes beyond each end of a training window that the states are run over
 STEP = 128  # bytes of each text worked on between two products with the label weights
 SLAB = 8 << 20  # places of texts that advance together
+PIECE = 1 << 16  # bytes of a long text whose backward states are held at a time
 HELD = 48 << 20  # bytes of texts sorted by length at a time
 SEED = 7
 
@@ -33,17 +38,29 @@ def _fold(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")), F.lit(0)) % 5
 
 
-def sample(training: DataFrame, per_language: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """(lang, text) of about per_language documents of each language, drawn by hash; texts are whole."""
+def sample(training: DataFrame, per_language: int = TRAIN_DOCS, windows: int = WINDOWS) -> list[tuple[str, list[tuple[bytes, bytes, bytes]]]]:
+    """(lang, windows) of about per_language documents of each language, drawn by hash. A window is what stands before it,
+    its own bytes, and what comes after, cut from a place drawn by hash anywhere in the text."""
     usable = training.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     # a row per language
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 40)) / float(1 << 40)
+    unit = float(1 << 40)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 40)) / unit
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())])
-    rows = usable.where(draw < share).select("doc_id", "lang", "text").collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"]))]
+    drawn = usable.where(draw < share).select("lang", F.col("text").cast("binary").alias("b"), F.xxhash64("doc_id", "text").alias("h"))
+    last = F.greatest(F.octet_length("b") - TRAIN_WINDOW, F.lit(0))
+
+    def cut(i):
+        at = F.pmod(F.xxhash64("h", i), last + 1).cast("int")
+        lead = F.least(at, F.lit(WARM_UP))
+        part = lambda start, n: F.substring("b", start + 1, n)
+        return F.struct(part(at - lead, lead).alias("lead"), part(at, F.lit(TRAIN_WINDOW)).alias("part"), part(at + TRAIN_WINDOW, F.lit(WARM_UP)).alias("rest"))
+
+    rows = drawn.select("lang", "h", F.transform(F.sequence(F.lit(1), F.lit(windows)), cut).alias("w")).collect()
+    found = [(r["lang"], [tuple(map(bytes, w)) for w in r["w"]], r["h"]) for r in rows]
+    return [(lang, cuts) for lang, cuts, _ in sorted(found, key=lambda r: (r[2], r[0], r[1]))]
 
 
 class Network:
@@ -101,6 +118,10 @@ class Network:
         at = 0
         while at < len(order):
             longest = int(lengths[order[at]])
+            if longest > most:
+                out[order[at]] = self._long(texts[order[at]])
+                at += 1
+                continue
             lanes = max(1, most // longest)  # texts that have ended cost room, not time
             mine = order[at : at + lanes]
             out[mine] = self._slab([texts[i] for i in mine], lengths[mine])
@@ -139,6 +160,32 @@ class Network:
             sums[:k] += p.sum(0)
         return sums / lengths[:, None]
 
+    def _long(self, text: bytes):
+        """`probabilities` of one text, piece by piece. The first pass, from the text's end, keeps the state at the end of each
+        piece; the second works a piece's backward states out again from there, beside its forward states."""
+        import numpy as np
+
+        h, (tf, uf, tb, ub, v, c) = self.h, self.w
+        x = np.frombuffer(text, np.uint8)[:, None]
+        starts = range(0, len(x), PIECE)
+        state, after = np.zeros((1, h), np.float32), {}
+        for at in reversed(starts):
+            after[at] = state
+            for low in range(min(at + PIECE, len(x)), at, -STEP):
+                state = self._run(x[max(at, low - STEP) : low][::-1], None, tb, ub, state=state)[-1]
+        state, sums = np.zeros((1, h), np.float32), np.zeros(len(c))
+        for at in starts:
+            piece = x[at : at + PIECE]
+            back = self._run(piece[::-1], None, tb, ub, state=after.pop(at))[::-1]
+            states = self._run(piece, None, tf, uf, state=state)
+            state = states[-1]
+            p = states[:, 0] @ v[:h] + (back[:, 0] @ v[h:] + c)
+            p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True)
+            sums += p.sum(0)
+        return sums / len(x)
+
     def ends(self, before, after):
         """States of both directions at the ends of windows, after running over the bytes beyond them: (bytes, inside) of
         shape (T, B) each, in text order, with zeros in `inside` where there is no byte."""
@@ -185,7 +232,7 @@ class Network:
         return loss, grads
 
 
-def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED):
+def train(samples: list[tuple[str, list]], steps: int = STEPS, seed: int = SEED):
     """(languages, network) fitted to the samples by Adam; (languages, None) for fewer than two languages."""
     import numpy as np
 
@@ -193,7 +240,7 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED):
     if len(languages) < 2:
         return languages, None
     rng = np.random.default_rng(seed)
-    by = [[np.frombuffer(t.encode(), np.uint8) for k, t in samples if k == lang] for lang in languages]
+    by = [[cuts for k, cuts in samples if k == lang] for lang in languages]
     net = Network(len(languages), seed=seed)
     m, s = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
     for step in range(1, steps + 1):
@@ -201,9 +248,8 @@ def train(samples: list[tuple[str, str]], steps: int = STEPS, seed: int = SEED):
         x = np.full((BATCH, TRAIN_WINDOW), 32, np.uint8)
         before, after = ([np.zeros((BATCH, WARM_UP), np.uint8), np.zeros((BATCH, WARM_UP), np.float32)] for _ in range(2))
         for row, label in enumerate(labels):
-            text = by[label][rng.integers(len(by[label]))]
-            at = int(rng.integers(max(1, len(text) - TRAIN_WINDOW + 1)))
-            part, lead, rest = text[at : at + TRAIN_WINDOW], text[max(0, at - WARM_UP) : at], text[at + TRAIN_WINDOW :][:WARM_UP]
+            cuts = by[label][rng.integers(len(by[label]))]
+            lead, part, rest = (np.frombuffer(piece, np.uint8) for piece in cuts[rng.integers(len(cuts))])
             x[row, : len(part)] = part
             if len(lead):
                 before[0][row, -len(lead) :], before[1][row, -len(lead) :] = lead, 1

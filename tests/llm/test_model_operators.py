@@ -272,6 +272,31 @@ def test_language_of_whole_texts_equals_a_plain_loop(spark):
         assert r["lang_pred"] == "abc"[int(want[r["doc_id"]].argmax())] and abs(r["score"] - want[r["doc_id"]].max()) < 1e-5
 
 
+def test_a_long_text_is_worked_off_in_pieces(monkeypatch):
+    net = langid.Network(4, 5, seed=2)
+    text = np.random.default_rng(3).integers(0, 256, 1000).astype(np.uint8).tobytes()
+    want = net.probabilities([text, b"ab"])
+    monkeypatch.setattr(langid, "SLAB", 500)
+    for piece in (1, 7, 128, 300, 999, 1000, 4000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert np.abs(net.probabilities([b"ab", text])[::-1] - want).max() < 1e-5
+
+
+def test_windows_are_cut_from_whole_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abc \u00e9"), n)) for n in (1, 30, 47, 48, 49, 150, 9000)]
+    rows = [(None if i == 2 else i, t, "x") for i, t in enumerate(texts)]
+    found = langid.sample(spark.createDataFrame([*rows, (9, None, "x"), (10, "de", None), (11, "", "x")], "doc_id long, text string, lang string"))
+    assert len(found) == sum(any(c.isalpha() for c in t) for t in texts)
+    whole = [t.encode() for t in texts]
+    for lang, cuts in found:
+        assert lang == "x" and len(cuts) == langid.WINDOWS
+        for lead, part, rest in cuts:
+            assert len(lead) <= langid.WARM_UP and len(part) <= langid.TRAIN_WINDOW and any(lead + part + rest in t for t in whole)
+    late = [w for _, cuts in found for w in cuts if len(w[0]) == len(w[2]) == langid.WARM_UP and whole[-1].find(b"".join(w)) > 4000]
+    assert late  # windows lie anywhere in a text
+
+
 def test_language_accuracy(spark, sf_dir):
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.queries()["op6_language_id"](spark, sf_dir).collect()
