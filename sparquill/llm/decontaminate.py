@@ -1,7 +1,9 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, met within a Hamming radius, then verified.
 
-Shingles are five lower-cased words (an item of fewer words is one shingle). A window can only be similar to an item if
-they share a shingle, so windows are laid where a document has a shingle of the benchmark: of the item's length, placed
+Shingles are five lower-cased words (an item of fewer words is one shingle). A window that is similar to an item lacks at
+most a fifth of the item's weight, so it has one of the item's prefix: its rarest shingles, taken until they weigh more
+than that. Only a document with a prefix shingle is looked at for that item, so wording that many items share brings
+no document and item together. In such a document, windows are laid for the item wherever one of its shingles stands: of the item's length, placed
 as the shingle stands in the item, moved inside the text at its ends. Windows and items get 64-bit SimHash
 fingerprints; these are cut into RADIUS + 1 blocks, of which two fingerprints within RADIUS agree in one at least, so
 the join on blocks finds every pair within the radius. With four blocks of 16 bits, two unlike fingerprints meet once in
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fence, lower_ascii, small, stash, table, tidy, words
@@ -81,6 +83,19 @@ def _blocks(df: DataFrame, radius: int) -> DataFrame:
     return df.select("*", F.inline(F.array(*parts)))
 
 
+def prefixes(of_items: DataFrame, similarity: float) -> DataFrame:
+    """(item_id, gram): the rarest shingles of each item, of which anything similar to it has one. What lacks them all lacks
+    more than 1 - similarity of the item's weight. An item_id with texts of several lengths keeps all its shingles."""
+    item = Window.partitionBy("item_id")
+    before = item.orderBy(F.desc("w"), "gram").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.col("c") * F.col("w")
+    marked = of_items.select(
+        "item_id", "gram", F.coalesce(F.sum(weight).over(before), F.lit(0)).alias("_before"), F.sum(weight).over(item).alias("_all"),
+        (F.min("n_words").over(item) != F.max("n_words").over(item)).alias("_several"),
+    )
+    return marked.where(F.col("_several") | (F.col("_before") <= (1 - similarity + 1e-9) * F.col("_all"))).select("item_id", "gram").distinct()
+
+
 @tidy
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, radius: int = RADIUS, ways: str = "both") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, n_windows) of every contaminated document: its best window."""
@@ -100,24 +115,28 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
         return _hashed(rows, *key).select(*key, F.size("_h").alias("n_doc"), *[_grams("_h", k).alias(f"g{k}") for k in ks])
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    hashed = doc_grams(texts)
-    placed = None
-    for k in ks:
-        part = hashed.select(*key, "n_doc", F.posexplode_outer(f"g{k}").alias("pos", "gram"))
-        placed = part if placed is None else placed.union(part)
-    anchors = placed.join(small(item_grams.select("item_id", "gram", "k", "n_words", "offs")), "gram")
+    def stand(hashed: DataFrame) -> DataFrame:
+        placed = None
+        for k in ks:
+            part = hashed.select(*key, "n_doc", F.posexplode_outer(f"g{k}").alias("pos", "gram"))
+            placed = part if placed is None else placed.union(part)
+        return placed
+
+    of_items = stash(item_grams.select("item_id", "n_words", "k", "gram", "c").join(weights, "gram"))
+    reach = stash(stand(doc_grams(texts)).join(small(stash(prefixes(of_items, similarity))), "gram").select(*key, "item_id").distinct())
+    # the shingles of the few documents that an item reaches
+    found = stash(reach.select(*key).distinct())
+    chosen = texts.join(small(found), key_null_safe(texts, found, key), "left_semi")
+    shingles = stash(doc_grams(chosen).dropDuplicates(key))
+    i, r = item_grams.select(F.col("item_id").alias("of"), F.col("gram").alias("g"), "k", "n_words", "offs"), reach.alias("r")
+    sought = r.join(small(i), F.expr("r.item_id <=> of")).select(F.col("r.doc_id").alias("d"), F.col("r.text_hash").alias("h"), "item_id", "g", "k", "n_words", "offs")
+    anchors = stand(shingles).join(sought, F.expr("doc_id <=> d and text_hash = h and gram = g"))
     at = F.explode(F.transform("offs", lambda o: F.col("pos") - o)).alias("start")
     spots = anchors.select(*key, "item_id", "k", "n_doc", F.least("n_words", "n_doc").alias("len"), at)
     laid = stash(
         spots.select(*key, "k", "len", F.greatest(F.lit(0), F.least("start", F.col("n_doc") - F.col("len"))).alias("start"), "item_id").distinct()
     )
-    windows = laid.select(*key, "k", "len", "start").distinct()
-    named = stash(windows.withColumn("wid", F.monotonically_increasing_id()))
-    windows = named.drop("wid")
-    # a window's shingles, from the few documents that have windows
-    found = stash(windows.select(*key).distinct())
-    chosen = texts.join(small(found), key_null_safe(texts, found, key), "left_semi")
-    shingles = doc_grams(chosen).dropDuplicates(key)
+    named = stash(laid.select(*key, "k", "len", "start").distinct().withColumn("wid", F.monotonically_increasing_id()))
     pieces = F.expr("case k " + " ".join(f"when {k} then slice(g{k}, start + 1, greatest(len - {k - 1}, 0))" for k in ks) + " end")
     w = named.alias("w")
     s = shingles.alias("s")
@@ -127,7 +146,6 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
         .join(small(weights), "gram", "left").withColumn("w", F.coalesce("w", F.lit(most)))
     )
     in_windows = stash(in_windows)
-    of_items = stash(item_grams.select("item_id", "k", "gram", "c").join(weights, "gram"))
     window_fp = stash(_fingerprint(in_windows, "wid"))
     item_fp = stash(_fingerprint(of_items, "item_id"))
     a, b = _blocks(window_fp, radius).alias("a"), small(_blocks(item_fp, radius)).alias("b")

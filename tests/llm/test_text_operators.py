@@ -236,6 +236,39 @@ def test_decontamination_finds_short_near_copies(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i, _ in items}
 
 
+def test_decontamination_of_items_with_shared_wording(spark):
+    """Items that share most of their wording: only a document with an item's own part is looked at for it, none is lost."""
+    rng = random.Random(8)
+    stem = "which of the following statements about the passage above is true and why"
+    own = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(9)) for _ in range(60)]
+    items = [(i, f"{stem} {o}") for i, o in enumerate(own)] + [(100, stem), (101, stem + " one"), (101, own[0] + " " + own[1])]
+    rows = [(i, f"{text(rng, 15)} {stem} {o.rsplit(' ', 1)[0]} changed {text(rng, 15)}") for i, o in enumerate(own[:20])]
+    rows += [(i, f"{text(rng, 15)} {stem} {text(rng, 15)}") for i in range(20, 40)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, benchmark).collect()}
+    assert {p for p in found if p[1] < 100} == {(i, i) for i in range(20)}
+    assert {p for p in found if p[1] == 100} == {(i, 100) for i in range(40)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_similar_window_has_a_prefix_shingle(spark, seed):
+    """Against all windows there are, of items over few shingles with weights and repeats drawn at random."""
+    rng = random.Random(seed)
+    weights = {g: rng.randrange(1, 60) for g in range(12)}
+    bags = [Counter(rng.choices(range(12), k=rng.randrange(1, 10))) for _ in range(40)]
+    rows = [(i, 9, g, c, weights[g]) for i, bag in enumerate(bags) for g, c in bag.items()]
+    kept = {}
+    for r in decontaminate.prefixes(spark.createDataFrame(rows, "item_id int, n_words int, gram int, c long, w long"), 0.8).collect():
+        kept.setdefault(r["item_id"], set()).add(r["gram"])
+    total = lambda bag: sum(c * weights[g] for g, c in bag.items())
+    for window in [*bags, *(Counter(rng.choices(range(12), k=rng.randrange(1, 10))) for _ in range(300)), *(b - Counter([min(b)]) for b in bags)]:
+        for i, bag in enumerate(bags):
+            both = total(window & bag)
+            if both and both >= 0.8 * (total(window) + total(bag) - both):
+                assert kept[i] & set(window)
+    assert sum(map(len, kept.values())) < len(rows)
+
+
 def test_decontamination_by_either_way(leaks):
     """Fingerprints alone find the exact copies and some of the others, anchors all; the counts by length say so."""
     items, rows, benchmark, docs = leaks
