@@ -49,23 +49,26 @@ def _query_parts(table, q: str, dim: int):
 
 
 def attention_score(
-    queries: DataFrame, keys: DataFrame, spec: ProdSpec, q: str = "q", code: str = "code", group: str | None = None, top: int | None = None, slack: float = 0.0
+    queries: DataFrame, keys: DataFrame, spec: ProdSpec, q: str = "q", code: str = "code", group: str | None = None, top: int | None = None, slack: float = 0.0, exact: str | None = None
 ) -> DataFrame:
     """The rows of queries x keys (within a group, if a column of both is named) with their score.
 
     keys hold a code column made by `encode` for a ProdSpec, queries a vector column q; the other columns are kept. A null
     vector, code or group has no scores. With `top`, only the `top` best keys of what a task sees at once are given for each
-    query, and those that are worse than them by up to `slack`, for a rank by rounded scores.
+    query, and those that are worse than them by up to `slack`, for a rank by rounded scores. `exact` names the keys' own vectors:
+    they are no column of the result, but the inner product with them is, as "exact"; a key without one has no scores.
     """
     named = [f for f in queries.schema.fields if f.name not in (q, group)]
-    kept = [f for f in keys.schema.fields if f.name != code]
-    schema = T.StructType([*kept, *named, T.StructField("score", T.DoubleType())])
-    queries, keys = queries.select(*[f.name for f in named], q, *([group] if group else [])), keys.select(code, *[f.name for f in kept])
+    if exact:
+        keys = keys.dropna(subset=[exact])
+    kept, own = [f for f in keys.schema.fields if f.name not in (code, exact)], [exact] if exact else []
+    schema = T.StructType([*kept, *named, *[T.StructField(c, T.DoubleType()) for c in ("score", *(["exact"] if exact else []))]])
+    queries, keys = queries.select(*[f.name for f in named], q, *([group] if group else [])), keys.select(code, *own, *[f.name for f in kept])
     held, by = constants(spec), [group] if group else []
     limit = BLOCK_BYTES // (2 * 8 * spec.dim)
     if not group and queries.limit(limit + 1).count() <= limit:
         table, x = _query_parts(queries.toArrow(), q, spec.dim)
-        shared = keys.sparkSession.sparkContext.broadcast((to_bytes(table), *prod_query(x, spec)))
+        shared = keys.sparkSession.sparkContext.broadcast((to_bytes(table), *prod_query(x, spec), *([x] if exact else [])))
 
         def blocks(batches):
             sink, *prepared = shared.value
@@ -73,7 +76,7 @@ def attention_score(
             for batch in batches:
                 yield names, prepared, batch
 
-        return keys.mapInArrow(_scores(blocks, held, [f.name for f in kept], [], top, slack), schema)
+        return keys.mapInArrow(_scores(blocks, held, [f.name for f in kept], top, slack, exact), schema)
 
     def blocks(batches):
         import pyarrow as pa
@@ -84,7 +87,7 @@ def attention_score(
             for i, (left, right) in enumerate(zip(batch.column("left"), batch.column("right"))):
                 if last is None or not left.equals(last):
                     table, x = _query_parts(from_bytes(left.as_buffer()), q, local.dim)
-                    last, asked = left, (table, prod_query(x, local))
+                    last, asked = left, (table, (*prod_query(x, local), *([x] if exact else [])))
                 key = from_bytes(right.as_buffer())
                 for c, values in zip(by, groups):  # the group is no part of the block
                     key = key.append_column(c, values.take(pa.array([i] * key.num_rows)))
@@ -92,11 +95,12 @@ def attention_score(
                     yield *asked, part
 
     pairs = block_pairs(queries, keys, by, BLOCK_QUERIES, BLOCK_KEYS)
-    return pairs.mapInArrow(_scores(blocks, held, [f.name for f in kept], by, top, slack), schema)
+    return pairs.mapInArrow(_scores(blocks, held, [f.name for f in kept], top, slack, exact), schema)
 
 
-def _scores(blocks, constants, kept: list[str], by: list[str], top: int | None, slack: float):
-    """Rows of scores of (names of queries, prepared queries, batch of keys), ROWS at a time."""
+def _scores(blocks, constants, kept: list[str], top: int | None, slack: float, exact: str | None):
+    """Rows of scores of (names of queries, prepared queries, batch of keys), ROWS at a time. Rows come key by key, so that a file
+    of them says each key once and the queries as one repeated sequence."""
 
     def run(batches):
         import numpy as np
@@ -115,7 +119,7 @@ def _scores(blocks, constants, kept: list[str], by: list[str], top: int | None,
             step = max(1, ROWS // max(1, n_queries))
             for at in range(0, valid.num_rows if n_queries else 0, step):
                 batch = valid.slice(at, step)
-                found = scores(prepared, *code_parts(batch.column(0), local), local)
+                found = scores(prepared[:2], *code_parts(batch.column(0), local), local)
                 keep = np.ones(found.shape, bool)
                 if top is not None and found.shape[1] > top:
                     keep = found >= -np.partition(-found, top - 1, axis=1)[:, top - 1 : top] - slack  # ties stay, the final rank decides
@@ -123,7 +127,10 @@ def _scores(blocks, constants, kept: list[str], by: list[str], top: int | None,
                 columns = [batch.column(c).take(pa.array(at_k)) for c in kept]
                 columns += [names.column(i).combine_chunks().take(pa.array(at_q)) for i in range(names.num_columns)]
                 score = found[at_q, at_k]
-                out = pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*kept, *names.schema.names, "score"])
+                columns.append(pa.array(score))
+                if exact:
+                    columns.append(pa.array((prepared[2] @ vectors(batch.column(exact), local.dim)[1].T)[at_q, at_k]))
+                out = pa.RecordBatch.from_arrays(columns, names=[*kept, *names.schema.names, "score", *(["exact"] if exact else [])])
                 if top is None:
                     yield out
                 else:
