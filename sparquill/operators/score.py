@@ -123,7 +123,7 @@ def _scores(blocks, constants, kept: list[str], top: int | None, slack: float, e
                 keep = np.ones(found.shape, bool)
                 if top is not None and found.shape[1] > top:
                     keep = found >= -np.partition(-found, top - 1, axis=1)[:, top - 1 : top] - slack  # ties stay, the final rank decides
-                at_q, at_k = np.nonzero(keep)
+                at_k, at_q = np.nonzero(keep.T)
                 columns = [batch.column(c).take(pa.array(at_k)) for c in kept]
                 columns += [names.column(i).combine_chunks().take(pa.array(at_q)) for i in range(names.num_columns)]
                 score = found[at_q, at_k]
