@@ -7,7 +7,7 @@ is worked off before the next is taken, so a session's events are never held all
 (maxFilesPerTrigger) bounds what a micro-batch brings.
 
 Output rows: out "token" for each drained token (session, epoch, chunk_id, seq, key, value), "reset" for a reset with the epoch
-that it begins, whose chunks are numbered from 0 again, and one "count" per session and micro-batch with the session's totals.
+that it begins, whose chunks are numbered from 0 again, and "count" with a session's totals whenever its events have been worked off.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ EVENTS = "session long, seq long, kind string, batch_id long, batch_size long, k
 OUTPUT = (
     "session long, out string, epoch long, chunk_id long, seq long, key array<float>, value array<float>, total long, compressed long, buffered long"
 )
+SESSION_STATE = "total long, compressed long, chunks long, epoch long, parts long, seqs array<long>, keys array<binary>, values array<binary>"
+#: Sessions are dealt into so many groups of state. Part of a checkpoint: a stream goes on with the number that it began with.
+BUCKETS = 1024
+#: Events of a bucket that are put in order at once, and rows of a frame that goes out.
+HELD, ROWS = 1 << 16, 1 << 13
 
 
 class Ring:
@@ -107,10 +112,12 @@ class Engine:
 
 
 class CaptureProcessor(StatefulProcessor):
-    """Keeps buffer, counters, unfinished prefill batches and, with an order by time, what has come too early, of each session.
+    """Keeps buffer, counters and unfinished prefill batches of each session of a bucket and, with an order by time, what has come
+    too early.
 
-    Vectors are bytes in the state and on their way through it. The buffer's state grows by what is new unless it has drained;
-    parts of unfinished batches and of what waits for its time are written once, as they come.
+    A call has the sessions of one bucket (`BUCKETS`), so that what Spark asks for a call is asked once for many sessions; a session
+    that has events costs one read and one write of its own row of the state. Vectors are bytes in the state and on their way through
+    it. A session's row holds its buffer, at most `capacity` tokens; parts of unfinished batches are written once, as they come.
     """
 
     def __init__(self, capacity: int, bucket_ms: int = 0):
@@ -118,80 +125,108 @@ class CaptureProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.ring = handle.getListState("ring", "seq long, key binary, value binary")
-        self.counters = handle.getValueState("counters", "total long, compressed long, chunks long, epoch long, parts long")
-        self.open = handle.getMapState("open", "batch_id long", "rows long, parts string")
-        self.waiting = handle.getMapState("waiting", "part long", "tokens binary")
+        self.sessions = handle.getMapState("sessions", "session long", SESSION_STATE)
+        self.open = handle.getMapState("open", "session long, batch_id long", "rows long, parts string")
+        self.waiting = handle.getMapState("waiting", "session long, part long", "tokens binary")
         if self.bucket_ms:
-            self.early = handle.getMapState("early", "part long", "bucket long, events binary")
+            self.parts = handle.getValueState("parts", "parts long")
+            self.due = handle.getMapState("due", "part long", "at long")
+            self.early = handle.getMapState("early", "part long", "events binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        if not self.bucket_ms:
-            yield from self._work(key, (b.sort_values("seq", kind="stable") for b in rows))
-            return
-        _, _, _, _, parts = self.counters.get() or (0,) * 5
-        for batch in rows:
-            until = -(-(_milliseconds(batch["ts"]) + 1) // self.bucket_ms) * self.bucket_ms
-            for bucket, part in batch.groupby(until):
-                self.early.updateValue((parts,), (int(bucket), _pack_events(part)))
-                parts += 1
-                self.handle.registerTimer(int(bucket))  # of equal timers there is one
-        self.counters.update((*(self.counters.get() or (0,) * 5)[:4], parts))
+        for frame in _gathered(rows):
+            if self.bucket_ms:
+                self._keep(frame, timerValues.getCurrentWatermarkInMs())
+            else:
+                yield from self._work(frame, ["session", "seq"])
+
+    def _until(self, frame):
+        """The end of each event's step of time."""
+        return (-(-(_milliseconds(frame["ts"]) + 1) // self.bucket_ms) * self.bucket_ms).to_numpy()
+
+    def _keep(self, frame, now: int) -> None:
+        """Puts events away by how far they are ahead, in powers of two of a step. A part is opened at its earliest step, what is then
+        left of it is put away again, nearer, so an event is written as often as the logarithm of the steps that it waits."""
+        import numpy as np
+
+        until = self._until(frame)
+        far = np.frexp(np.maximum((until - now) // self.bucket_ms, 1).astype(np.float64))[1]
+        parts = (self.parts.get() or (0,))[0]
+        for f in np.unique(far).tolist():
+            at = int(until[far == f].min())
+            self.early.updateValue((parts,), (_pack_events(frame[far == f]),))
+            self.due.updateValue((parts,), (at,))
+            self.handle.registerTimer(at)  # of equal timers there is one
+            parts += 1
+        self.parts.update((parts,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = [(k, v) for k, v in self.early.iterator() if v[0] <= now]
-        if not due:
+        now = timerValues.getCurrentWatermarkInMs()
+        opened = [part for part, (at,) in self.due.iterator() if at <= now]
+        if not opened:
             return
-        events = pd.concat([_unpack_events(v[1]) for _, v in due]).sort_values(["ts", "seq"], kind="stable")
-        for k, _ in due:
-            self.early.removeKey(k)
-        yield from self._work(key, [events])
-
-    def _work(self, key, batches):
-        session = int(key[0])
-        *state, parts = self.counters.get() or (0,) * 5
-        before = [tuple(r) for r in self.ring.get()]
-        engine = Engine(self.capacity, before, *state)
-        for batch in batches:
-            # runs of one kind, and within prefill of one batch
-            run = ((batch["kind"] != batch["kind"].shift()) | (batch["batch_id"] != batch["batch_id"].shift())).cumsum()
-            for _, part in batch.groupby(run, sort=True):
-                kind = part["kind"].iloc[0]
-                if kind == "decode":
-                    engine.decode(_tokens(part))
-                elif kind == "prefill":
-                    parts = self._prefill(engine, int(part["batch_id"].iloc[0]), int(part["batch_size"].iloc[0]), _tokens(part), parts)
-                elif kind == "flush":
-                    engine.drain()
-                elif kind == "reset":
-                    engine.epoch += len(part) - 1
-                    engine.reset()
-                    yield _frame([(session, "reset", engine.epoch, *[None] * 7)])
-                yield from _drained(session, engine)
-        after = engine.ring
-        if after[: len(before)] != before:
-            self.ring.clear()
-            before = []
-        if len(after) > len(before):
-            self.ring.appendList(after[len(before) :]) if before else self.ring.put(after)
-        self.counters.update((engine.total, engine.compressed, engine.chunks, engine.epoch, parts))
-        yield _frame([(session, "count", engine.epoch, None, None, None, None, engine.total, engine.compressed, len(after))])
-
-    def _prefill(self, engine: Engine, number: int, size: int, tokens: list, parts: int) -> int:
+        events = pd.concat([_unpack_events(self.early.getValue(part)[0]) for part in opened], ignore_index=True)
+        for part in opened:
+            self.early.removeKey(part)
+            self.due.removeKey(part)
+        ripe = self._until(events) <= now
+        if not ripe.all():
+            self._keep(events[~ripe], now)
+        yield from self._work(events[ripe], ["session", "ts", "seq"])
+
+    def _work(self, frame, order: list[str]):
+        """Works off events session by session, in this order."""
+        rows, session, engine, parts = [], None, None, 0
+        for number, kind, batch, size, tokens in _runs(frame, order):
+            if number != session:
+                if engine:
+                    rows.append(self._store(session, engine, parts))
+                session, (engine, parts) = number, self._load(number)
+            if kind == "decode":
+                engine.decode(tokens)
+            elif kind == "prefill":
+                parts = self._prefill(session, engine, batch, size, tokens, parts)
+            elif kind == "flush":
+                engine.drain()
+            elif kind == "reset":
+                engine.epoch += len(tokens) - 1
+                engine.reset()
+                rows.append((session, "reset", engine.epoch, *[None] * 7))
+            rows += [(session, "token", engine.epoch, chunk, *token, None, None, None) for chunk, token in engine.drained]
+            engine.drained = []
+            if len(rows) >= ROWS:
+                yield _frame(rows)
+                rows = []
+        if engine:
+            rows.append(self._store(session, engine, parts))
+            yield _frame(rows)
+
+    def _load(self, session: int) -> tuple[Engine, int]:
+        found = self.sessions.getValue((session,))
+        if not found:
+            return Engine(self.capacity), 0
+        *state, parts, seqs, keys, values = found
+        return Engine(self.capacity, zip(seqs, *([None if v is None else bytes(v) for v in c] for c in (keys, values))), *state), parts
+
+    def _store(self, session: int, engine: Engine, parts: int) -> tuple:
+        ring = engine.ring
+        self.sessions.updateValue((session,), (engine.total, engine.compressed, engine.chunks, engine.epoch, parts, *([t[i] for t in ring] for i in range(3))))
+        return session, "count", engine.epoch, None, None, None, None, engine.total, engine.compressed, len(ring)
+
+    def _prefill(self, session: int, engine: Engine, number: int, size: int, tokens: list, parts: int) -> int:
         """Hands a prefill batch to the engine when its last row has come; until then its parts wait."""
-        there, named = self.open.getValue((number,)) or (0, "")
+        there, named = self.open.getValue((session, number)) or (0, "")
         if there + len(tokens) < size:
-            self.waiting.updateValue((parts,), (_pack_tokens(tokens),))
-            self.open.updateValue((number,), (there + len(tokens), f"{named} {parts}"))
+            self.waiting.updateValue((session, parts), (_pack_tokens(tokens),))
+            self.open.updateValue((session, number), (there + len(tokens), f"{named} {parts}"))
             return parts + 1
         for p in map(int, named.split()):
-            tokens = _unpack_tokens(self.waiting.getValue((p,))[0]) + tokens
-            self.waiting.removeKey((p,))
+            tokens = _unpack_tokens(self.waiting.getValue((session, p))[0]) + tokens
+            self.waiting.removeKey((session, p))
         if there:
-            self.open.removeKey((number,))
+            self.open.removeKey((session, number))
         engine.prefill(sorted(tokens, key=lambda t: t[0]))
         return parts
 
@@ -199,6 +234,38 @@ class CaptureProcessor(StatefulProcessor):
         pass
 
 
+def _gathered(frames):
+    """Frames of up to HELD rows and one more batch: what is put in order at once."""
+    import pandas as pd
+
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= HELD:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _runs(frame, order: list[str]):
+    """(session, kind, batch_id, batch_size, tokens) of each run of events of one session and kind, and within prefill of one batch."""
+    import numpy as np
+
+    columns = {c: frame[c].to_numpy().astype("int64") for c in ("session", "seq", "batch_id", "batch_size")}
+    if "ts" in order:
+        columns["ts"] = _milliseconds(frame["ts"]).to_numpy()
+    at = np.lexsort([columns[c] for c in reversed(order)])
+    session, seq, batch, size = (columns[c][at] for c in ("session", "seq", "batch_id", "batch_size"))
+    kind = frame["kind"].to_numpy()[at]
+    tokens = list(zip(seq.tolist(), *(_bytes_of(frame[c].to_numpy()[at]) for c in ("key", "value"))))
+    starts = np.flatnonzero((session[1:] != session[:-1]) | (kind[1:] != kind[:-1]) | (batch[1:] != batch[:-1])) + 1
+    starts = [0, *starts.tolist()] if len(at) else []
+    for start, end in zip(starts, [*starts[1:], len(at)]):
+        yield int(session[start]), kind[start], int(batch[start]), int(size[start]), tokens[start:end]
+
+
 def _milliseconds(times):
     return times.astype("datetime64[ms]").astype("int64")
 
@@ -210,10 +277,6 @@ def _bytes_of(vectors) -> list:
     return [None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors]
 
 
-def _tokens(part) -> list:
-    return list(zip(part["seq"].astype("int64").tolist(), _bytes_of(part["key"]), _bytes_of(part["value"])))
-
-
 def _pack_tokens(tokens: list) -> bytes:
     import pyarrow as pa
 
@@ -228,29 +291,30 @@ def _unpack_tokens(data: bytes) -> list:
 def _pack_events(part) -> bytes:
     import pyarrow as pa
 
-    columns = {c: part[c].tolist() for c in ("kind",)} | {c: part[c].astype("int64").tolist() for c in ("seq", "batch_id", "batch_size")}
+    numbers = {c: part[c].to_numpy().astype("int64") for c in ("session", "seq", "batch_id", "batch_size")}
     vectors = {c: pa.array([None if v is None else v for v in part[c]], pa.list_(pa.float32())) for c in ("key", "value")}
-    return to_bytes(pa.table({"ts": part["ts"].astype("int64").tolist(), **columns, **vectors}))
+    return to_bytes(pa.table({"ts": part["ts"].astype("datetime64[us]").to_numpy(), "kind": part["kind"].tolist(), **numbers, **vectors}))
 
 
 def _unpack_events(data: bytes):
     return from_bytes(data).to_pandas()
 
 
-def _drained(session: int, engine: Engine):
-    import numpy as np
-
-    if engine.drained:
-        vector = lambda b: None if b is None else np.frombuffer(b, "<f4")
-        yield _frame([(session, "token", engine.epoch, chunk, seq, vector(key), vector(value), None, None, None) for chunk, (seq, key, value) in engine.drained])
-        engine.drained = []
-
-
 def _frame(rows: list):
+    import numpy as np
     import pandas as pd
 
+    def column(name, values):
+        if name in ("key", "value"):
+            vectors = np.empty(len(values), object)
+            vectors[:] = [None if v is None else np.frombuffer(v, "<f4") for v in values] if len(values) > 1 else [None]
+            if len(values) == 1 and values[0] is not None:
+                vectors[0] = np.frombuffer(values[0], "<f4")
+            return vectors
+        return list(values) if name == "out" else pd.array(values, dtype="Int64")
+
     names = [x.split()[0] for x in OUTPUT.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("epoch", "chunk_id", "seq", "total", "compressed", "buffered")})
+    return pd.DataFrame({n: column(n, v) for n, v in zip(names, zip(*rows))})
 
 
 def capture_stream(events: DataFrame, capacity: int, bucket_ms: int = 0) -> DataFrame:
@@ -260,7 +324,10 @@ def capture_stream(events: DataFrame, capacity: int, bucket_ms: int = 0) -> Data
     they wait in the state until the watermark has passed their time, in steps of bucket_ms. What is later than the watermark
     is dropped, as Spark does with late rows.
     """
-    return events.groupBy("session").transformWithStateInPandas(
+    of_batch = [F.when(F.col("kind") == "prefill", F.col(c)).otherwise(0).alias(c) for c in ("batch_id", "batch_size")]
+    more = ["ts"] if bucket_ms else []
+    bucket = F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).alias("bucket")
+    return events.select(bucket, "session", "seq", "kind", *of_batch, "key", "value", *more).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=CaptureProcessor(capacity, bucket_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if bucket_ms else "None"
     )
 
@@ -268,7 +335,9 @@ def capture_stream(events: DataFrame, capacity: int, bucket_ms: int = 0) -> Data
 def recent(spark: SparkSession, checkpoint: str, spec: KvSpec) -> DataFrame:
     """(session, token_idx, kv_head, key, value): the tokens that are in the buffers now, read from the state of a stream's
     checkpoint."""
-    ring = spark.read.format("statestore").option("stateVarName", "ring").load(checkpoint)
+    rows = spark.read.format("statestore").option("stateVarName", "sessions").load(checkpoint)
+    held = F.explode(F.arrays_zip("user_map_value.seqs", "user_map_value.keys", "user_map_value.values")).alias("t")
+    ring = rows.select(F.col("user_map_key.session").alias("session"), held)
     d = spec.head_dim
 
     @F.arrow_udf("array<float>")
@@ -283,7 +352,7 @@ def recent(spark: SparkSession, checkpoint: str, spec: KvSpec) -> DataFrame:
         at = np.where(ok, np.cumsum(ok) - 1, 0)
         return full.take(pa.array(at, mask=~np.asarray(ok))) if len(full) else pa.nulls(len(column), pa.list_(pa.float32()))
 
-    heads = ring.select("key.session", F.col("list_element.seq").alias("token_idx"), *[vector(F.col(f"list_element.{c}")).alias(c) for c in ("key", "value")])
+    heads = ring.select("session", F.col("t.seqs").alias("token_idx"), vector(F.col("t.keys")).alias("key"), vector(F.col("t.values")).alias("value"))
     heads = heads.withColumn("kv_head", F.explode(F.sequence(F.lit(0), F.lit(spec.num_kv_heads - 1))))
     return heads.select("session", "token_idx", "kv_head", *[F.slice(c, F.col("kv_head") * d + 1, d).alias(c) for c in ("key", "value")])
 
