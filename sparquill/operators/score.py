@@ -1,8 +1,8 @@
 """Inner products estimated on the codes. Queries are rotated and sketched once; keys are never rotated back.
 
-Queries of up to BLOCK_BYTES travel to every task, one pass over the keys. More of them, and queries that only meet the keys of
-their own group, are met in blocks on executors (`blocks.block_pairs`): the driver then sees no query, a task holds one block
-of either side, and only pairs that are asked for are scored.
+Queries of up to BLOCK_BYTES travel to every task, one pass over the keys, which are dealt over tasks by the scores to make.
+More of them, and queries that only meet the keys of their own group, are met in blocks on executors (`blocks.block_pairs`): the
+driver then sees no query, a task holds one block of either side, and only pairs that are asked for are scored.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .blocks import block_pairs, from_bytes, to_bytes
 BLOCK_BYTES = 32 << 20
 #: Score rows that a task makes at once.
 ROWS = 1 << 16
+#: Scores of a task in all, where queries travel to every task; with `top`, which leaves a task few rows, more of them.
+TASK_ROWS, TOP_ROWS = 1 << 22, 1 << 26
 #: Queries and keys of a block.
 BLOCK_QUERIES, BLOCK_KEYS = 512, 4096
 
@@ -68,6 +70,7 @@ def attention_score(
     limit = BLOCK_BYTES // (2 * 8 * spec.dim)
     if not group and queries.limit(limit + 1).count() <= limit:
         table, x = _query_parts(queries.toArrow(), q, spec.dim)
+        keys = _dealt(keys, table.num_rows, TASK_ROWS if top is None else TOP_ROWS)
         shared = keys.sparkSession.sparkContext.broadcast((to_bytes(table), *prod_query(x, spec), *([x] if exact else [])))
 
         def blocks(batches):
@@ -98,6 +101,12 @@ def attention_score(
     return pairs.mapInArrow(_scores(blocks, held, [f.name for f in kept], top, slack, exact), schema)
 
 
+def _dealt(keys: DataFrame, n_queries: int, most: int) -> DataFrame:
+    """keys over so many tasks that each makes about `most` scores: a file that one task reads may hold all of them."""
+    tasks = -(-keys.count() * n_queries // most)
+    return keys.repartition(tasks) if tasks > 1 else keys
+
+
 def _scores(blocks, constants, kept: list[str], top: int | None, slack: float, exact: str | None):
     """Rows of scores of (names of queries, prepared queries, batch of keys), ROWS at a time. Rows come key by key, so that a file
     of them says each key once and the queries as one repeated sequence."""
