@@ -6,6 +6,9 @@ of its rows have come. Rows follow seq within an Arrow batch, and arrival across
 is worked off before the next is taken, so a session's events are never held all at once. A source limit
 (maxFilesPerTrigger) bounds what a micro-batch brings.
 
+Events travel to the operator as blocks of a bucket's events, one binary value each, and what it gives travels on as such, so that
+Spark hands over a row for each block and not for each event.
+
 Output rows: out "token" for each drained token (session, epoch, chunk_id, seq, key, value), "reset" for a reset with the epoch
 that it begins, whose chunks are numbered from 0 again, and "count" with a session's totals whenever its events have been worked off.
 """
@@ -28,8 +31,11 @@ OUTPUT = (
 SESSION_STATE = "total long, compressed long, chunks long, epoch long, parts long, seqs array<long>, keys array<binary>, values array<binary>"
 #: Sessions are dealt into so many groups of state. Part of a checkpoint: a stream goes on with the number that it began with.
 BUCKETS = 1024
-#: Events of a bucket that are put in order at once, and rows of a frame that goes out.
+#: Events of a bucket that are put in order at once, and rows of a block that goes out.
 HELD, ROWS = 1 << 16, 1 << 13
+#: Bytes of events that a task deals over buckets at once.
+DEALT_BYTES = 32 << 20
+NUMBERS = ("session", "seq", "batch_id", "batch_size")
 
 
 class Ring:
@@ -134,10 +140,11 @@ class CaptureProcessor(StatefulProcessor):
             self.early = handle.getMapState("early", "part long", "events binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        for frame in _gathered(rows):
-            if self.bucket_ms:
+        if self.bucket_ms:
+            for frame in _gathered(rows):
                 self._keep(frame, timerValues.getCurrentWatermarkInMs())
-            else:
+        else:
+            for frame in _gathered(_unpack_events(data) for blocks in rows for data in blocks["events"]):
                 yield from self._work(frame, ["session", "seq"])
 
     def _until(self, frame):
@@ -178,30 +185,32 @@ class CaptureProcessor(StatefulProcessor):
 
     def _work(self, frame, order: list[str]):
         """Works off events session by session, in this order."""
-        rows, session, engine, parts = [], None, None, 0
-        for number, kind, batch, size, tokens in _runs(frame, order):
+        tokens, rest, session, engine, parts = [], [], None, None, 0
+        for number, kind, batch, size, events in _runs(frame, order):
             if number != session:
                 if engine:
-                    rows.append(self._store(session, engine, parts))
+                    rest.append(self._store(session, engine, parts))
                 session, (engine, parts) = number, self._load(number)
             if kind == "decode":
-                engine.decode(tokens)
+                engine.decode(events)
             elif kind == "prefill":
-                parts = self._prefill(session, engine, batch, size, tokens, parts)
+                parts = self._prefill(session, engine, batch, size, events, parts)
             elif kind == "flush":
                 engine.drain()
             elif kind == "reset":
-                engine.epoch += len(tokens) - 1
+                engine.epoch += len(events) - 1
                 engine.reset()
-                rows.append((session, "reset", engine.epoch, *[None] * 7))
-            rows += [(session, "token", engine.epoch, chunk, *token, None, None, None) for chunk, token in engine.drained]
+                rest.append((session, "reset", engine.epoch, *[None] * 7))
+            tokens += [(session, "token", engine.epoch, chunk, *token, None, None, None) for chunk, token in engine.drained]
             engine.drained = []
-            if len(rows) >= ROWS:
-                yield _frame(rows)
-                rows = []
+            if len(tokens) >= ROWS:
+                yield _block(tokens)
+                tokens = []
         if engine:
-            rows.append(self._store(session, engine, parts))
-            yield _frame(rows)
+            rest.append(self._store(session, engine, parts))
+        for rows in (tokens, rest):
+            if rows:
+                yield _block(rows)
 
     def _load(self, session: int) -> tuple[Engine, int]:
         found = self.sessions.getValue((session,))
@@ -271,10 +280,10 @@ def _milliseconds(times):
 
 
 def _bytes_of(vectors) -> list:
-    """Vectors as little-endian single-precision bytes."""
+    """Vectors as little-endian single-precision bytes, which they may already be."""
     import numpy as np
 
-    return [None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors]
+    return [v if v is None or isinstance(v, bytes) else np.asarray(v, "<f4").tobytes() for v in vectors]
 
 
 def _pack_tokens(tokens: list) -> bytes:
@@ -291,8 +300,8 @@ def _unpack_tokens(data: bytes) -> list:
 def _pack_events(part) -> bytes:
     import pyarrow as pa
 
-    numbers = {c: part[c].to_numpy().astype("int64") for c in ("session", "seq", "batch_id", "batch_size")}
-    vectors = {c: pa.array([None if v is None else v for v in part[c]], pa.list_(pa.float32())) for c in ("key", "value")}
+    numbers = {c: part[c].to_numpy().astype("int64") for c in NUMBERS}
+    vectors = {c: pa.array(_bytes_of(part[c]), pa.binary()) for c in ("key", "value")}
     return to_bytes(pa.table({"ts": part["ts"].astype("datetime64[us]").to_numpy(), "kind": part["kind"].tolist(), **numbers, **vectors}))
 
 
@@ -300,21 +309,100 @@ def _unpack_events(data: bytes):
     return from_bytes(data).to_pandas()
 
 
-def _frame(rows: list):
+def _as_bytes(column):
+    """An Arrow list column of single-precision vectors as a binary one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pa.concat_arrays([column, column.slice(0, 0)])  # of its own, without an offset
+    values = pc.fill_null(column.values, float("nan")).cast(pa.float32())
+    ends = np.asarray(column.offsets).astype(np.int32) * np.int32(4)
+    valid = None if not column.null_count else pa.array(np.packbits(np.asarray(column.is_valid()), bitorder="little")).buffers()[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(column), [valid, pa.py_buffer(ends), pa.py_buffer(np.asarray(values, "<f4"))])
+
+
+def _as_vectors(column):
+    """The other way round."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ok = np.asarray(column.is_valid())
+    x = np.frombuffer(b"".join(column.filter(pa.array(ok)).to_pylist()), "<f4")
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64) // 4
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~ok, False)), pa.array(x, pa.float32()))
+
+
+def _dealt(batches):
+    """(bucket, events): the events of a task as blocks of one bucket, in order of arrival."""
     import numpy as np
+    import pyarrow as pa
+
+    def blocks(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        bucket = np.asarray(table.column("bucket"))
+        at = np.argsort(bucket, kind="stable")
+        bucket, table = bucket[at], table.drop_columns(["bucket"]).take(pa.array(at)).combine_chunks()
+        for i, name in enumerate(table.column_names):
+            if name in ("key", "value") and table.num_rows:
+                table = table.set_column(i, name, _as_bytes(table.column(i).chunk(0)))
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        data = [to_bytes(table.slice(a, b - a)) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(data, pa.binary())], names=["bucket", "events"])
+
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= HELD or size >= DEALT_BYTES:
+            yield blocks(held)
+            held, rows, size = [], 0, 0
+    if rows:
+        yield blocks(held)
+
+
+def _block(rows: list):
+    """A row (out, rows) of the operator: rows of OUTPUT with vectors as bytes, all of them tokens or none."""
     import pandas as pd
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    names = [x.split() for x in OUTPUT.split(", ")]
+    table = pa.table({n: pa.array(v, kinds.get(t, pa.binary())) for (n, t), v in zip(names, zip(*rows))})
+    return pd.DataFrame({"out": ["token" if rows[0][1] == "token" else "rest"], "rows": [to_bytes(table)]})
 
-    def column(name, values):
-        if name in ("key", "value"):
-            vectors = np.empty(len(values), object)
-            vectors[:] = [None if v is None else np.frombuffer(v, "<f4") for v in values] if len(values) > 1 else [None]
-            if len(values) == 1 and values[0] is not None:
-                vectors[0] = np.frombuffer(values[0], "<f4")
-            return vectors
-        return list(values) if name == "out" else pd.array(values, dtype="Int64")
 
-    names = [x.split()[0] for x in OUTPUT.split(", ")]
-    return pd.DataFrame({n: column(n, v) for n, v in zip(names, zip(*rows))})
+def _rows(blocks: DataFrame) -> DataFrame:
+    """The OUTPUT rows of blocks of the operator."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(0):
+                table = from_bytes(data.as_buffer())
+                for i, name in enumerate(table.column_names):
+                    if name in ("key", "value"):
+                        table = table.set_column(i, name, _as_vectors(table.column(i).chunk(0)))
+                yield from table.to_batches()
+
+    return blocks.select("rows").mapInArrow(run, OUTPUT)
+
+
+def _captured(events: DataFrame, capacity: int, bucket_ms: int = 0) -> DataFrame:
+    """(out, rows): what `capture_stream` gives, in blocks."""
+    of_batch = [F.when(F.col("kind") == "prefill", F.col(c)).otherwise(0).alias(c) for c in ("batch_id", "batch_size")]
+    bucket = F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).alias("bucket")
+    if bucket_ms:  # a row for each event, as Spark drops late ones row by row
+        as_bytes = F.arrow_udf(lambda column: _as_bytes(column), "binary")  # noqa: PLW0108
+        dealt = events.select(bucket, "session", "seq", "kind", *of_batch, *[as_bytes(c).alias(c) for c in ("key", "value")], "ts")
+    else:
+        dealt = events.select(bucket, "session", "seq", "kind", *of_batch, "key", "value").mapInArrow(_dealt, "bucket long, events binary")
+    return dealt.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=CaptureProcessor(capacity, bucket_ms), outputStructType="out string, rows binary", outputMode="Append", timeMode="EventTime" if bucket_ms else "None"
+    )
 
 
 def capture_stream(events: DataFrame, capacity: int, bucket_ms: int = 0) -> DataFrame:
@@ -324,12 +412,7 @@ def capture_stream(events: DataFrame, capacity: int, bucket_ms: int = 0) -> Data
     they wait in the state until the watermark has passed their time, in steps of bucket_ms. What is later than the watermark
     is dropped, as Spark does with late rows.
     """
-    of_batch = [F.when(F.col("kind") == "prefill", F.col(c)).otherwise(0).alias(c) for c in ("batch_id", "batch_size")]
-    more = ["ts"] if bucket_ms else []
-    bucket = F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).alias("bucket")
-    return events.select(bucket, "session", "seq", "kind", *of_batch, "key", "value", *more).groupBy("bucket").transformWithStateInPandas(
-        statefulProcessor=CaptureProcessor(capacity, bucket_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime" if bucket_ms else "None"
-    )
+    return _rows(_captured(events, capacity, bucket_ms))
 
 
 def recent(spark: SparkSession, checkpoint: str, spec: KvSpec) -> DataFrame:
@@ -340,18 +423,7 @@ def recent(spark: SparkSession, checkpoint: str, spec: KvSpec) -> DataFrame:
     ring = rows.select(F.col("user_map_key.session").alias("session"), held)
     d = spec.head_dim
 
-    @F.arrow_udf("array<float>")
-    def vector(column):
-        import numpy as np
-        import pyarrow as pa
-
-        ok = column.is_valid()
-        x = np.frombuffer(b"".join(column.filter(ok).to_pylist()), "<f4")
-        size = len(x) // max(1, len(column) - column.null_count)
-        full = pa.ListArray.from_arrays(pa.array(np.arange(len(x) // max(1, size) + 1, dtype=np.int32) * size), pa.array(x))
-        at = np.where(ok, np.cumsum(ok) - 1, 0)
-        return full.take(pa.array(at, mask=~np.asarray(ok))) if len(full) else pa.nulls(len(column), pa.list_(pa.float32()))
-
+    vector = F.arrow_udf(lambda column: _as_vectors(column), "array<float>")  # noqa: PLW0108
     heads = ring.select("session", F.col("t.seqs").alias("token_idx"), vector(F.col("t.keys")).alias("key"), vector(F.col("t.values")).alias("value"))
     heads = heads.withColumn("kv_head", F.explode(F.sequence(F.lit(0), F.lit(spec.num_kv_heads - 1))))
     return heads.select("session", "token_idx", "kv_head", *[F.slice(c, F.col("kv_head") * d + 1, d).alias(c) for c in ("key", "value")])
@@ -379,16 +451,17 @@ def run_available(events: DataFrame, history: History, counts_to: str, checkpoin
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
-        history.append(by_head(batch, spec), f"stream-{number}")
-        history.append_resets(batch.where("out = 'reset'").select("session", "epoch"), f"stream-{number}")
-        counts = batch.where("out = 'count'").select("session", F.lit(number).alias("micro_batch"), "epoch", "total", "compressed", "buffered")
+        tokens, rest = (_rows(batch.where(F.col("out") == out)) for out in ("token", "rest"))
+        history.append(by_head(tokens, spec), f"stream-{number}")
+        history.append_resets(rest.where("out = 'reset'").select("session", "epoch"), f"stream-{number}")
+        counts = rest.where("out = 'count'").select("session", F.lit(number).alias("micro_batch"), "epoch", "total", "compressed", "buffered")
         counts.write.mode("overwrite").parquet(f"{counts_to.rstrip('/')}/batch={number}")
         batch.unpersist()
 
     before = spark.conf.get(STATE_STORE[0], None)
     spark.conf.set(*STATE_STORE)
     try:
-        stream = capture_stream(events, spec.ring_capacity, bucket_ms).writeStream.foreachBatch(each)
+        stream = _captured(events, spec.ring_capacity, bucket_ms).writeStream.foreachBatch(each)
         stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
