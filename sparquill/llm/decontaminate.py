@@ -99,6 +99,12 @@ def prefixes(of_items: DataFrame, similarity: float) -> DataFrame:
 @tidy
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, radius: int = RADIUS, ways: str = "both") -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words, n_windows) of every contaminated document: its best window."""
+    found = _found(docs, benchmark, n, similarity, radius, ways)
+    return found.drop("by_fingerprints")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: float = SIMILARITY, radius: int = RADIUS, ways: str = "both") -> DataFrame:
+    """The rows of `find`, and whether a window's fingerprint leads to the item: what the fingerprints alone would find."""
     if ways not in ("both", "fingerprints", "anchors"):
         raise ValueError(f"no way {ways!r}")
     item_grams = stash(items(benchmark, n).groupBy("item_id", "n_words", "k", "gram").agg(F.count("*").alias("c"), F.collect_list("off").alias("offs")))
@@ -160,19 +166,21 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, similarity: flo
         pairs.join(window_fp.select("wid", F.col("weight").alias("wa")), "wid")
         .join(small(of_item), F.expr("item_id <=> of")).select("wid", "item_id", "wa", "wb")
     )
-    candidates = stash({"fingerprints": near, "anchors": anchored, "both": near.union(anchored)}[ways].distinct())
+    near, anchored = (c.withColumn("met", F.lit(met)) for c, met in ((near, True), (anchored, False)))
+    candidates = {"fingerprints": near, "anchors": anchored, "both": near.union(anchored)}[ways]
+    candidates = stash(candidates.groupBy("wid", "item_id", "wa", "wb").agg(F.max("met").alias("met")))
     shared = (
         candidates.join(in_windows, "wid").alias("x")
         .join(small(of_items.select(F.col("item_id").alias("of"), F.col("gram").alias("g"), F.col("c").alias("ci"))), F.expr("item_id <=> of and gram = g"))
-        .groupBy("wid", "item_id", "wa", "wb").agg(F.sum(F.least("c", "ci") * F.col("w")).alias("both"))
+        .groupBy("wid", "item_id", "wa", "wb", "met").agg(F.sum(F.least("c", "ci") * F.col("w")).alias("both"))
         .withColumn("similarity", F.col("both") / (F.col("wa") + F.col("wb") - F.col("both")))
         .where(F.col("similarity") >= similarity)
     )
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), "len")).alias("b")
     return (
         shared.join(named.select("wid", "doc_id", "start", "len"), "wid")
-        .groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_windows"))
-        .select("doc_id", "item_id", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.len").cast("long").alias("n_words"), "n_windows")
+        .groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_windows"), F.max("met").alias("by_fingerprints"))
+        .select("doc_id", "item_id", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.len").cast("long").alias("n_words"), "n_windows", "by_fingerprints")
     )
 
 
@@ -193,12 +201,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 def recall(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(n_words, n_pairs, n_by_fingerprints): contaminated pairs by the number of the item's words, and how many of them the
     fingerprints alone find."""
-    key = ["doc_id", "item_id"]
-    every, near = stash(find(docs, benchmark, **options).select(*key)), stash(find(docs, benchmark, ways="fingerprints", **options).select(*key))
-    sizes = benchmark.select("item_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).dropDuplicates(["item_id"])
-    e, f, z = every.alias("e"), near.withColumn("met", F.lit(1)).alias("f"), sizes.alias("z")
-    both = e.join(f, F.expr("e.doc_id <=> f.doc_id and e.item_id <=> f.item_id"), "left").join(z, F.expr("e.item_id <=> z.item_id"))
-    return both.groupBy("z.n_words").agg(F.count("*").alias("n_pairs"), F.count("met").alias("n_by_fingerprints"))
+    every = stash(_found(docs, benchmark, **options).select("item_id", "by_fingerprints")).alias("e")
+    sizes = benchmark.select("item_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).dropDuplicates(["item_id"]).alias("z")
+    sized = every.join(sizes, F.expr("e.item_id <=> z.item_id"))
+    return sized.groupBy("z.n_words").agg(F.count("*").alias("n_pairs"), F.count_if("by_fingerprints").alias("n_by_fingerprints"))
 
 
 def decontamination_recall(spark, sf_dir: str) -> DataFrame:
