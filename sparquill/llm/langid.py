@@ -92,19 +92,28 @@ class Network:
         h = self.h
         state = np.zeros((x.shape[1], h), np.float32) if state is None else state
         states = np.empty((*x.shape, h), np.float32)
+        # a sigmoid is a hyperbolic tangent of half the sum; halves are exact, so they are taken once, of the weights
+        table_, u = table_.copy(), u.copy()
+        table_[:, : 2 * h] *= np.float32(0.5)
+        u[:, : 2 * h] *= np.float32(0.5)
         for t in range(len(x)):
-            inp, rec = table_[x[t]], state @ u
-            gates = np.tanh((inp[:, : 2 * h] + rec[:, : 2 * h]) * np.float32(0.5))
+            inp, rec = table_.take(x[t], 0), state @ u
+            gates = inp[:, : 2 * h] + rec[:, : 2 * h]
+            np.tanh(gates, out=gates)
             gates *= np.float32(0.5)
             gates += np.float32(0.5)  # update, reset
             z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(inp[:, 2 * h :] + r * rec[:, 2 * h :])
+            new = r * rec[:, 2 * h :]
+            new += inp[:, 2 * h :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((state, z, r, new, rec[:, 2 * h :]))
-            state = new + z * (state - new)
+            now = np.subtract(state, new, out=states[t])
+            now *= z
+            now += new
             if mask is not None:
-                state *= mask[t][:, None]
-            states[t] = state
+                now *= mask[t][:, None]
+            state = now
         return states
 
     def probabilities(self, texts: list[bytes]):

@@ -421,3 +421,23 @@ def test_plan_is_shortest_pack_first():
             for i in range(hi - lo):
                 filled[sequence + i] += length
         assert sorted(size - v for v in filled.values()) == sorted(rooms) and pieces == histogram
+
+
+def test_states_equal_the_plain_formula_bit_for_bit():
+    """op6: halving the weights once and working in place change no bit of what the network says."""
+    import numpy as np
+
+    net = langid.Network(3)
+    x = np.random.default_rng(5).integers(0, 256, (30, 7)).astype(np.uint8)
+    before = [w.copy() for w in net.w]
+    table, u, h, half = net.w[0], net.w[1], net.h, np.float32(0.5)
+    state, want = np.zeros((7, h), np.float32), []
+    for row in x:
+        inp, rec = table[row], state @ u
+        gates = np.tanh((inp[:, : 2 * h] + rec[:, : 2 * h]) * half) * half + half
+        z, r = gates[:, :h], gates[:, h:]
+        new = np.tanh(inp[:, 2 * h :] + r * rec[:, 2 * h :])
+        state = new + z * (state - new)
+        want.append(state)
+    assert (net._run(x, None, table, u) == np.array(want)).all()
+    assert all((a == b).all() for a, b in zip(net.w, before))
