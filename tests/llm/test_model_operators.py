@@ -1,4 +1,5 @@
 import math
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparquill.llm import ctw, hilbert, langid, packing, preference, queries, simple8b
+from sparquill.llm import _tokens, ctw, hilbert, langid, packing, preference, queries, simple8b
 from sparquill.llm._tokens import default_path
 
 pytestmark = pytest.mark.filterwarnings("ignore")
@@ -96,6 +97,21 @@ def test_simple8b_blocks_stand_alone():
     assert (part == ids[3 * simple8b.BLOCK : 4 * simple8b.BLOCK]).all()
 
 
+def test_plain_texts_take_no_word_to_the_library(tokenizer, monkeypatch):
+    """op8, op7: a plain text's pieces go to the model alone, with the ids that the library gives for the whole text."""
+    encode = _tokens.encoder(_tokens.default_path())
+    rng = random.Random(3)
+    odd = ["a", "zz", "ß", "ÿ", "À", "é", "Þ", "1", "29", "'", "'s", "'LL", "!", ".", "***", "\\", "^", "[", "~", "-", " ", "\n", "The", "é9é"]
+    more = ["×", "÷", "ª", "µ", "İ", "ﬁ", "e\u0301", "€", "漢", "²", "\x00", "\x1c", "\x7f", "\xa0", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    plain = ["".join(rng.choices(odd, k=rng.randint(1, 12))) for _ in range(600)]
+    mixed = ["".join(rng.choices(odd + more, k=rng.randint(1, 12))) for _ in range(600)]
+    for text in plain + mixed:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encode(text.encode()), "<u4").tolist() == [*want, _tokens.END_ID], text
+    monkeypatch.setattr(_tokens._WordIds, "made", None)
+    assert all(len(encode(f"{text} new{i}x".encode())) > 4 for i, text in enumerate(plain))
+
+
 def expected_files(docs, tokenizer):
     out, start = [], 0
     for d, t in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, (x[1] is not None, (x[1] or "").encode()))):
