@@ -6,8 +6,8 @@ share a token within their prefixes of that order. Candidates meet on prefix tok
 filters, are made distinct and verified once by the exact Jaccard similarity. A line is removed when an earlier line (by
 doc_id, then place in the text) has the same tokens or similar ones.
 
-Lines with equal tokens are a class, named by two hashes (the tokens, and the set of words), of which the first stands for
-all. A class first meets two leaders of each of its tokens, the earliest class and the one where the token stands first;
+Lines with equal tokens are a class, named by two hashes of the tokens (where there is but one, of the tokens and of the words),
+of which the first stands for all. A class first meets two leaders of each of its tokens, the earliest class and the one where the token stands first;
 only classes without an earlier match then meet the other earlier ones. So a group of near copies costs a pair per member
 and not its square, and no match is lost. Tables are written before a join on a class or token, so that the join stands
 alone in its stage and a hot class or token is split among tasks (adaptive skew join). Tables that grow with the corpus are
@@ -73,13 +73,17 @@ def _with_tokens(lines: DataFrame, classes: list[int]) -> DataFrame:
 
     def token(x, i):
         shingle = F.xxhash64(x, *[F.get("_h", i + j) for j in range(1, N_GRAM)])
-        return F.shiftleft(F.get(rarity, _bin(x)).cast("long"), 56).bitwiseOR(shingle.bitwiseAND(bits))
+        found = F.shiftleft(F.get(rarity, _bin(x)).cast("long"), 56).bitwiseOR(shingle.bitwiseAND(bits))
+        return F.coalesce(found, F.lit(0).cast("long"))  # never null, and known to be so: longs without nulls are sorted as they are
 
     shingles = F.sort_array(F.array_distinct(F.transform(F.slice("_h", F.lit(1), F.greatest(n - (N_GRAM - 1), F.lit(0))), token)))
     whole = F.array(F.xxhash64(n, "_h").bitwiseAND(bits))
     tokened = fence(hashed.withColumn("tokens", F.when(n >= N_GRAM, shingles).otherwise(whole)))
-    # equal token sets have equal word sets, so the second hash splits no class and makes an accidental meeting of the first harmless
-    return tokened.withColumn("k1", F.xxhash64("tokens")).withColumn("k2", F.xxhash64(F.sort_array(F.array_distinct("_h")))).drop("_h")
+    # another hash of the tokens makes an accidental meeting of the first harmless. A token alone stands for the line's first words, whose own
+    # hashes also tell apart what meets in its 56 bits
+    of_words = F.xxhash64(F.lit(1), F.slice("_h", F.lit(1), F.lit(N_GRAM)))
+    k2 = F.when(F.size("tokens") == 1, of_words).otherwise(F.xxhash64(F.lit(1), "tokens"))
+    return tokened.withColumn("k1", F.xxhash64("tokens")).withColumn("k2", k2).drop("_h")
 
 
 def _ceil_div(a: Column, b: int) -> Column:
@@ -150,13 +154,14 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     key, ord_ = F.struct("k1", "k2").alias("key"), F.struct("doc_id", "tk", "line_no")
     firsts = stash(lines.groupBy("k1", "k2").agg(F.min(ord_).alias("ord"), F.count("*").alias("copies")).select(key, "ord", "copies"))
     tokens = lines.where("prefix is not null").select("k1", "k2", "n", F.posexplode("prefix").alias("pos", "token"))
-    met = tokens.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("token")
+    # written, so that what is shuffled for it is gone before all tokens are shuffled once more
+    met = stash(tokens.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("token"))
     shared = stash(tokens.join(met.hint("merge"), "token").select("token", key, "n", "pos").distinct())  # tokens of two classes at least
     in_reach = stash(firsts.join(shared.select("key").distinct(), "key", "left_semi").select("key", "ord"))
     sets = stash(_sets(docs, in_reach, classes))
     facts = in_reach.join(sets.select("key", *_bitmap(F.col("tokens"))), "key")
     placed = stash(shared.join(facts, "key"))
-    discard(shared), discard(in_reach)
+    discard(met), discard(shared), discard(in_reach)
 
     names = ("ord", "key", "n", "pos", *(f"b{i}" for i in range(BITMAP)))
     leaders = placed.groupBy("token").agg(F.min(F.struct(*names)).alias("early"), F.min(F.struct("pos", *[c for c in names if c != "pos"])).alias("front"))

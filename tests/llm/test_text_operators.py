@@ -151,6 +151,19 @@ def test_line_dedup_equals_brute_force_on_the_tables(spark, sf_dir):
     check_lines([(r["doc_id"], r["text"]) for r in docs.collect() if r["text"]], linededup.matches(docs).collect())
 
 
+def test_line_tokens_are_longs_that_sort_as_they_are(spark):
+    """op10: a set of tokens is known to hold no null; classes are named by it, and by the first words where a token is alone."""
+    lines = ["a b c d e", "a b c d e f", "A b c d e", "w w w w w", "w w w w w w w", "w w w w", "a  b\tc d e", "x y z", "a b c d e f a b c d e f", "b c d e f a b c d e f a b c d e f"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    found = linededup._with_tokens(rows, [1] * linededup.BINS)
+    assert not found.schema["tokens"].dataType.containsNull
+    got = {r["id"]: r for r in found.collect()}
+    assert len(got) == len(lines) and all(list(r["tokens"]) == sorted(set(r["tokens"])) for r in got.values())
+    same = {(i, j) for i in got for j in got if i < j and got[i]["tokens"] == got[j]["tokens"]}
+    assert same == {(i, j) for i in got for j in got if i < j and (got[i]["k1"], got[i]["k2"]) == (got[j]["k1"], got[j]["k2"])}
+    assert {(0, 6), (3, 4)} <= same and (3, 5) not in same and got[0]["k2"] != got[2]["k2"]
+
+
 def test_line_dedup_removes_short_boilerplate(spark):
     rows = [(i, f"unique words number {i} {i * i}\nAll rights reserved.\nShare this") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
