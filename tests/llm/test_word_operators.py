@@ -357,3 +357,22 @@ def test_repair_in_small_blocks(spark):
 def test_repair_of_nothing(spark):
     none = spark.createDataFrame([], "conv_id string, turn int, role string, text string")
     assert repair.report(none).count() == 0 and repair.repaired(none).count() == 0 and repair.damaged(none).count() == 0
+
+
+def test_bpe_cuts_and_merges_like_the_plain_ways():
+    """Ranges of characters cut as the pattern's classes do; merging words together is merging each."""
+    import regex
+
+    rng = random.Random(5)
+    common = [chr(i) for i in range(bpe.COMMON)]
+    cut, plain = bpe._common_cut(), regex.compile(bpe.PATTERN).findall
+    for _ in range(2000):
+        some = "".join(rng.choices([*common, *" \n\t's 'll a9²_\x1c\x85\xa0" * 8], k=rng.randint(0, 30)))
+        assert cut(some) == plain(some)
+    v = bpe.vocabulary(bpe.default_path())
+    ranked = dict(zip(v.keys.tolist(), zip(v.ranks.tolist(), v.news.tolist())))
+    words = [bytes(rng.choices(b"aeinorst hlABC\xc3\xa9\x00\xff", k=rng.randint(1, bpe.SHORT))) for _ in range(500)] + [b"a" * n for n in range(1, bpe.SHORT + 1)]
+    want = [bpe.merge(v, v.byte_ids[list(w)].tolist(), ranked) for w in words]
+    found = bpe.merge_together(v, words)
+    assert [[int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)] for x in found] == want
+    assert bpe.merge_together(v, [b"e"]) == [int(v.byte_ids[101]).to_bytes(4, "little")]
