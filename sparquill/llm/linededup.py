@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join of lines.
 
 A line's tokens are its five-word shingles, as hashes; a line of one to four words is one token of all its words. Tokens
-are ordered by rarity, estimated from the corpus frequency of a shingle's first word, then by hash; lines of similarity t
+are ordered by rarity, estimated from the corpus frequency of a shingle's last word, then by hash; lines of similarity t
 share a token within their prefixes of that order. Candidates meet on prefix tokens, pass length, positional and bitmap
 filters, are made distinct and verified once by the exact Jaccard similarity. A line is removed when an earlier line (by
 doc_id, then place in the text) has the same tokens or similar ones.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._common import discard, fence, stash, table, tidy
 
-N_GRAM = 5
+N_GRAM = 5  # `_with_tokens` makes it of two pairs and a word
 THRESHOLD = 80  # per cent
 #: Bins of the word-frequency table; each holds a class of one byte.
 BINS = 1 << 13
@@ -36,11 +36,18 @@ BINS = 1 << 13
 BITMAP = 4
 
 
-def _words(line: Column) -> Column:
-    """Words of a line; the rarer separators are first turned into spaces, where there are any."""
+def _spaced(line: Column) -> Column:
+    """A line or text with its rarer separators turned into spaces, where there are any."""
     odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
-    spaced = F.when(odd, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.when(odd, F.translate(line, "\t\r\x0b\x0c", "    ")).otherwise(line)
+
+
+def _words(line: Column) -> Column:
+    """Words of a line; empty ones are only looked for where spaces meet or stand at an end."""
+    spaced = _spaced(line)
+    split = F.split(spaced, " ")
+    loose = (spaced == "") | F.startswith(spaced, F.lit(" ")) | F.endswith(spaced, F.lit(" ")) | F.contains(spaced, F.lit("  "))
+    return F.when(loose, F.array_remove(split, "")).otherwise(split)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -55,7 +62,8 @@ def _bin(hashed: Column) -> Column:
 
 def word_classes(docs: DataFrame) -> list[int]:
     """A number for each hash bin of words: 1 to 127, growing with the logarithm of the bin's count over all texts."""
-    words = _lines(docs).select(F.explode_outer(_words(F.col("line"))).alias("w"))
+    lines = docs.select(F.explode(F.split(_spaced(F.col("text")), "\n")).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).where("w != ''")
     found = [1] * BINS
     for r in words.groupBy(_bin(F.xxhash64("w")).alias("bin")).agg(F.count("w").alias("n")).collect():  # BINS rows at most
         found[r["bin"]] = min(127, 1 + int(r["n"]).bit_length() * 3)
@@ -67,18 +75,25 @@ def _with_tokens(lines: DataFrame, classes: list[int]) -> DataFrame:
     class is the top byte, a hash the rest. Lines without a word go."""
     worded = fence(lines.withColumn("_w", _words(F.col("line"))).drop("line"))
     hashed = fence(worded.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).drop("_w")).where(F.size("_h") > 0)
-    rarity = F.expr(f"array({','.join(f'{c}Y' for c in classes)})")
+    rarity = F.expr(f"array({','.join(f'{c << 56}L' for c in classes)})")
     bits = F.lit((1 << 56) - 1)
     n = F.size("_h")
 
-    def token(x, i):
-        shingle = F.xxhash64(x, *[F.get("_h", i + j) for j in range(1, N_GRAM)])
-        found = F.shiftleft(F.get(rarity, _bin(x)).cast("long"), 56).bitwiseOR(shingle.bitwiseAND(bits))
+    def token(four, last):
+        found = F.shiftrightunsigned(F.xxhash64(four, last), 8).bitwiseOR(F.get(rarity, _bin(last)))
         return F.coalesce(found, F.lit(0).cast("long"))  # never null, and known to be so: longs without nulls are sorted as they are
 
-    shingles = F.sort_array(F.array_distinct(F.transform(F.slice("_h", F.lit(1), F.greatest(n - (N_GRAM - 1), F.lit(0))), token)))
+    def paired(name: str, by: int) -> Column:
+        """Each hash with the one `by` places on; what has none is part of no shingle."""
+        return F.zip_with(name, F.slice(name, F.lit(1 + by), n), lambda a, b: F.xxhash64(a, b))
+
+    # two words, four words, five: a few calls a shingle
+    paired_ = fence(hashed.withColumn("_two", paired("_h", 1)))
+    paired_ = fence(paired_.withColumn("_four", paired("_two", 2)).drop("_two"))
+    count = F.greatest(n - (N_GRAM - 1), F.lit(0))
+    shingles = F.sort_array(F.array_distinct(F.zip_with(F.slice("_four", F.lit(1), count), F.slice("_h", F.lit(N_GRAM), count), token)))
     whole = F.array(F.xxhash64(n, "_h").bitwiseAND(bits))
-    tokened = fence(hashed.withColumn("tokens", F.when(n >= N_GRAM, shingles).otherwise(whole)))
+    tokened = fence(paired_.withColumn("tokens", F.when(n >= N_GRAM, shingles).otherwise(whole)).drop("_four"))
     # another hash of the tokens makes an accidental meeting of the first harmless. A token alone stands for the line's first words, whose own
     # hashes also tell apart what meets in its 56 bits
     of_words = F.xxhash64(F.lit(1), F.slice("_h", F.lit(1), F.lit(N_GRAM)))
@@ -107,33 +122,30 @@ def _may_match(x: str, y: str, threshold: int) -> Column:
     return lengths & (F.least(n1 - p1, n2 - p2) >= need) & (only(x, y) <= n1 - need) & (only(y, x) <= n2 - need)
 
 
-def _bitmap(tokens: Column) -> list[Column]:
-    """BITMAP longs, named b0, b1, ..."""
+def _facts(sets: DataFrame) -> DataFrame:
+    """(id, n, b0, b1, ...): the number of a class's tokens and its bitmap."""
     one = F.lit(1).cast("long")
-
-    def part(i: int) -> Column:
-        mine = F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(BITMAP - 1)) == i)
-        bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(bit(t))).alias(f"b{i}")
-
-    return [part(i) for i in range(BITMAP)]
+    bit = F.call_function("shiftleft", one, F.col("t").bitwiseAND(F.lit(63)).cast("int"))
+    part = F.shiftright("t", 6).bitwiseAND(F.lit(BITMAP - 1))
+    bits = [F.bit_or(F.when(part == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(BITMAP)]
+    return sets.select("id", F.explode("tokens").alias("t")).groupBy("id").agg(F.count("*").cast("int").alias("n"), *bits)
 
 
-def _sets(docs: DataFrame, firsts: DataFrame, classes: list[int]) -> DataFrame:
-    """(key, tokens) of the classes in firsts (key, ord), from their first lines."""
-    wanted = firsts.groupBy(F.col("ord.doc_id").alias("of"), F.col("ord.tk").alias("of_tk")).agg(F.collect_list("ord.line_no").alias("nos"))
+def _sets(docs: DataFrame, firsts: DataFrame, classes: list[int], repeated: bool) -> DataFrame:
+    """(id, tokens) of the classes in firsts (id, ord), from their first lines; repeated: whether rows of docs repeat."""
+    wanted = firsts.groupBy(F.col("ord.doc_id").alias("of"), F.col("ord.tk").alias("of_tk")).agg(F.collect_list(F.struct("id", "ord.line_no")).alias("nos"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tk")).join(wanted.hint("merge"), F.expr("doc_id <=> of and tk = of_tk"))
     split = fence(texts.select("nos", F.split("text", "\n").alias("lines")))
-    lines = split.select(F.explode(F.transform("nos", lambda i: F.get("lines", i))).alias("line"))
-    # a repeated row gives its lines more than once
-    return _with_tokens(lines, classes).select(F.struct("k1", "k2").alias("key"), "tokens").dropDuplicates(["key"])
+    lines = split.select(F.explode(F.transform("nos", lambda x: F.struct(x["id"].alias("id"), F.get("lines", x["line_no"]).alias("line")))).alias("x")).select("x.*")
+    found = _with_tokens(lines, classes).select("id", "tokens")
+    return found.dropDuplicates(["id"]) if repeated else found
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a earlier, b) that are similar."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    mine = stash(sets.join(ends.hint("merge"), "key", "left_semi"))
-    x, y = mine.select(F.col("key").alias("a"), F.col("tokens").alias("x")), mine.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    mine = stash(sets.join(ends.hint("merge"), "id", "left_semi"))
+    x, y = mine.select(F.col("id").alias("a"), F.col("tokens").alias("x")), mine.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.where(100 * same >= threshold * (F.size("x") + F.size("y") - same)).select("a", "b", "ord")
@@ -149,49 +161,55 @@ def matches(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # sets of fewer than four tokens are only similar to equal ones (3 of 4 is below the threshold)
     least = -(-threshold // (100 - threshold))
     lines = stash(
-        _with_tokens(_lines(docs), classes).select("doc_id", "tk", "line_no", n.alias("n"), "k1", "k2", F.when(n >= least, prefix).alias("prefix"))
+        _with_tokens(_lines(docs), classes).select("doc_id", "tk", "line_no", "k1", "k2", F.when(n >= least, prefix).alias("prefix"))
     )
-    key, ord_ = F.struct("k1", "k2").alias("key"), F.struct("doc_id", "tk", "line_no")
-    firsts = stash(lines.groupBy("k1", "k2").agg(F.min(ord_).alias("ord"), F.count("*").alias("copies")).select(key, "ord", "copies"))
-    tokens = lines.where("prefix is not null").select("k1", "k2", "n", F.posexplode("prefix").alias("pos", "token"))
+    ord_ = F.struct("doc_id", "tk", "line_no")
+    # a class is a number from here on, and its tokens are dealt out once, however many copies it has
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(ord_.alias("ord"), "prefix")).alias("f"), F.count("*").alias("copies"))
+    firsts = stash(firsts.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "f.ord", "copies", "f.prefix"))
+    whole, lines = lines, stash(lines.select("doc_id", "tk", "line_no", "k1", "k2"))
+    discard(whole)
+    of_text = lines.groupBy("doc_id", "tk").agg(F.count("*").alias("c"), F.collect_set("line_no").alias("nos"))
+    repeated = not of_text.where(F.col("c") > F.size("nos")).isEmpty()
+    tokens = firsts.where("prefix is not null").select("id", F.posexplode("prefix").alias("pos", "token"))
     # written, so that what is shuffled for it is gone before all tokens are shuffled once more
-    met = stash(tokens.groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo != hi").select("token"))
-    shared = stash(tokens.join(met.hint("merge"), "token").select("token", key, "n", "pos").distinct())  # tokens of two classes at least
-    in_reach = stash(firsts.join(shared.select("key").distinct(), "key", "left_semi").select("key", "ord"))
-    sets = stash(_sets(docs, in_reach, classes))
-    facts = in_reach.join(sets.select("key", *_bitmap(F.col("tokens"))), "key")
-    placed = stash(shared.join(facts, "key"))
+    met = stash(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"))
+    shared = stash(tokens.join(met.hint("merge"), "token").select("token", "id", "pos"))  # tokens of two classes at least
+    in_reach = stash(firsts.join(shared.select("id").distinct(), "id", "left_semi").select("id", "ord"))
+    sets = stash(_sets(docs, in_reach, classes, repeated))
+    facts = in_reach.join(_facts(sets), "id")
+    placed = stash(shared.join(facts, "id"))
     discard(met), discard(shared), discard(in_reach)
 
-    names = ("ord", "key", "n", "pos", *(f"b{i}" for i in range(BITMAP)))
+    names = ("ord", "id", "n", "pos", *(f"b{i}" for i in range(BITMAP)))
     leaders = placed.groupBy("token").agg(F.min(F.struct(*names)).alias("early"), F.min(F.struct("pos", *[c for c in names if c != "pos"])).alias("front"))
     sides = [F.struct(*[F.col(f"{side}.{c}").alias(c) for c in names]) for side in ("early", "front")]
     leaders = stash(leaders.select("token", F.explode(F.array_distinct(F.array(*sides))).alias("l")).select("token", "l.*"))
     p, l = placed.alias("p"), leaders.alias("l")
     before = F.col("l.ord") < F.col("p.ord")
     first = stash(
-        p.join(l, F.col("p.token") == F.col("l.token")).where((F.col("p.key") != F.col("l.key")) & _may_match("p", "l", threshold)).select(
-            F.when(before, F.col("l.key")).otherwise(F.col("p.key")).alias("a"), F.when(before, F.col("p.key")).otherwise(F.col("l.key")).alias("b"),
+        p.join(l, F.col("p.token") == F.col("l.token")).where((F.col("p.id") != F.col("l.id")) & _may_match("p", "l", threshold)).select(
+            F.when(before, F.col("l.id")).otherwise(F.col("p.id")).alias("a"), F.when(before, F.col("p.id")).otherwise(F.col("l.id")).alias("b"),
             F.least("p.ord", "l.ord").alias("ord"),
         ).distinct()
     )
     found = stash(_verified(first, sets, threshold))
 
     # a pair one of which leads a token has met there already; at the first token they share, no other filter hides it
-    rest = stash(placed.join(leaders.select("token", "key"), ["token", "key"], "left_anti"))
+    rest = stash(placed.join(leaders.select("token", "id"), ["token", "id"], "left_anti"))
     discard(placed), discard(leaders)
-    open_ = rest.join(found.select(F.col("b").alias("key")).distinct(), "key", "left_anti")
+    open_ = rest.join(found.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
     y, x = open_.alias("y"), rest.alias("x")
     second = (
         y.join(x, F.col("x.token") == F.col("y.token")).where((F.col("x.ord") < F.col("y.ord")) & _may_match("x", "y", threshold))
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.ord").alias("ord")).distinct()
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.ord").alias("ord")).distinct()
         .join(first.select("a", "b"), ["a", "b"], "left_anti")
     )
     found = found.union(_verified(stash(second), sets, threshold))
 
-    matched = found.groupBy(F.col("b").alias("key")).agg(F.min("ord").alias("match"))
-    gone = firsts.join(matched, "key", "left").where((F.col("copies") > 1) | F.col("match").isNotNull())
-    gone = stash(gone.select(F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), "ord", "match"))
+    matched = found.groupBy(F.col("b").alias("id")).agg(F.min("ord").alias("match"))
+    gone = firsts.join(matched, "id", "left").where((F.col("copies") > 1) | F.col("match").isNotNull())
+    gone = stash(gone.select("k1", "k2", "ord", "match"))
     is_copy = ord_ != F.col("ord")
     return (
         lines.select("doc_id", "tk", "line_no", "k1", "k2").join(gone, ["k1", "k2"])

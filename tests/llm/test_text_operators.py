@@ -164,6 +164,32 @@ def test_line_tokens_are_longs_that_sort_as_they_are(spark):
     assert {(0, 6), (3, 4)} <= same and (3, 5) not in same and got[0]["k2"] != got[2]["k2"]
 
 
+def test_line_dedup_deals_out_numbered_classes_once(spark, monkeypatch):
+    """op10: tokens go with the number of their class, once for all its copies, and the table of all prefixes is gone before texts
+    are read again; repeated rows and loose spaces change nothing."""
+    import os
+
+    body = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
+    rows = [(1, body), (2, f" {body}  "), (2, f" {body}  "), (3, f"{body} end"), (3, f"{body} end"), (4, f"a  b\n\n{body}\tend"), (5, "other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    written, seen = [], []
+    real = linededup.stash
+
+    def spy(df):
+        out = real(df)
+        written.append((df.columns, out._stashed_at.removeprefix("file://"), out.count()))
+        if df.columns == ["id", "tokens"]:
+            seen.append((out.count(), [c for c, path, _ in written if "prefix" in c and "doc_id" in c and os.path.exists(path)]))
+        return out
+
+    monkeypatch.setattr(linededup, "stash", spy)
+    got = {(r["doc_id"], r["line_no"], r["is_copy"]) for r in linededup.matches(docs).collect()}
+    assert got == {(2, 0, True), (3, 0, False), (4, 2, True)}
+    assert seen[0] == (2, []) and any(c == ["token", "id", "pos"] for c, _, _ in written)
+    prefix = next(n for c, _, n in written if "prefix" in c and "id" in c)
+    assert prefix == 4  # classes, and not their eight lines
+
+
 def test_line_dedup_removes_short_boilerplate(spark):
     rows = [(i, f"unique words number {i} {i * i}\nAll rights reserved.\nShare this") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
