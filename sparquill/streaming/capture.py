@@ -15,6 +15,8 @@ that it begins, whose chunks are numbered from 0 again, and "count" with a sessi
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -438,14 +440,36 @@ def by_head(drained: DataFrame, spec: KvSpec) -> DataFrame:
 
 
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: What a stream leaves on disk, unless the session says otherwise: of its state the versions that going on needs, which are looked
+#: through every so often, and no shuffle of a job that has ended.
+KEPT = (
+    ("spark.sql.streaming.minBatchesToRetain", "2"), ("spark.sql.streaming.stateStore.maintenanceInterval", "10s"),
+    ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
+)
+
+
+@contextmanager
+def settings(spark: SparkSession, *pairs: tuple[str, str]):
+    """With these settings in the session, and those of before after it."""
+    before = [(name, spark.conf.get(name, None)) for name, _ in pairs]
+    try:
+        for name, value in pairs:
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before:
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def run_available(events: DataFrame, history: History, counts_to: str, checkpoint: str, bucket_ms: int = 0) -> DataFrame:
+def run_available(events: DataFrame, history: History, counts_to: str, checkpoint: str, bucket_ms: int = 0, arrivals=None) -> DataFrame:
     """Runs the engine over a stream of EVENTS until what is there now is worked off.
 
     Drained tokens are quantized and appended to history, a micro-batch at a time and again under the same number when a
     micro-batch is repeated; resets are noted there; each session's totals go to counts_to. Returns the last totals of each
     session (session, epoch, total, compressed, buffered).
+
+    arrivals, an iterator, brings in more of the stream with each of its steps. A step is taken when all that came before is worked
+    off and committed, so it may remove that, and what lies on disk is what came in one step.
     """
     spark, spec = events.sparkSession, history.spec
 
@@ -458,12 +482,16 @@ def run_available(events: DataFrame, history: History, counts_to: str, checkpoin
         counts.write.mode("overwrite").parquet(f"{counts_to.rstrip('/')}/batch={number}")
         batch.unpersist()
 
-    before = spark.conf.get(STATE_STORE[0], None)
-    spark.conf.set(*STATE_STORE)
-    try:
-        stream = _captured(events, spec.ring_capacity, bucket_ms).writeStream.foreachBatch(each)
-        stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
+    with settings(spark, STATE_STORE, *[(name, value) for name, value in KEPT if spark.conf.get(name, None) is None]):
+        stream = _captured(events, spec.ring_capacity, bucket_ms).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        if arrivals is None:
+            stream.trigger(availableNow=True).start().awaitTermination()
+        else:
+            query = stream.trigger(processingTime="500 milliseconds").start()
+            try:
+                for _ in arrivals:
+                    query.processAllAvailable()
+            finally:
+                query.stop()
     last = F.max(F.struct("micro_batch", "epoch", "total", "compressed", "buffered")).alias("c")
     return spark.read.parquet(counts_to).groupBy("session").agg(last).select("session", "c.epoch", "c.total", "c.compressed", "c.buffered")
