@@ -446,6 +446,8 @@ KEPT = (
     ("spark.sql.streaming.minBatchesToRetain", "2"), ("spark.sql.streaming.stateStore.maintenanceInterval", "10s"),
     ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"),
 )
+#: With an order by time all events pass through the state; those that have left it go from its files at once.
+COMPACT = ("spark.sql.streaming.stateStore.rocksdb.compactOnCommit", "true")
 
 
 @contextmanager
@@ -482,7 +484,7 @@ def run_available(events: DataFrame, history: History, counts_to: str, checkpoin
         counts.write.mode("overwrite").parquet(f"{counts_to.rstrip('/')}/batch={number}")
         batch.unpersist()
 
-    with settings(spark, STATE_STORE, *[(name, value) for name, value in KEPT if spark.conf.get(name, None) is None]):
+    with settings(spark, STATE_STORE, *[(n, v) for n, v in (*KEPT, *[COMPACT] * bool(bucket_ms)) if spark.conf.get(n, None) is None]):
         stream = _captured(events, spec.ring_capacity, bucket_ms).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         if arrivals is None:
             stream.trigger(availableNow=True).start().awaitTermination()

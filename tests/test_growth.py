@@ -126,7 +126,7 @@ def test_a_stream_holds_one_slice(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(catalogue, "_shared_folder", lambda s, kind: places.append(folder(s, kind)) or places[-1])
     monkeypatch.setattr(catalogue, "_stored", lambda part, at: (there.append(len(os.listdir(f"{places[-1]}/events"))), store(part, at)))
     counts, history = catalogue._streamed(spark, sf_dir, catalogue._decoded(spark, sf_dir))
-    assert there == [0] * 5 and not os.listdir(f"{places[0]}/events") and not os.listdir(f"{places[0]}/next")
+    assert there == [0] * 5 and not os.listdir(f"{places[0]}/events") and not os.listdir(f"{places[0]}/next") and not os.path.exists(f"{places[0]}/state")
     assert shuffled(spark) - before < 512 * n // 5
     totals = {r["session"]: r["total"] for r in counts.collect()}
     assert totals == {r["user_id"]: r["count"] for r in rows.groupBy("user_id").count().collect()} and history.read().count() == sum((t - 1) // 16 * 16 for t in totals.values())
